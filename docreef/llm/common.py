@@ -93,6 +93,21 @@ def map_rows(
     return df.select(*columns).mapInArrow(run, ddl)
 
 
+def row_blocks(batches: Iterator[pa.RecordBatch], chars: int = 4_000_000) -> Iterator[tuple[list, list]]:
+    """(keys, texts) of rows in two columns, as many at once as hold ``chars`` characters."""
+    for batch in batches:
+        keys, values, held = [], [], 0
+        for k, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            keys.append(k)
+            values.append(v)
+            held += len(v or "")
+            if held >= chars:
+                yield keys, values
+                keys, values, held = [], [], 0
+        if keys:
+            yield keys, values
+
+
 def fold_of(key: str, parts: int) -> Column:
     """crc32 of a key written as text, modulo parts (null key: as the empty text)."""
     return F.pmod(F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")), F.lit(parts))

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docreef.llm.common import arrow_schema, map_rows
+from docreef.llm.common import arrow_schema, map_rows, row_blocks
 
 MARK = "▁"
 #: No piece goes on after a mark's left side or across a line feed, so a path is a path of each unit.
@@ -271,21 +271,6 @@ class Pieces:
         return b"".join([surface[i] for i in ids]).decode("utf-8")[1:]
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], chars: int = 4_000_000) -> Iterator[tuple[list, list]]:
-    """(keys, values) of a batch's rows, as many at once as hold ``chars`` characters."""
-    for batch in batches:
-        keys, values, held = [], [], 0
-        for k, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            keys.append(k)
-            values.append(v)
-            held += len(v or "")
-            if held >= chars:
-                yield keys, values
-                keys, values, held = [], [], 0
-        if keys:
-            yield keys, values
-
-
 def encoded(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text", alpha: float = 1.0, seed: int = 0) -> DataFrame:
     """(doc_id, pieces) of whole texts: ids as an array."""
     ddl = "doc_id long, pieces array<int>"
@@ -293,7 +278,7 @@ def encoded(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Pieces(model, alpha, seed)
-        for keys, texts in _blocks(batches):
+        for keys, texts in row_blocks(batches):
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(own.encode(texts, keys), pa.list_(pa.int32()))], schema=schema)
 
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, ddl)
@@ -321,7 +306,7 @@ def round_trips(docs: DataFrame, model: str, key: str = "doc_id", text: str = "t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Pieces(model, alpha, seed)
-        for keys, texts in _blocks(batches):
+        for keys, texts in row_blocks(batches):
             ids = own.encode(texts, keys)
             yield pa.RecordBatch.from_arrays([
                 pa.array(keys, pa.int64()), pa.array([len(t or "") for t in texts], pa.int64()), pa.array(list(map(len, ids)), pa.int64()),

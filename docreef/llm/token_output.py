@@ -12,6 +12,7 @@ A shard is a sequence of zstandard frames, so any zstandard tool can decompress
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
@@ -25,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docreef.llm.common import arrow_schema, new_folder, written
+from docreef.llm.common import arrow_schema, new_folder, row_blocks, written
 
 DIRECTORY_MAGIC, SEEK_MAGIC, FOOTER_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 _DIRECTORY_TAG = b"DIRECT01"
@@ -154,36 +155,84 @@ class WordEncoder:
     """Whole texts to ids by way of a memory of words.
 
     For tokenizers that never look across a space or a line feed, as word_bpe_49k.json: its normaliser maps characters
-    (NFC does not compose across a space) and its pre-tokens hold no white space. So a text's ids are those of its
-    parts between spaces. Parts come again and again; each is encoded once while the memory holds it.
+    (NFC does not compose across a space), its pre-tokens hold no white space, and one that ends with a letter or digit
+    ends before a full stop or comma. So a text's ids are those of its parts between spaces, where a stop or comma
+    behind a word is a part of its own. A-Z are lowered first, as the normaliser would do, unless that could make a
+    special token or change how a mark composes. Parts come again and again; each is encoded once while the memory holds
+    it, words of letters many at once and told apart by the pre-token of each id.
+
+    The memory has two generations of at most ``room`` parts; the older goes when the younger is full.
     """
 
-    def __init__(self, path: str, room: int = 400_000, longest: int = 64):
+    def __init__(self, path: str, room: int = 350_000, longest: int = 48):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.room, self.longest = room, longest
-        self.memory: dict[str, bytes] = {"": b""}
+        self.young: dict[str, bytes] = {"": b""}
+        self.old: dict[str, bytes] = {}
+
+    def _alone(self, words: list[str]) -> list[bytes]:
+        got = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
+        return [np.array(e.ids, "<u4").tobytes() for e in got]
+
+    def _together(self, words: list[str]) -> list[bytes]:
+        """Words of letters only."""
+        got = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
+        owner = np.array(got.word_ids, dtype=float)  # None: nan
+        ends = np.searchsorted(owner, np.arange(len(words)), "right")
+        if not len(owner) or np.isnan(owner).any() or owner[-1] != len(words) - 1 or (np.diff(ends, prepend=0) == 0).any():
+            return self._alone(words)  # some letter was normalised to more than letters
+        raw, at = np.array(got.ids, "<u4").tobytes(), [0, *(4 * ends).tolist()]
+        return [raw[x:y] for x, y in zip(at, at[1:])]
+
+    def _learned(self, fresh: list[str]) -> dict[str, bytes]:
+        out: dict[str, bytes] = {}
+        letters = [p for p in fresh if p.isalpha()]
+        for words, encode in ((letters, self._together), ([p for p in fresh if not p.isalpha()], self._alone)):
+            for at in range(0, len(words), 2048):
+                block = words[at : at + 2048]
+                out.update(zip(block, encode(block), strict=True))
+        return out
 
-    def __call__(self, text: str | None) -> bytes:
-        parts = (text or "").replace("\n", " ").split(" ")
-        memory = self.memory
-        fresh = [p for p in set(parts) if p not in memory]
-        if fresh:
-            if len(memory) + len(fresh) > self.room:
-                memory.clear()
-                memory[""] = b""
-                fresh = [p for p in set(parts) if p]
-            for at in range(0, len(fresh), 1024):
-                block = fresh[at : at + 1024]
-                for p, e in zip(block, self.tokenizer.encode_batch_fast(block, add_special_tokens=False), strict=True):
-                    memory[p] = np.array(e.ids, "<u4").tobytes()
-        out = b"".join([memory[p] for p in parts])
-        for p in fresh:
-            if len(p) > self.longest:
-                del memory[p]
+    @staticmethod
+    def parts(text: str | None) -> list[str]:
+        text = text or ""
+        if "<|" not in text and not _MARK.search(text):
+            text = text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+        return _STOP.sub(r" \1", text).replace("\n", " ").split(" ")
+
+    def many(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text, as little-endian unsigned 32-bit numbers."""
+        split = list(map(self.parts, texts))
+        young, old = self.young, self.old
+        found = [list(map(young.get, parts)) for parts in split]
+        lacking = {p for parts, ids in zip(split, found) if None in ids for p, x in zip(parts, ids) if x is None}
+        own = {p: x for p in lacking if (x := old.get(p)) is not None}
+        own |= self._learned([p for p in lacking if p not in own])
+        out = [b"".join([own[p] if x is None else x for p, x in zip(parts, ids)] if None in ids else ids) for parts, ids in zip(split, found)]
+        if len(young) + len(own) > self.room:
+            self.old, self.young = young, {"": b""}
+        self.young.update((p, x) for p, x in own.items() if len(p) <= self.longest)
         return out
 
+    def __call__(self, text: str | None) -> bytes:
+        return self.many([text])[0]
+
+
+#: Marks that compose with ASCII letters, and stops behind a word of letters that stay letters when normalised.
+_MARK = re.compile("[\u0300-\u036f]")
+_STOP = re.compile(r"(?<=[0-9A-Za-z\u00c0-\u012f\u0131-\u024f])([.,])(?=[ \n]|\Z)")
+
+_encoders: dict[str, WordEncoder] = {}
+
+
+def encoder_of(path: str) -> WordEncoder:
+    """The process' own encoder, so that the next task finds the words of the last."""
+    if path not in _encoders:
+        _encoders[path] = WordEncoder(path)
+    return _encoders[path]
+
 
 def write_shards(
     docs: DataFrame, folder: str, tokenizer: str, key: str = "doc_id", text: str = "text", end_id: int = 1,
@@ -202,7 +251,7 @@ def write_shards(
         from pyspark import TaskContext
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encode, task = WordEncoder(tokenizer), TaskContext.get().partitionId()
+        encoder, task = encoder_of(tokenizer), TaskContext.get().partitionId()
         end = struct.pack("<I", end_id)
         writer = sink = path = None
         part = 0
@@ -215,15 +264,15 @@ def write_shards(
                 schema=schema,
             )
 
-        for batch in batches:
-            for doc_id, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for doc_ids, texts in row_blocks(batches):
+            for doc_id, ids in zip(doc_ids, encoder.many(texts), strict=True):
                 if writer is None:
                     path = f"{folder}/tokens-{task:06d}-{part:04d}-{uuid.uuid4().hex[:12]}.zst"
                     fs, inner = opened(path)
                     fs.create_dir(inner.rpartition("/")[0], recursive=True)
                     sink = fs.open_output_stream(inner, compression=None)  # else the name decides
                     writer = ShardWriter(sink, frame_bytes, level)
-                writer.add(doc_id, encode(body) + end)
+                writer.add(doc_id, ids + end)
                 if writer.n_bytes >= shard_bytes:
                     yield closed()
                     writer, part = None, part + 1
