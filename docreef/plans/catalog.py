@@ -1,4 +1,271 @@
-"""Queries by name, and the SQL that states them."""
+"""Queries by name over the driver's tables, and the SQL that states them.
 
-QUERIES = {}
-ORACLE_SQL = {}
+Inventories are made of documents: each is a file of a container, present locally, remotely or on both sides.
+"""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from docreef import catalogue as C
+from docreef import schema
+from docreef.functions.scalars import requirement_name
+from docreef.operators import checks, classify, diff, inventory, similarity, tree
+from docreef.streaming import watch
+
+DAY = "2024-01-15"
+LEXICON = [("en_core", "the", 1), ("en_core", "with", 1), ("fr_core", "le", 2), ("fr_core", "pour", 2), ("es_core", "los", 3), ("de_core", "und", 3)]
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _file() -> F.Column:
+    return F.concat(F.lit("doc_"), F.col("doc_id"), F.lit(".txt"))
+
+
+def local_files(spark: SparkSession, sf_dir: str, container: F.Column | None = None) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").where("doc_id % 10 <> 3")
+    return docs.select(
+        (F.lit(C.RAW) if container is None else container).alias("container"), _file().alias("name"),
+        F.concat(F.lit("/corpus/"), "source", F.lit("/"), _file()).alias("path"), F.octet_length("text").cast("long").alias("size"),
+        F.md5(F.encode("text", "utf-8")).alias("hash"),
+    )
+
+
+def remote_files(spark: SparkSession, sf_dir: str, container: F.Column | None = None) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").where("doc_id % 10 <> 5")
+    stale = F.md5(F.encode(F.concat("text", F.lit("~")), "utf-8"))
+    return docs.select(
+        (F.lit(C.RAW) if container is None else container).alias("container"), F.concat(F.lit("id"), "doc_id").alias("id"), _file().alias("name"),
+        F.when(F.col("doc_id") % 11 == 0, None).when(F.col("doc_id") % 7 == 0, stale).otherwise(F.md5(F.encode("text", "utf-8"))).alias("md5Checksum"),
+        F.octet_length("text").cast("string").alias("size"),
+    )
+
+
+_L = "SELECT '{c}' AS container, concat('doc_', doc_id, '.txt') AS name, concat('/corpus/', source, '/doc_', doc_id, '.txt') AS path, CAST(strlen(text) AS BIGINT) AS size, md5(text) AS hash FROM documents WHERE doc_id % 10 <> 3"
+_R = "SELECT '{c}' AS container, concat('id', doc_id) AS id, concat('doc_', doc_id, '.txt') AS name, CASE WHEN doc_id % 11 = 0 THEN NULL WHEN doc_id % 7 = 0 THEN md5(text || '~') ELSE md5(text) END AS md5Checksum, CAST(strlen(text) AS VARCHAR) AS size FROM documents WHERE doc_id % 10 <> 5"
+_SOURCE = "concat('Processed Documents/', source)"
+
+
+def _sides(container: str, by_source: bool = False) -> str:
+    l, r = _L.format(c=container), _R.format(c=container)
+    if by_source:
+        l, r = l.replace(f"'{container}' AS", f"{_SOURCE} AS"), r.replace(f"'{container}' AS", f"{_SOURCE} AS")
+        l, r = (x + " AND source IN (SELECT domain FROM f WHERE folder_id <> '')" for x in (l, r))
+    return f"l AS ({l}), r AS ({r})"
+
+
+def _plan_sql(upload: bool = True, update: bool = True, download: bool = True, note: str = "NULL") -> str:
+    arm = lambda on, x: f"'{x}'" if on else "'NOOP'"
+    return f"""
+SELECT container, name, action, path AS local_path, id AS remote_id, hash AS local_hash, md5Checksum AS remote_hash,
+       CAST(CASE WHEN action = 'UPLOAD' THEN {note} END AS VARCHAR) AS description
+FROM (SELECT coalesce(l.container, r.container) AS container, coalesce(l.name, r.name) AS name, l.path, r.id, l.hash, r.md5Checksum,
+             CASE WHEN r.name IS NULL THEN {arm(upload, "UPLOAD")} WHEN l.name IS NULL THEN {arm(download, "DOWNLOAD")}
+                  WHEN l.hash IS DISTINCT FROM r.md5Checksum THEN {arm(update, "UPDATE")} ELSE 'NOOP' END AS action
+      FROM l FULL JOIN r ON l.container = r.container AND l.name = r.name)"""
+
+
+def source_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(domain, folder_id): sources as domains; some have no folder, one an empty id."""
+    one = table(spark, sf_dir, "documents").select(F.col("source").alias("domain")).distinct()
+    return one.withColumn("folder_id", F.when(F.col("domain").isin("src3", "src13"), None).when(F.col("domain") == "src7", "").otherwise(F.concat(F.lit("folder-"), "domain")))
+
+
+_FOLDERS = "f AS (SELECT DISTINCT source AS domain, CASE WHEN source IN ('src3', 'src13') THEN NULL WHEN source = 'src7' THEN '' ELSE concat('folder-', source) END AS folder_id FROM documents)"
+
+
+def sync_plan_raw(spark, sf_dir):
+    return diff.plan(local_files(spark, sf_dir), remote_files(spark, sf_dir), DAY)
+
+
+def _processed(spark, sf_dir):
+    on = F.concat(F.lit(C.PROCESSED + "/"), "source")
+    folders = source_folders(spark, sf_dir).withColumn("container", F.concat(F.lit(C.PROCESSED + "/"), "domain"))
+    return [diff.with_folder(f(spark, sf_dir, on), folders, "container") for f in (local_files, remote_files)]
+
+
+def sync_plan_processed(spark, sf_dir):
+    return diff.plan(*_processed(spark, sf_dir), DAY)
+
+
+def sync_plan_syntheses(spark, sf_dir):
+    return diff.plan(*[f(spark, sf_dir, F.lit(C.SYNTHESES)) for f in (local_files, remote_files)], DAY)
+
+
+def sync_plan_all(spark, sf_dir):
+    """All containers in one join."""
+    sides = [_processed(spark, sf_dir)[i].unionByName(f(spark, sf_dir)).unionByName(f(spark, sf_dir, F.lit(C.SYNTHESES))) for i, f in enumerate((local_files, remote_files))]
+    return diff.plan(*sides, DAY)
+
+
+def sync_status(spark, sf_dir):
+    return diff.status(source_folders(spark, sf_dir))
+
+
+def inventory_dedup(spark, sf_dir):
+    rows = local_files(spark, sf_dir).withColumn("name", F.concat(F.lit("file_"), F.regexp_extract("name", r"(\d+)", 1).cast("long") % 97))
+    return inventory.deduplicated(rows, ["container", "name"], "path")
+
+
+def _folders(spark):
+    return spark.createDataFrame(tree.adjacency(), "path string, name string, parent_path string")
+
+
+def _domains(spark):
+    return spark.createDataFrame(C.domain_rows(), schema.DOMAINS)
+
+
+def config_domains(spark, sf_dir):
+    d = _domains(spark)
+    words = [d.select("domain", F.lit(kind).alias("kind"), F.explode(column).alias("term"), "priority") for kind, column in (("keyword", "keywords"), ("alias", "aliases"))]
+    return words[0].unionByName(words[1])
+
+
+def folder_counts(spark, sf_dir):
+    known = spark.createDataFrame([(f"src{i}",) for i in range(25)], "folder string")
+    return inventory.folder_counts(known, table(spark, sf_dir, "documents").select(F.col("source").alias("folder")))
+
+
+def missing_required(spark, sf_dir):
+    expected = spark.createDataFrame([(f"doc_{i}.txt", f"package{i}>={i}.0") for i in (0, 1, 3, 13, 14, 10**9)], "name string, requirement string")
+    out = inventory.missing(expected, local_files(spark, sf_dir).select("name"))
+    return out.select("name", requirement_name(F.col("requirement")).alias("package"))
+
+
+def json_path_exists(spark, sf_dir):
+    return checks.json_paths(table(spark, sf_dir, "events").select("event_id", "props"), "props", {"has_k": "$.k", "has_client": "$.installed.client_id"}).drop("props")
+
+
+def version_check(spark, sf_dir):
+    rows = [("3.13.1", "3.7"), ("3.6.9", "3.7"), ("3.7", "3.7"), ("3.10", "3.9.9"), ("2.7.18", "3.7"), ("4", "3.99")]
+    return checks.new_enough(spark.createDataFrame(rows, "have string, need string"))
+
+
+def check_summary(spark, sf_dir):
+    """The ten checks, each failed if the corpus' row count has its place as last digit."""
+    n = table(spark, sf_dir, "documents").agg((F.count(F.lit(1)) % 10).alias("n"))
+    names = spark.createDataFrame(list(enumerate(C.CHECKS)), "seq int, check string")
+    return checks.summary(names.crossJoin(F.broadcast(n)).select("seq", "check", F.when(F.col("seq") == F.col("n"), "failed").otherwise("passed").alias("status")))
+
+
+def corpus_metrics(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    size = F.octet_length("text").cast("long")
+    return docs.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(size).alias("n_bytes"), F.avg(size).alias("mean_bytes"), F.sum((size <= C.MOST_OCR_BYTES).cast("long")).alias("n_ocr"))
+
+
+def watch_snapshots(spark, sf_dir):
+    """Events between the remote side as the earlier snapshot and the local one as the later."""
+    before = remote_files(spark, sf_dir).select(F.col("name").alias("path"), F.col("md5Checksum").alias("hash"))
+    return watch.changes(before, local_files(spark, sf_dir).select(F.col("name").alias("path"), "hash"))
+
+
+def stream_documents(spark, sf_dir):
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="docreef-")
+    one = f"{sf_dir}/[d]ocuments.parquet"  # a pattern: the stream's reader takes a single file only so
+    return watch.documents_seen(spark, one, table(spark, sf_dir, "documents").schema, f"{shared}/stream-{uuid.uuid4().hex}")
+
+
+def _docs(f):
+    return lambda spark, sf_dir: f(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "local_inventory": local_files,
+    "remote_inventory": remote_files,
+    "inventory_dedup": inventory_dedup,
+    "sync_upload": lambda s, d: diff.uploads(local_files(s, d), remote_files(s, d)),
+    "sync_update": lambda s, d: diff.updates(local_files(s, d), remote_files(s, d)),
+    "sync_download": lambda s, d: diff.downloads(local_files(s, d), remote_files(s, d)),
+    "sync_plan_raw": sync_plan_raw,
+    "sync_plan_processed": sync_plan_processed,
+    "sync_plan_syntheses": sync_plan_syntheses,
+    "sync_plan_all": sync_plan_all,
+    "sync_status": sync_status,
+    "config_domains": config_domains,
+    "folder_flatten": lambda s, d: tree.flatten(s, _folders(s)),
+    "folder_lookup": lambda s, d: tree.lookup(_folders(s), "Drones", f"Corpus/{C.PROCESSED}"),
+    "domain_folders": lambda s, d: tree.domain_folders(_domains(s).unionByName(s.createDataFrame([("Sans dossier", [], [], None, None, 9)], schema.DOMAINS)), _folders(s)),
+    "folder_counts": folder_counts,
+    "missing_required": missing_required,
+    "json_path_exists": json_path_exists,
+    "version_check": version_check,
+    "check_summary": check_summary,
+    "classify_hits": _docs(lambda docs: classify.hits(docs, LEXICON)),
+    "classify_best": _docs(lambda docs: classify.best(docs, LEXICON)),
+    "domain_counts": _docs(lambda docs: classify.best(docs, LEXICON).groupBy("domain").agg(F.count(F.lit(1)).alias("n_docs"))),
+    "synthesis_top20": _docs(lambda docs: classify.top_points(classify.hits(docs, LEXICON), C.TOP_POINTS, C.LEAST_POINTS)),
+    "batch_assign": _docs(lambda docs: inventory.batches(docs, "doc_id", C.BATCH_DOCUMENTS)),
+    "corpus_metrics": corpus_metrics,
+    "similar_pairs": _docs(lambda docs: similarity.similar_pairs(docs, C.SIMILAR)),
+    "watch_snapshots": watch_snapshots,
+    "stream_documents": stream_documents,
+    "event_counts": lambda s, d: watch.event_counts(table(s, d, "events")),
+}
+
+
+def _text(x) -> str:
+    return "NULL" if x is None else "'" + str(x).replace("'", "''") + "'"
+
+
+def _values(rows) -> str:
+    return ", ".join("(" + ", ".join(x if isinstance(x, str) and x.startswith("CAST") else str(x) if isinstance(x, int) else _text(x) for x in r) + ")" for r in rows)
+
+
+_RAW = "WITH " + _sides(C.RAW)
+_NOTE = f"'Document - {DAY}'"
+_LEX = f"x(domain, keyword, priority) AS (VALUES {_values(LEXICON)})"
+_HITS = _LEX + r""", hits AS (SELECT doc_id, domain, keyword, CAST(priority AS INTEGER) AS priority FROM documents, x
+ WHERE regexp_matches(lower(coalesce(text, '')), '(^|[^\p{L}\p{N}_])' || keyword || '([^\p{L}\p{N}_]|$)'))"""
+_SCORES = _HITS + ", scores AS (SELECT doc_id, domain, count(DISTINCT keyword) AS score, min(priority) AS priority FROM hits GROUP BY ALL)"
+_BEST = _SCORES + f""", best AS (SELECT d.doc_id, coalesce(s.domain, '{C.OTHER}') AS domain, coalesce(s.score, 0) AS score FROM documents d LEFT JOIN
+ (SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, priority, domain) = 1) s USING (doc_id))"""
+_TREE = f"a(path, name, parent_path) AS (VALUES {_values(tree.adjacency())})"
+_NAMED = "named AS (SELECT name, md5(max(path)) AS id FROM a GROUP BY name)"
+
+ORACLE_SQL = {
+    "local_inventory": _L.format(c=C.RAW),
+    "remote_inventory": _R.format(c=C.RAW),
+    "inventory_dedup": f"WITH {_sides(C.RAW)} SELECT container, concat('file_', CAST(regexp_extract(name, '[0-9]+') AS BIGINT) % 97) AS name, max(path) AS path, arg_max(size, path) AS size, arg_max(hash, path) AS hash FROM l GROUP BY 1, 2",
+    "sync_upload": f"{_RAW} SELECT container, name, path, hash FROM l ANTI JOIN r USING (container, name)",
+    "sync_update": f"{_RAW} SELECT container, name, id, hash, md5Checksum FROM l JOIN r USING (container, name) WHERE hash IS DISTINCT FROM md5Checksum",
+    "sync_download": f"{_RAW} SELECT container, name, id, md5Checksum FROM r ANTI JOIN l USING (container, name)",
+    "sync_plan_raw": _RAW + _plan_sql(note=_NOTE),
+    "sync_plan_processed": f"WITH {_FOLDERS}, " + _sides(C.PROCESSED, True) + _plan_sql(update=False),
+    "sync_plan_syntheses": "WITH " + _sides(C.SYNTHESES) + _plan_sql(download=False),
+    "sync_plan_all": "\nUNION ALL\n".join(
+        f"SELECT * FROM ({x})" for x in (_RAW + _plan_sql(note=_NOTE), f"WITH {_FOLDERS}, " + _sides(C.PROCESSED, True) + _plan_sql(update=False), "WITH " + _sides(C.SYNTHESES) + _plan_sql(download=False))
+    ),
+    "sync_status": f"WITH {_FOLDERS} SELECT bool_and(coalesce(folder_id, '') <> '') AS ok, count(*) AS n_containers, count(*) FILTER (WHERE coalesce(folder_id, '') = '') AS n_failed FROM f",
+    "config_domains": "SELECT * FROM (VALUES " + _values([(d, k, t, x["priority"]) for d, x in C.DOMAINS.items() for k, c in (("keyword", "keywords"), ("alias", "aliases")) for t in x[c]]) + ") AS t(domain, kind, term, priority)",
+    "folder_flatten": f"WITH RECURSIVE {_TREE}, t AS (SELECT path, name, parent_path, 0 AS depth FROM a WHERE parent_path IS NULL UNION ALL SELECT a.path, a.name, a.parent_path, t.depth + 1 FROM a JOIN t ON a.parent_path = t.path) SELECT * FROM t",
+    "folder_lookup": f"WITH {_TREE} SELECT * FROM a WHERE name = 'Drones' AND parent_path = 'Corpus/{C.PROCESSED}' ORDER BY path LIMIT 1",
+    "domain_folders": f"WITH {_TREE}, {_NAMED} SELECT domain, id AS folder_id FROM (VALUES {_values([(d,) for d in [*C.DOMAINS, 'Sans dossier']])}) AS d(domain) LEFT JOIN named ON name = domain",
+    "folder_counts": "SELECT folder, count(doc_id) AS n_files, count(doc_id) > 0 AS present FROM (SELECT concat('src', i) AS folder FROM range(25) AS t(i)) LEFT JOIN documents ON source = folder GROUP BY folder",
+    "missing_required": f"WITH {_sides(C.RAW)} SELECT name, package FROM (VALUES {_values([(f'doc_{i}.txt', f'package{i}') for i in (0, 1, 3, 13, 14, 10**9)])}) AS e(name, package) ANTI JOIN l USING (name)",
+    "json_path_exists": "SELECT event_id, json_extract(props, '$.k') IS NOT NULL AS has_k, json_extract(props, '$.installed.client_id') IS NOT NULL AS has_client FROM events",
+    "version_check": "SELECT have, need, list_transform(string_split(have, '.'), lambda x: CAST(x AS INTEGER)) >= list_transform(string_split(need, '.'), lambda x: CAST(x AS INTEGER)) AS ok FROM (VALUES ('3.13.1', '3.7'), ('3.6.9', '3.7'), ('3.7', '3.7'), ('3.10', '3.9.9'), ('2.7.18', '3.7'), ('4', '3.99')) AS t(have, need)",
+    "check_summary": f"WITH c AS (SELECT seq, name, CASE WHEN seq = (SELECT count(*) % 10 FROM documents) THEN 'failed' ELSE 'passed' END AS status FROM (VALUES {_values(list(enumerate(C.CHECKS)))}) AS t(seq, name)), s AS (SELECT count(*) FILTER (WHERE status = 'passed') AS n_passed, count(*) FILTER (WHERE status = 'failed') AS n_failed, coalesce(string_agg(name, ', ' ORDER BY seq) FILTER (WHERE status = 'passed'), '') AS passed, coalesce(string_agg(name, ', ' ORDER BY seq) FILTER (WHERE status = 'failed'), '') AS failed FROM c) SELECT *, round(100.0::DOUBLE * n_passed / (n_passed + n_failed), 1) AS rate, CASE WHEN n_failed = 0 THEN 'ok' WHEN n_failed <= 2 THEN 'warning' ELSE 'failed' END AS verdict FROM s",
+    "classify_hits": f"WITH {_HITS} SELECT * FROM hits",
+    "classify_best": f"WITH {_BEST} SELECT * FROM best",
+    "domain_counts": f"WITH {_BEST} SELECT domain, count(*) AS n_docs FROM best GROUP BY domain",
+    "synthesis_top20": f"WITH {_SCORES} SELECT domain, CAST(rank AS INTEGER) AS rank, doc_id, score, n >= 5 AS enough FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY score DESC, doc_id) AS rank, count(*) OVER (PARTITION BY domain) AS n FROM scores) WHERE rank <= 20",
+    "batch_assign": "SELECT doc_id, CAST(ceil(row_number() OVER (ORDER BY doc_id) / 50.0) AS BIGINT) AS batch FROM documents",
+    "corpus_metrics": f"SELECT source, count(*) AS n_docs, CAST(sum(strlen(text)) AS BIGINT) AS n_bytes, avg(strlen(text)) AS mean_bytes, count(*) FILTER (WHERE strlen(text) <= {C.MOST_OCR_BYTES}) AS n_ocr FROM documents GROUP BY source",
+    "watch_snapshots": f"{_RAW} SELECT CASE WHEN r.name IS NULL THEN 'created' ELSE 'modified' END AS event_type, l.name AS src_path FROM l LEFT JOIN r USING (name) WHERE r.name IS NULL OR l.hash IS DISTINCT FROM r.md5Checksum",
+    "stream_documents": "SELECT concat('doc_', doc_id, '.txt') AS name, CAST(strlen(text) AS BIGINT) AS size FROM documents",
+    "event_counts": "SELECT time_bucket(INTERVAL '10 minutes', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL",
+    "similar_pairs": r"""
+WITH d AS (SELECT min(doc_id) AS id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM documents GROUP BY text),
+s AS (SELECT DISTINCT id, array_to_string(w[i : i + 4], ' ') AS x FROM (SELECT id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
+p AS (SELECT a.id AS a, b.id AS b, count(*) AS common FROM s a JOIN s b USING (x) WHERE a.id < b.id GROUP BY ALL)
+SELECT a, b, common, na.n + nb.n - common AS total FROM p JOIN n na ON na.id = a JOIN n nb ON nb.id = b WHERE 5 * common >= 4 * (na.n + nb.n - common)""",
+}
