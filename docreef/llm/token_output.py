@@ -155,16 +155,16 @@ class WordEncoder:
     """Whole texts to ids by way of a memory of words.
 
     For tokenizers that never look across a space or a line feed, as word_bpe_49k.json: its normaliser maps characters
-    (NFC does not compose across a space), its pre-tokens hold no white space, and one that ends with a letter or digit
-    ends before a full stop or comma. So a text's ids are those of its parts between spaces, where a stop or comma
-    behind a word is a part of its own. A-Z are lowered first, as the normaliser would do, unless that could make a
+    (NFC does not compose across a space), its pre-tokens hold no white space, and a run of letters and a
+    run of other marks are one each. So a text's ids are those of its parts between spaces, and those of letters with
+    marks behind them are the letters' and the marks'. A-Z are lowered first, as the normaliser would do, unless that could make a
     special token or change how a mark composes. Parts come again and again; each is encoded once while the memory holds
     it, words of letters many at once and told apart by the pre-token of each id.
 
     The memory has two generations of at most ``room`` parts; the older goes when the younger is full.
     """
 
-    def __init__(self, path: str, room: int = 350_000, longest: int = 48):
+    def __init__(self, path: str, room: int = 500_000, longest: int = 48):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -188,11 +188,28 @@ class WordEncoder:
 
     def _learned(self, fresh: list[str]) -> dict[str, bytes]:
         out: dict[str, bytes] = {}
-        letters = [p for p in fresh if p.isalpha()]
-        for words, encode in ((letters, self._together), ([p for p in fresh if not p.isalpha()], self._alone)):
+        letters, others, ended = set(), set(), []
+        for p in fresh:
+            if p.isalpha():
+                letters.add(p)
+            elif m := _ENDED.fullmatch(p):
+                ended.append((p, *m.groups()))
+            else:
+                others.add(p)
+        known = {}
+        for _, stem, marks in ended:
+            for x, among in ((stem, letters), (marks, others)):
+                ids = self.young.get(x) or self.old.get(x)
+                if ids is None:
+                    among.add(x)
+                else:
+                    known[x] = ids
+        for words, encode in ((list(letters), self._together), (list(others), self._alone)):
             for at in range(0, len(words), 2048):
                 block = words[at : at + 2048]
                 out.update(zip(block, encode(block), strict=True))
+        known |= out
+        out.update((p, known[stem] + known[marks]) for p, stem, marks in ended)
         return out
 
     @staticmethod
@@ -200,17 +217,23 @@ class WordEncoder:
         text = text or ""
         if "<|" not in text and not _MARK.search(text):
             text = text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
-        return _STOP.sub(r" \1", text).replace("\n", " ").split(" ")
+        return text.replace("\n", " ").split(" ")
 
     def many(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text, as little-endian unsigned 32-bit numbers."""
-        split = list(map(self.parts, texts))
+        flat, ends = [], []
+        for text in texts:
+            flat += self.parts(text)
+            ends.append(len(flat))
         young, old = self.young, self.old
-        found = [list(map(young.get, parts)) for parts in split]
-        lacking = {p for parts, ids in zip(split, found) if None in ids for p, x in zip(parts, ids) if x is None}
+        ids = list(map(young.get, flat))
+        gaps = [i for i, x in enumerate(ids) if x is None]
+        lacking = {flat[i] for i in gaps}
         own = {p: x for p in lacking if (x := old.get(p)) is not None}
         own |= self._learned([p for p in lacking if p not in own])
-        out = [b"".join([own[p] if x is None else x for p, x in zip(parts, ids)] if None in ids else ids) for parts, ids in zip(split, found)]
+        for i in gaps:
+            ids[i] = own[flat[i]]
+        out = [b"".join(ids[a:b]) for a, b in zip([0, *ends], ends)]
         if len(young) + len(own) > self.room:
             self.old, self.young = young, {"": b""}
         self.young.update((p, x) for p, x in own.items() if len(p) <= self.longest)
@@ -220,9 +243,9 @@ class WordEncoder:
         return self.many([text])[0]
 
 
-#: Marks that compose with ASCII letters, and stops behind a word of letters that stay letters when normalised.
+#: Marks that compose with ASCII letters, and letters that stay letters when normalised, with marks behind them.
 _MARK = re.compile("[\u0300-\u036f]")
-_STOP = re.compile(r"(?<=[0-9A-Za-z\u00c0-\u012f\u0131-\u024f])([.,])(?=[ \n]|\Z)")
+_ENDED = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([.,!?;:#*$%&]+)")
 
 _encoders: dict[str, WordEncoder] = {}
 
