@@ -9,7 +9,7 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from docreef.functions.scalars import base_name
 
@@ -31,14 +31,6 @@ class FolderReader(DataSourceReader):
         self.root = options["path"]
         self.container = options.get("container", os.path.basename(self.root.rstrip("/")))
         self.hashes = options.get("hash", "true") == "true"
-        self.only: str | None = None
-
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        for f in filters:
-            if isinstance(f, EqualTo) and f.attribute == ("name",):
-                self.only = f.value
-            else:
-                yield f
 
     def partitions(self) -> list[InputPartition]:
         return [InputPartition(d) for d, _, names in os.walk(self.root) if names] or [InputPartition(None)]
@@ -47,7 +39,7 @@ class FolderReader(DataSourceReader):
         if partition.value is None:
             return
         for e in sorted(os.scandir(partition.value), key=lambda e: e.name):
-            if e.is_file() and (self.only is None or e.name == self.only):
+            if e.is_file():
                 stat = e.stat()
                 yield self.container, e.name, e.path, stat.st_size, datetime.fromtimestamp(stat.st_mtime), _md5(e.path) if self.hashes else None
 
