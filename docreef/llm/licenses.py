@@ -200,6 +200,7 @@ def _keywords(pattern: str) -> tuple[str, ...]:
     flat = re.sub(r"\\S\+", "\0", pattern)
     while (cut := re.sub(r"\(\?:([^()]*)\)(?:[?*+]|\{[^}]*\})?", lambda m: " \0 " if " " in m[1][:1] + m[1][-1:] else "\0", flat)) != flat:
         flat = cut
+    flat = re.sub(r"\S+ \?\S*", "\0", flat)  # a space that may be missing
     return tuple(sorted({w for w in flat.split() if re.fullmatch(r"[a-z0-9]+", w)}))
 
 
