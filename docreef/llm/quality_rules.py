@@ -8,14 +8,16 @@ from __future__ import annotations
 import re
 import time
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import cached_property
 
 import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docreef.llm.common import map_rows
+from docreef.llm.common import arrow_schema, map_rows
 
 _SPACE = " \t\n\x0b\x0c\r"
 _SYMBOLS = "#*$%&|<>"
@@ -125,28 +127,35 @@ SQL_RULES = {
 }
 
 
-def estimate(docs: DataFrame, rules: list[Rule] = RULES, sample_rows: int = 400, text: str = "text") -> dict[str, tuple[float, float]]:
-    """Per rule: seconds a text, and the share of texts that it rejects, on a sample of at most ``sample_rows``.
+def estimate(docs: DataFrame, rules: list[Rule] = RULES, tasks: int = 16, rows: int = 25, text: str = "text") -> dict[str, tuple[float, float]]:
+    """Per rule: seconds a text, and the share of texts that it rejects, on a sample: the first ``rows`` texts of each
+    of the first ``tasks`` partitions; other tasks read nothing.
 
     A rule's cost includes the measures it needs. The sample orders the rules and decides nothing else, so any rows
-    do; they are timed on an executor and only the sums come back.
+    do; they are timed on executors and only sums come back.
     """
     tests = dict(rules)
 
-    def start():
-        def row(body):
-            seconds, hits = [], []
-            for name in tests:
-                m, began = Measures(body), time.perf_counter()
-                hits.append(float(tests[name](m)))
-                seconds.append(time.perf_counter() - began)
-            return seconds, hits
-
-        return row
-
-    got = map_rows(docs.select(text).limit(sample_rows), [text], "seconds array<double>, hits array<double>", start)
-    sums = got.agg(*[F.avg(F.col(c)[i]).alias(f"{c}{i}") for i in range(len(tests)) for c in ("seconds", "hits")]).first()
-    return {name: (sums[f"seconds{i}"] or 0.0, sums[f"hits{i}"] or 0.0) for i, name in enumerate(tests)}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if TaskContext.get().partitionId() >= tasks:
+            return
+        for batch in batches:
+            bodies = batch.column(0).slice(0, rows).to_pylist()
+            seconds, hits = [0.0] * len(tests), [0.0] * len(tests)
+            for body in bodies:
+                for i, test in enumerate(tests.values()):
+                    m, began = Measures(body), time.perf_counter()
+                    hits[i] += test(m)
+                    seconds[i] += time.perf_counter() - began
+            if bodies:
+                yield pa.RecordBatch.from_pydict({"n": [len(bodies)], "seconds": [seconds], "hits": [hits]}, schema=arrow_schema(ddl))
+                return
+
+    ddl = "n long, seconds array<double>, hits array<double>"
+    got = docs.select(text).mapInArrow(run, ddl)
+    sums = got.agg(F.sum("n").alias("n"), *[F.sum(F.col(c)[i]).alias(f"{c}{i}") for i in range(len(tests)) for c in ("seconds", "hits")]).first()
+    n = sums["n"] or 1
+    return {name: ((sums[f"seconds{i}"] or 0.0) / n, (sums[f"hits{i}"] or 0.0) / n) for i, name in enumerate(tests)}
 
 
 def ordered(rules: list[Rule], estimates: dict[str, tuple[float, float]]) -> list[Rule]:
@@ -159,14 +168,14 @@ def ordered(rules: list[Rule], estimates: dict[str, tuple[float, float]]) -> lis
     return sorted(rules, key=worth)
 
 
-def judged(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: list[Rule] = RULES, sample_rows: int = 400) -> DataFrame:
+def judged(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: list[Rule] = RULES) -> DataFrame:
     """Per document: its base measures, base_failed and kept.
 
     A text that the base test fails meets no rule; the others meet the rules one by one until one rejects. Edge cases:
     a null text has no words and fails the base test; a null key stays; repeated rows are judged each; no rows give no
     rows; other columns are not read. Whole texts are read, in one narrow pass.
     """
-    cascade = ordered(rules, estimate(docs, rules, sample_rows, text))
+    cascade = ordered(rules, estimate(docs, rules, text=text))
 
     def start():
         def row(doc_id, body):
@@ -181,14 +190,12 @@ def judged(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: list
     return map_rows(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")), ["doc_id", "text"], ddl, start)
 
 
-def kept_rows(docs: DataFrame, text: str = "text", rules: list[Rule] = RULES, sample_rows: int = 400) -> DataFrame:
+def kept_rows(docs: DataFrame, text: str = "text", rules: list[Rule] = RULES) -> DataFrame:
     """The rows of docs whose text is kept, all columns unchanged; narrow, and measured only as far as the cascade goes."""
-    cascade = ordered(rules, estimate(docs, rules, sample_rows, text))
+    cascade = ordered(rules, estimate(docs, rules, text=text))
     place = docs.columns.index(text)
 
     def run(batches):
-        import pyarrow as pa
-
         for batch in batches:
             mask = []
             for body in batch.column(place).to_pylist():
