@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from docreef.llm.common import written
 
 #: Vectors of a shard, at about which a graph of plain arrays is still built in a task's time and memory.
-SHARD = 1 << 14
+SHARD = 1 << 13
 #: Queries of a block, which meets every shard as one row.
 BLOCK = 2048
 
@@ -187,7 +187,9 @@ def build_index(vectors: DataFrame, k: int, shard_rows: int = SHARD, degree: int
     )
     points = written(points.withColumn("dim", F.size("vector")), "ann-points")
     dims = points.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / shard_rows).alias("shards"))
+    shards = dims.agg(F.sum("shards")).first()[0] or 0
     placed = points.join(dims, "dim").withColumn("shard", F.pmod(F.xxhash64(F.col("members")[0]), F.col("shards")))
+    placed = placed.repartition(int(min(max(3 * shards, 1), 20_000)), "dim", "shard")  # a number: else small shards share a task
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("members", key=lambda s: s.str[0], ignore_index=True)
