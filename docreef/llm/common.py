@@ -70,6 +70,13 @@ def arrow_schema(ddl: str) -> pa.Schema:
     return pa.schema([pa.field(*((f := part.split())[0], kind(f[1]))) for part in ddl.split(",")])
 
 
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The same rows in small batches without copies, so that few of them are Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def map_rows(
     df: DataFrame, columns: list[str], ddl: str, start: Callable[[], Callable[..., Iterable[tuple] | tuple | None]]
 ) -> DataFrame:
@@ -82,21 +89,19 @@ def map_rows(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = start()
-        for batch in batches:
+        for batch in slices(batches):
             out = [row(*values) for values in zip(*(batch.column(c).to_pylist() for c in columns), strict=True)]
-            if out:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, type=f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)],
-                    schema=schema,
-                )
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, type=f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema
+            )
 
     return df.select(*columns).mapInArrow(run, ddl)
 
 
-def row_blocks(batches: Iterator[pa.RecordBatch], chars: int = 4_000_000) -> Iterator[tuple[list, list]]:
+def row_blocks(batches: Iterable[pa.RecordBatch], chars: int = 1_000_000) -> Iterator[tuple[list, list]]:
     """(keys, texts) of rows in two columns, as many at once as hold ``chars`` characters."""
-    for batch in batches:
-        keys, values, held = [], [], 0
+    keys, values, held = [], [], 0
+    for batch in slices(batches, 64):
         for k, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             keys.append(k)
             values.append(v)
@@ -104,8 +109,8 @@ def row_blocks(batches: Iterator[pa.RecordBatch], chars: int = 4_000_000) -> Ite
             if held >= chars:
                 yield keys, values
                 keys, values, held = [], [], 0
-        if keys:
-            yield keys, values
+    if keys:
+        yield keys, values
 
 
 def fold_of(key: str, parts: int) -> Column:

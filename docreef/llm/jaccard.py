@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docreef.llm.common import arrow_schema, folded_words, map_rows, written
+from docreef.llm.common import arrow_schema, folded_words, map_rows, slices, written
 
 #: Words of a shingle, and the least similarity of a link.
 WIDTH, THRESHOLD = 5, 0.8
@@ -351,7 +351,7 @@ def _with_shared_ids(docs: DataFrame, key: str, rows: DataFrame, shared: DataFra
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             marks = [hashlib.md5(b" ".join(w)).digest() if (w := folded_words(t)) else None for t in batch.column(names.index("text")).to_pylist()]
             yield batch.append_column("_print", pa.array(marks, pa.binary()))
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docreef.llm.common import fold_of, map_rows, written
+from docreef.llm.common import fold_of, map_rows, slices, written
 from docreef.llm.quality_rules import Measures
 
 #: Most labelled rows that a model is fitted on. Beyond it, those with the smallest hashes are taken.
@@ -188,9 +188,8 @@ def accepted(docs: DataFrame, labels: DataFrame, parts: int = 4, held: int = 2,
     place = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                scores = model.scores(np.array([statistics(t) for t in batch.column(place).to_pylist()]))
-                yield batch.filter(pa.array(scores >= threshold))
+        for batch in slices(batches):
+            scores = model.scores(np.array([statistics(t) for t in batch.column(place).to_pylist()]))
+            yield batch.filter(pa.array(scores >= threshold))
 
     return docs.mapInArrow(run, docs.schema)

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docreef.llm.common import arrow_schema, map_rows
+from docreef.llm.common import arrow_schema, map_rows, slices
 
 _SPACE = " \t\n\x0b\x0c\r"
 _SYMBOLS = "#*$%&|<>"
@@ -196,7 +196,7 @@ def kept_rows(docs: DataFrame, text: str = "text", rules: list[Rule] = RULES) ->
     place = docs.columns.index(text)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             mask = []
             for body in batch.column(place).to_pylist():
                 m = Measures(body)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docreef.llm.common import fold_of, folded_words, map_rows, written
+from docreef.llm.common import fold_of, folded_words, map_rows, slices, written
 
 #: Most positive and unlabelled texts to learn from, features to choose from, and features of a classifier.
 POSITIVES, UNLABELLED, CANDIDATES, FEATURES = 2_000, 6_000, 20_000, 1_024
@@ -37,7 +37,7 @@ def frequencies(rows: DataFrame, only: frozenset[str] | None = None) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[str] = Counter()
-        for batch in batches:
+        for batch in slices(batches):
             for text in batch.column(0).to_pylist():
                 own = {f for w in set(text_words(text)) for f in word_features(w)}
                 counts.update(own if only is None else own & only)
