@@ -305,7 +305,8 @@ def grouped(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, t
     groups = nodes.select("print", "n", "least").join(linked, "print", "left").select(
         "print", "n", "least", F.coalesce("class_id", "least").alias("class_id"), F.coalesce("texts", F.lit(0)).alias("texts"), F.coalesce("docs", F.lit(0)).alias("docs")
     )
-    return signs.select("doc_id", "print"), groups
+    # written, so that joins with documents are of two plain shuffles, of which Spark can split a print with many copies
+    return signs.select("doc_id", "print"), written(groups, "jaccard-groups")
 
 
 def near_duplicates(docs: DataFrame, **options) -> DataFrame:
