@@ -13,6 +13,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,27 +41,28 @@ def _uniform(seeds: np.ndarray) -> np.ndarray:
 class _Table:
     """Pieces by a 64-bit hash of their characters, with open addressing."""
 
-    BASE = _U64(0x100000001B3)
+    BASE, SPREAD = 0x100000001B3, 0x9E3779B97F4A7C15
 
     def __init__(self, pieces: dict[str, int], bits: int = 21):
-        self.shift, self.mask = _U64(64 - bits), (1 << bits) - 1
+        self.shift, self.mask = 64 - bits, (1 << bits) - 1
         self.keys = np.zeros(1 << bits, np.uint64)
         self.values = np.full(1 << bits, -1, np.int32)
+        taken: set[int] = set()
         for piece, number in pieces.items():
-            h = _U64(0)
-            with np.errstate(over="ignore"):
-                for c in piece:
-                    h = self.step(h, _U64(ord(c)))
-                at = int((h * _U64(0x9E3779B97F4A7C15)) >> self.shift)
-            while self.keys[at]:
+            h = 0
+            for c in map(ord, piece):  # step(), in Python's own integers
+                h = (h * self.BASE + (c + 0x9E37) * 0xC2B2AE3D27D4EB4F) % 2**64
+            at = h * self.SPREAD % 2**64 >> self.shift
+            while at in taken:
                 at = (at + 1) & self.mask
+            taken.add(at)
             self.keys[at], self.values[at] = h, number
 
-    def step(self, h, c):
-        return h * self.BASE + (c + _U64(0x9E37)) * _U64(0xC2B2AE3D27D4EB4F)
+    def step(self, h: np.ndarray, c: np.ndarray) -> np.ndarray:
+        return h * _U64(self.BASE) + (c + _U64(0x9E37)) * _U64(0xC2B2AE3D27D4EB4F)
 
     def find(self, h: np.ndarray) -> np.ndarray:
-        at = ((h * _U64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+        at = ((h * _U64(self.SPREAD)) >> _U64(self.shift)).astype(np.int64)
         found = self.keys[at]
         out = np.where(found == h, self.values[at], np.int32(-1))
         left = np.flatnonzero((found != h) & (found != 0))
@@ -74,7 +76,7 @@ class _Table:
 
 
 class Pieces:
-    """A vocabulary with its lattice; one a task. Many units are filtered and sampled at once, position by position."""
+    """A vocabulary with its lattice. Many units are filtered and sampled at once, position by position."""
 
     def __init__(self, model: str, alpha: float = 1.0, seed: int = 0):
         import sentencepiece
@@ -271,13 +273,19 @@ class Pieces:
         return b"".join([surface[i] for i in ids]).decode("utf-8")[1:]
 
 
+@lru_cache(2)
+def vocabulary(model: str, alpha: float = 1.0, seed: int = 0) -> Pieces:
+    """Pieces that a Python worker reads once and keeps for its later tasks."""
+    return Pieces(model, alpha, seed)
+
+
 def encoded(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text", alpha: float = 1.0, seed: int = 0) -> DataFrame:
     """(doc_id, pieces) of whole texts: ids as an array."""
     ddl = "doc_id long, pieces array<int>"
     schema = arrow_schema(ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Pieces(model, alpha, seed)
+        own = vocabulary(model, alpha, seed)
         for keys, texts in row_blocks(batches):
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(own.encode(texts, keys), pa.list_(pa.int32()))], schema=schema)
 
@@ -288,7 +296,7 @@ def decoded(rows: DataFrame, model: str, key: str = "doc_id", pieces: str = "pie
     """(doc_id, text) of arrays of ids; null ids are the empty text."""
 
     def start():
-        own = Pieces(model)
+        own = vocabulary(model)
         return lambda k, ids: (k, own.decode(ids) if ids else "")
 
     return map_rows(rows, [key, pieces], "doc_id long, text string", start)
@@ -305,7 +313,7 @@ def round_trips(docs: DataFrame, model: str, key: str = "doc_id", text: str = "t
     schema = arrow_schema(ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Pieces(model, alpha, seed)
+        own = vocabulary(model, alpha, seed)
         for keys, texts in row_blocks(batches):
             ids = own.encode(texts, keys)
             yield pa.RecordBatch.from_arrays([
