@@ -288,7 +288,8 @@ def verified_links(docs: DataFrame, candidates: DataFrame, width: int, threshold
 
 def grouped(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, trees: int = TREES, longest: int = LONGEST, recall: float = RECALL, block: int = BLOCK, key: str = "doc_id", text: str = "text"):
     """(signatures, groups): (doc_id, print) of all documents, and of each print its n (documents with it), least
-    (their smallest id), class_id, texts and docs (links to other texts, and the documents those are)."""
+    (their smallest id), root (a print that names its class), class_id (the class's smallest id, which other classes
+    may share where ids repeat), texts and docs (links to other texts, and the documents those are)."""
     length = prefix_length(threshold, trees, longest, recall)
     signs = written(signed(docs, width, trees, length, key, text), "jaccard-signs")
     some = signs.where("print is not null")
@@ -301,9 +302,9 @@ def grouped(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, t
     counts = links.groupBy("print").agg(F.sum("texts").alias("texts"), F.sum("docs").alias("docs"))
     member = nodes.select("print", "n", "least").join(roots, F.col("print") == F.col("node")).select("print", "n", "least", "root")
     names = member.groupBy("root").agg(F.min("least").alias("class_id"))
-    linked = written(member.join(names, "root").join(counts, "print").select("print", "class_id", "texts", "docs"), "jaccard-classes")
+    linked = written(member.join(names, "root").join(counts, "print").select("print", "root", "class_id", "texts", "docs"), "jaccard-classes")
     groups = nodes.select("print", "n", "least").join(linked, "print", "left").select(
-        "print", "n", "least", F.coalesce("class_id", "least").alias("class_id"), F.coalesce("texts", F.lit(0)).alias("texts"), F.coalesce("docs", F.lit(0)).alias("docs")
+        "print", "n", "least", F.coalesce("root", "print").alias("root"), F.coalesce("class_id", "least").alias("class_id"), F.coalesce("texts", F.lit(0)).alias("texts"), F.coalesce("docs", F.lit(0)).alias("docs")
     )
     # written, so that joins with documents are of two plain shuffles, of which Spark can split a print with many copies
     return signs.select("doc_id", "print"), written(groups, "jaccard-groups")
@@ -331,12 +332,13 @@ def near_duplicates(docs: DataFrame, **options) -> DataFrame:
 def deduplicated(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
     """The rows of docs without those whose class has another representative, all columns unchanged.
 
-    A class is represented by its document of smallest id. Rows without words all stay, as do rows without an id.
+    A class is represented by its document of smallest id; of several texts of a class with that id, by the one of least
+    print. Rows without words all stay, as do rows without an id.
     Rows to drop are found by id, so texts are not shuffled while those fit a broadcast. An id that several rows with
     words share is decided by a further pass over the rows with such ids alone.
     """
     signs, groups = grouped(docs, key=key, **options)
-    rows = written(signs.join(groups.select("print", "class_id"), "print").where("doc_id is not null").select("doc_id", "print", "class_id"), "jaccard-rows")
+    rows = written(signs.join(groups.select("print", "root", "class_id"), "print").where("doc_id is not null").select("doc_id", "print", "root", "class_id"), "jaccard-rows")
     shared = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("doc_id")
     drop = rows.where("doc_id <> class_id").select("doc_id").distinct()
     if not shared.isEmpty():
@@ -358,7 +360,8 @@ def _with_shared_ids(docs: DataFrame, key: str, rows: DataFrame, shared: DataFra
 
     twice = sized_join(docs, shared, F.col(key) == F.col("_shared"), "left_semi")
     marked = twice.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in twice.dtypes) + ", _print binary")
-    stays = rows.where("doc_id = class_id").groupBy("doc_id").agg(F.min("print").alias("_print")).withColumnRenamed("doc_id", "_id")
-    one = marked.join(stays, (F.col(key) == F.col("_id")) & (marked["_print"] == stays["_print"])).select(*[F.col(f"`{n}`") for n in names], F.col("_id"))
-    one = one.dropDuplicates(["_id"]).select(*names)
+    # by root: classes whose smallest id is the same are told apart
+    stays = rows.where("doc_id = class_id").groupBy("root").agg(F.min("print").alias("_print"), F.first("doc_id").alias("_id")).drop("root")
+    one = marked.join(stays, (F.col(key) == F.col("_id")) & (marked["_print"] == stays["_print"])).select(*[F.col(f"`{n}`") for n in names], F.col("_id"), marked["_print"])
+    one = one.dropDuplicates(["_id", "_print"]).select(*names)
     return single.unionByName(one).unionByName(marked.where("_print is null").select(*names))

@@ -133,6 +133,19 @@ def test_repeated_rows_leave_one(spark):
     assert sorted((r["doc_id"], r["text"]) for r in jaccard.deduplicated(df).where("text is not null").collect()) == [(1, "a b c d e f g"), (3, "other words here that differ a lot")]
 
 
+def test_classes_that_share_their_smallest_id_all_stay(spark, odd):
+    a, b, c = "a b c d e f g", "other words here that differ a lot", "third text of yet another class of words"
+    df = spark.createDataFrame([(7, a), (7, b), (9, b), (7, b), (8, a), (8, c), (10, c), (11, "alone with its own id in here")], "doc_id long, text string")
+    kept = sorted((r["doc_id"], r["text"]) for r in jaccard.deduplicated(df).collect())
+    assert kept == [(7, a), (7, b), (8, c), (11, "alone with its own id in here")]
+    base = [f"v{i}" for i in range(100)]  # two near copies with one id are one class
+    near = [" ".join(base), " ".join(base[:-1] + ["new"])]
+    df = spark.createDataFrame([(7, near[0]), (7, near[1]), (9, near[1]), (7, a)], "doc_id long, text string")
+    kept = [(r["doc_id"], r["text"]) for r in jaccard.deduplicated(df).collect()]
+    assert len(kept) == 2 and {k for k, _ in kept} == {7} and (7, a) in kept
+    assert sum(r["doc_id"] == 3 for r in jaccard.deduplicated(odd).select("doc_id").collect()) == 2
+
+
 def test_prefix_is_shortened_to_the_target():
     k = jaccard.prefix_length(0.8, 24, 8, 0.9999)
     found = lambda k: 1 - (1 - 0.8**k) ** 24
