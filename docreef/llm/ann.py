@@ -18,6 +18,11 @@ SHARD = 1 << 13
 BLOCK = 2048
 
 
+def unit(x: np.ndarray) -> np.ndarray:
+    """x times the power of two that brings its largest component to [0.5, 1): the same order in 32 bits, at any size."""
+    return np.ldexp(x, -int(np.frexp(np.abs(x).max(initial=0.0))[1]))
+
+
 class Graph:
     """A hierarchical navigable small-world graph (Malkov and Yashunin 2016) in flat arrays.
 
@@ -29,9 +34,10 @@ class Graph:
     def __init__(self, vectors: np.ndarray, degree: int = 16, breadth: int = 96, seed: int = 5):
         self.vectors = np.ascontiguousarray(vectors, np.float64)
         self.degree, self.breadth, self.seed = degree, breadth, seed
-        squares = (self.vectors**2).sum(1)
+        scaled = unit(self.vectors)
+        squares = (scaled**2).sum(1)
         rest = np.sqrt(np.maximum(squares.max(initial=0.0) - squares, 0.0))
-        self.lifted = np.hstack([self.vectors, rest[:, None]]).astype(np.float32)
+        self.lifted = np.hstack([scaled, rest[:, None]]).astype(np.float32)
         self.stamp = np.zeros(len(vectors), np.int64)
         self.token = 0
 
@@ -155,7 +161,7 @@ class Graph:
 
     def near(self, vector: np.ndarray, breadth: int) -> np.ndarray:
         """About ``breadth`` points of largest inner product with the vector, in no order."""
-        q = np.append(vector, 0).astype(np.float32)
+        q = np.append(unit(vector), 0).astype(np.float32)
         found = [(float(self.lifted[self.entry] @ q), int(self.entry))]
         for level in range(len(self.links) - 1, 0, -1):
             row, own, size = self.points[level], self.links[level], self.sizes[level]
@@ -171,11 +177,19 @@ def usable(vector: str) -> Column:
     return F.coalesce(v.isNotNull() & (F.size(v) > 0) & fine & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
+def band(vector: str) -> Column:
+    """The power of ten nearest to a vector's norm. Vectors of a band are alike enough in norm for sums of 32 bits."""
+    v = F.col(vector)
+    most = F.array_max(F.transform(v, F.abs))
+    squares = F.aggregate(F.transform(v, lambda x: (x / most) * (x / most)), F.lit(0.0), lambda a, x: a + x)
+    return F.round(F.log10(most) + F.log10(squares) / 2).cast("long")
+
+
 _INDEX = "dim int, shard long, n long, entry long, vectors binary, points array<binary>, links array<binary>, members array<array<bigint>>"
 
 
 def build_index(vectors: DataFrame, k: int, shard_rows: int = SHARD, degree: int = 16, breadth: int = 96) -> DataFrame:
-    """A row a shard, from rows (vec_id, vector).
+    """A row a shard, from rows (vec_id, vector). A shard has vectors of one dimension and of one band of norms.
 
     Equal vectors are one point that keeps its k + 1 smallest ids: no query can use more of them, whichever row it is
     itself. They are picked before the shuffle, so a vector that a third of all rows share stays small.
@@ -185,10 +199,11 @@ def build_index(vectors: DataFrame, k: int, shard_rows: int = SHARD, degree: int
         vectors.withColumn("place", F.row_number().over(first)).where(F.col("place") <= k + 1)
         .groupBy("vector").agg(F.sort_array(F.collect_list("vec_id")).alias("members"))
     )
-    points = written(points.withColumn("dim", F.size("vector")), "ann-points")
-    dims = points.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / shard_rows).alias("shards"))
+    points = written(points.withColumn("dim", F.size("vector")).withColumn("band", band("vector")), "ann-points")
+    dims = points.groupBy("dim", "band").agg(F.ceil(F.count(F.lit(1)) / shard_rows).alias("shards"))
     shards = dims.agg(F.sum("shards")).first()[0] or 0
-    placed = points.join(dims, "dim").withColumn("shard", F.pmod(F.xxhash64(F.col("members")[0]), F.col("shards")))
+    within = F.pmod(F.xxhash64(F.col("members")[0]), F.col("shards"))
+    placed = points.join(dims, ["dim", "band"]).withColumn("shard", F.col("band") * 2**32 + within).drop("band")
     placed = placed.repartition(int(min(max(3 * shards, 1), 20_000)), "dim", "shard")  # a number: else small shards share a task
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -36,6 +36,19 @@ def test_recall(spark, shard_rows):
     assert all(s == pytest.approx(score[q, i], abs=1e-12) for q, x in got.items() for i, s in x)
 
 
+@pytest.mark.parametrize("norms", ["one outlier", "spread"])
+def test_recall_of_uneven_norms(spark, norms):
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(2000, 32))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    v *= np.where(np.arange(2000) == 7, 1e6, 1.0)[:, None] if norms == "one outlier" else 10 ** rng.uniform(-200, 100, (2000, 1))
+    rows = dict(enumerate(v.tolist()))
+    want, got = exact(rows), defaultdict(set)
+    for r in ann.nearest(spark.createDataFrame(list(rows.items()), "vec_id long, embedding array<double>")).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    assert sum(len(got[q] & {i for i, _ in want[q]}) for q in want) >= 0.9 * sum(map(len, want.values()))
+
+
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(i, [1.0, 2.0, 3.0]) for i in range(60)] + [(100, [3.0, 1.0, 0.0]), (120, [5.0, 5.0]), (121, [1.0, 0.5]), (140, None), (160, []), (180, [0.0, 0.0, 0.0]), (200, [nan, 1.0, 1.0]), (220, [inf, 1.0, 1.0]), (240, [None, 1.0, 1.0]), (None, [1.0, 1.0, 1.0]), (20, [1.0, 2.0, 3.0])]
