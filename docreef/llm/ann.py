@@ -218,14 +218,16 @@ def build_index(vectors: DataFrame, k: int, shard_rows: int = SHARD, degree: int
 
 
 def search(index: DataFrame, queries: DataFrame, k: int = 20, breadth: int = 160, block: int = BLOCK) -> DataFrame:
-    """(query_id, rank, vec_id, score) of rows (vec_id, vector) as queries, a query's own id left out.
+    """(query_id, rank, vec_id, score) of rows (vec_id, vector) as queries, a query's own row left out.
 
-    Blocks of queries meet each shard of their dimension once; a shard gives its k best of a query.
+    Blocks of queries meet each shard of their dimension once; a shard gives its k best of a query. Queries with one id
+    and different vectors are ranked apart.
     """
     n = queries.agg(F.count(F.lit(1)).alias("n"))
-    asked = queries.withColumn("dim", F.size("vector")).crossJoin(F.broadcast(n))  # one row
+    which = F.row_number().over(Window.partitionBy("vec_id").orderBy("vector"))
+    asked = queries.withColumn("dim", F.size("vector")).withColumn("which", which).crossJoin(F.broadcast(n))  # one row
     blocks = asked.groupBy("dim", F.pmod(F.xxhash64("vec_id"), F.ceil(F.col("n") / block)).alias("block")).agg(
-        F.collect_list(F.struct("vec_id", "vector")).alias("queries")
+        F.collect_list(F.struct("vec_id", "which", "vector")).alias("queries")
     )
     tasks = blocks.join(index.select("dim", "shard"), "dim").select("dim", "shard", "queries").join(index, ["dim", "shard"])
 
@@ -241,13 +243,14 @@ def search(index: DataFrame, queries: DataFrame, k: int = 20, breadth: int = 160
                     own, vector = q["vec_id"], np.array(q["vector"], np.float64)
                     near = graph.near(vector, max(breadth, k + 1))
                     scores = (graph.vectors[near] * vector).sum(1)  # row by row: equal vectors score alike
-                    hits = sorted((-s, int(m)) for s, x in zip(scores.tolist(), near.tolist()) for m in row.members[x] if m != own)
-                    out += [(own, m, -s) for s, m in hits[:k]]
+                    same = (graph.vectors[near] == vector).all(1)
+                    hits = sorted((-s, int(m)) for s, x, e in zip(scores.tolist(), near.tolist(), same.tolist()) for m in row.members[x] if m != own or not e)
+                    out += [(own, q["which"], m, -s) for s, m in hits[:k]]
                 if out:
-                    yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
+                    yield pd.DataFrame(out, columns=["query_id", "which", "vec_id", "score"])
 
-    hits = tasks.mapInPandas(run, "query_id long, vec_id long, score double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    hits = tasks.mapInPandas(run, "query_id long, which int, vec_id long, score double")
+    best = Window.partitionBy("query_id", "which").orderBy(F.desc("score"), "vec_id")
     return hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -255,12 +258,13 @@ def nearest(embeddings: DataFrame, k: int = 20, every: int = 20, key: str = "vec
     """Each query's k nearest of all other rows; queries are the rows whose id is divisible by ``every``.
 
     Edge cases: rows without an id, and vectors that are null, empty or zero or hold null or non-finite components, take
-    no part; of rows with one id the smallest vector counts; vectors of another dimension than the query's are no
+    no part; rows with one id and different vectors are rows of their own, as queries and as candidates, while
+    repeated rows of one id and vector count once; vectors of another dimension than the query's are no
     candidates; equal scores go by id; with fewer candidates than k there are fewer rows; no rows give no rows; other
     columns are not read.
     """
     rows = embeddings.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("vector"))
     rows = rows.where(F.col("vec_id").isNotNull() & usable("vector"))
-    rows = written(rows.groupBy("vec_id").agg(F.min("vector").alias("vector")), "ann-rows")
+    rows = written(rows.distinct(), "ann-rows")
     build = {x: options.pop(x) for x in ("shard_rows", "degree") if x in options}
     return search(build_index(rows, k, **build), rows.where(F.col("vec_id") % every == 0), k, **options)

@@ -62,6 +62,17 @@ def test_odd_vectors(spark):
     assert ann.nearest(df.where("vec_id = 100")).count() == 0
 
 
+def test_rows_that_share_an_id(spark):
+    rows = [(20, [1.0, 2.0]), (20, [3.0, -1.0]), (20, [3.0, -1.0]), (1, [2.0, 2.0]), (1, [-1.0, 5.0]), (2, [1.0, 2.0])]
+    points, want = sorted({(i, tuple(v)) for i, v in rows}), []
+    for p in points:
+        if p[0] == 20:
+            hits = sorted((-(p[1][0] * v[0] + p[1][1] * v[1]), i) for i, v in points if (i, v) != p)
+            want += [(20, n, i, -s) for n, (s, i) in enumerate(hits, 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(tuple(r) for r in ann.nearest(df).collect()) == sorted(want) and len(want) == 8
+
+
 # --- 9: n-gram Jaccard join ------------------------------------------------------------------------------------------
 def brute(rows):
     """(doc_id, class_id, n_links, n_texts, n_copies) of (doc_id, text), ids unique."""
