@@ -36,40 +36,40 @@ class Signature:
     keywords: tuple[str, ...]
 
 
-_V = r"(?:version |v )?"
+_V = r"(?:version |v ?)?"  # "v2.0" is folded to "v2 0"
 
 #: label: names of a license in folded words. Versions are spelled as words: "2 0".
 _NAMES = {
     "apache-1.0": (r"apache (?:software )?license " + _V + r"1 0",),
     "apache-1.1": (r"apache (?:software )?license " + _V + r"1 1",),
-    "apache-2.0": (r"apache (?:software )?license " + _V + r"2(?: 0)?", r"asl ?2 0"),
+    "apache-2.0": (r"apache (?:software )?license " + _V + r"2(?: 0)?", r"asl ?2 0", r"apache version 2(?: 0)?", r"apache v ?2(?: 0)?", r"apache 2 0"),
     "mit": (r"(?:the )?mit license", r"(?:the )?expat license", r"mit x11 license", r"licensed under mit"),
     "mit-0": (r"mit no attribution(?: license)?",),
     "bsd-2-clause": (r"(?:simplified|freebsd) bsd license", r"bsd 2 clause(?: license)?", r"two clause bsd license"),
     "bsd-3-clause": (r"(?:new|modified|revised) bsd license", r"bsd 3 clause(?: license)?", r"three clause bsd license"),
     "bsd-4-clause": (r"(?:original|old) bsd license", r"bsd 4 clause(?: license)?", r"four clause bsd license"),
     "0bsd": (r"zero clause bsd license", r"bsd zero clause license"),
-    "gpl-1.0": (r"(?:gnu )?general public license " + _V + r"1(?: 0)?", r"gplv1", r"gpl1"),
-    "gpl-2.0": (r"(?:gnu )?general public license " + _V + r"2(?: 0)?", r"gnu gpl " + _V + r"2", r"gplv2", r"gpl2"),
-    "gpl-3.0": (r"(?:gnu )?general public license " + _V + r"3(?: 0)?", r"gnu gpl " + _V + r"3", r"gplv3", r"gpl3"),
-    "lgpl-2.0": (r"(?:gnu )?library general public license(?: " + _V + r"2(?: 0)?)?", r"lgplv2"),
-    "lgpl-2.1": (r"(?:gnu )?lesser general public license " + _V + r"2 1", r"lgplv2 1", r"lgpl 2 1"),
-    "lgpl-3.0": (r"(?:gnu )?lesser general public license " + _V + r"3(?: 0)?", r"lgplv3", r"lgpl3"),
-    "agpl-3.0": (r"(?:gnu )?affero general public license(?: " + _V + r"3(?: 0)?)?", r"agplv3", r"agpl3"),
-    "gfdl-1.1": (r"(?:gnu )?free documentation license " + _V + r"1 1",),
-    "gfdl-1.2": (r"(?:gnu )?free documentation license " + _V + r"1 2",),
-    "gfdl-1.3": (r"(?:gnu )?free documentation license " + _V + r"1 3",),
-    "mpl-1.0": (r"mozilla public license " + _V + r"1 0",),
-    "mpl-1.1": (r"mozilla public license " + _V + r"1 1", r"mpl 1 1"),
-    "mpl-2.0": (r"mozilla public license " + _V + r"2(?: 0)?", r"mpl 2 0"),
-    "epl-1.0": (r"eclipse public license (?:" + _V + r"1 0)", r"epl 1 0"),
-    "epl-2.0": (r"eclipse public license (?:" + _V + r"2 0)", r"epl 2 0"),
+    "gpl-1.0": (r"(?:gnu )?general public license " + _V + r"1(?: 0)?", r"gpl " + _V + r"1(?: 0)?", r"gplv1", r"gpl1"),
+    "gpl-2.0": (r"(?:gnu )?general public license " + _V + r"2(?: 0)?", r"gnu gpl " + _V + r"2", r"gpl " + _V + r"2(?: 0)?", r"gplv2", r"gpl2"),
+    "gpl-3.0": (r"(?:gnu )?general public license " + _V + r"3(?: 0)?", r"gnu gpl " + _V + r"3", r"gpl " + _V + r"3(?: 0)?", r"gplv3", r"gpl3"),
+    "lgpl-2.0": (r"(?:gnu )?library general public license(?: " + _V + r"2(?: 0)?)?", r"lgpl " + _V + r"2(?: 0)?", r"lgplv2"),
+    "lgpl-2.1": (r"(?:gnu )?lesser general public license " + _V + r"2 1", r"lgplv2 1", r"lgpl " + _V + r"2 1"),
+    "lgpl-3.0": (r"(?:gnu )?lesser general public license " + _V + r"3(?: 0)?", r"lgpl " + _V + r"3(?: 0)?", r"lgplv3", r"lgpl3"),
+    "agpl-3.0": (r"(?:gnu )?affero general public license(?: " + _V + r"3(?: 0)?)?", r"agpl " + _V + r"3(?: 0)?", r"agplv3", r"agpl3"),
+    "gfdl-1.1": (r"(?:gnu )?free documentation license " + _V + r"1 1", r"gfdl " + _V + r"1 1"),
+    "gfdl-1.2": (r"(?:gnu )?free documentation license " + _V + r"1 2", r"gfdl " + _V + r"1 2"),
+    "gfdl-1.3": (r"(?:gnu )?free documentation license " + _V + r"1 3", r"gfdl " + _V + r"1 3"),
+    "mpl-1.0": (r"mozilla public license " + _V + r"1 0", r"mpl " + _V + r"1 0"),
+    "mpl-1.1": (r"mozilla public license " + _V + r"1 1", r"mpl " + _V + r"1 1"),
+    "mpl-2.0": (r"mozilla public license " + _V + r"2(?: 0)?", r"mpl " + _V + r"2(?: 0)?", r"mplv2(?: 0)?"),
+    "epl-1.0": (r"eclipse public license (?:" + _V + r"1 0)", r"epl " + _V + r"1 0"),
+    "epl-2.0": (r"eclipse public license (?:" + _V + r"2 0)", r"epl " + _V + r"2 0"),
     "edl-1.0": (r"eclipse distribution license(?: " + _V + r"1 0)?",),
     "cpl-1.0": (r"common public license(?: " + _V + r"1 0)?",),
-    "cddl-1.0": (r"common development and distribution license(?: " + _V + r"1 0)?", r"cddl 1 0"),
-    "cddl-1.1": (r"common development and distribution license " + _V + r"1 1", r"cddl 1 1"),
-    "eupl-1.1": (r"european union public license " + _V + r"1 1", r"eupl 1 1"),
-    "eupl-1.2": (r"european union public license " + _V + r"1 2", r"eupl 1 2"),
+    "cddl-1.0": (r"common development and distribution license(?: " + _V + r"1 0)?", r"cddl " + _V + r"1 0"),
+    "cddl-1.1": (r"common development and distribution license " + _V + r"1 1", r"cddl " + _V + r"1 1"),
+    "eupl-1.1": (r"european union public license " + _V + r"1 1", r"eupl " + _V + r"1 1"),
+    "eupl-1.2": (r"european union public license " + _V + r"1 2", r"eupl " + _V + r"1 2"),
     "osl-3.0": (r"open software license(?: " + _V + r"3 0)?",),
     "afl-3.0": (r"academic free license(?: " + _V + r"3 0)?",),
     "artistic-1.0": (r"artistic license " + _V + r"1 0", r"the artistic license"),

@@ -151,6 +151,19 @@ def test_license_rules_against_all_patterns():
     assert "apache-2.0" in scanner.scan(samples[1])["labels"] and "cc-by-nc-sa-4.0" in scanner.scan(samples[2])["labels"]
 
 
+@pytest.mark.parametrize("text, label", [
+    ("Apache License v2.0", "apache-2.0"), ("GNU General Public License v3", "gpl-3.0"), ("Mozilla Public License v2", "mpl-2.0"), ("MPL v2", "mpl-2.0"),
+    ("under GPL v2 only", "gpl-2.0"), ("GPL-3.0", "gpl-3.0"), ("GPL, version 2", "gpl-2.0"), ("Apache-2.0", "apache-2.0"), ("Apache v2", "apache-2.0"), ("LGPL-2.1", "lgpl-2.1"),
+    ("LGPL v3", "lgpl-3.0"), ("AGPL-3.0-or-later", "agpl-3.0"), ("EPL v2.0", "epl-2.0"), ("Apache License, v. 2.0", "apache-2.0"), ("Apache Licence version 2.0", "apache-2.0"),
+])
+def test_license_versions_and_identifiers(text, label):
+    scanner = licenses.Scanner()
+    got = {x[3] for x in scanner.detections(licenses.folded_words(text))}
+    assert got - {"gpl", "lgpl", "agpl", "mpl", "epl", "apache"} == {label}
+    joined = b" ".join(b"license" if w == b"licence" else w for w in licenses.folded_words(text))
+    assert all(need <= set(joined.split()) for need, p in zip(scanner.needs, scanner.patterns, strict=True) if p.search(joined))
+
+
 # --- 6: pieces -------------------------------------------------------------------------------------------------------
 @pytest.mark.parametrize("which", ["docs", "odd", "none"])
 def test_round_trips(which, request):
