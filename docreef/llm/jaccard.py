@@ -2,9 +2,9 @@
 
 1. Every text gets a fingerprint of its words and, for each tree of the forest, a label: a row of minima of hashes of its
    shingles. Texts with equal words are copies, one node from here on.
-2. Labels are sorted, tree by tree: the leaves of a prefix trie. Neighbours in that order are linked as candidates if
-   they share a prefix, which is shortened from the longest until a pair at the threshold is found with the target
-   recall.
+2. Labels are sorted, tree by tree. Neighbours in that order are linked as candidates if they share a whole label. Its
+   length is fixed beforehand: the longest at which, by formula, a pair at the threshold is found with the target
+   recall. So the forest equals bands of that many minima; labels are not shortened by what the data show.
 3. Candidates that hang together are verified against one another: shingle sets of texts, exact, in blocks.
 4. Verified links, joined into classes, give each document its class and its number of links.
 """
