@@ -49,15 +49,15 @@ def frequencies(rows: DataFrame, only: frozenset[str] | None = None) -> DataFram
     return rows.select("text").mapInArrow(run, "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
 
 
-def chosen_features(sample: DataFrame, least: int = 3, candidates: int = CANDIDATES, most: int = FEATURES) -> list[str]:
-    """Features more frequent in positive texts than in unlabelled ones, those with the clearest excess first."""
-    of = {bool(r["positive"]): r["n"] for r in sample.groupBy("positive").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n_pos, n_unl = of.get(True, 0), of.get(False, 0)
+def chosen_features(sample: DataFrame, corpus: DataFrame, least: int = 3, candidates: int = CANDIDATES, most: int = FEATURES) -> list[str]:
+    """Features more frequent in positive texts of the sample than in those of the corpus, counted over all its rows,
+    those with the clearest excess first."""
+    n_pos, n_unl = sample.where("positive").count(), corpus.count()
     if not n_pos or not n_unl:
         return []
     top = frequencies(sample.where("positive")).where(F.col("n") >= least).orderBy(F.desc("n"), "feature").limit(candidates)
     pos = {r["feature"]: r["n"] for r in top.collect()}
-    unl = {r["feature"]: r["n"] for r in frequencies(sample.where("not positive"), frozenset(pos)).collect()}
+    unl = {r["feature"]: r["n"] for r in frequencies(corpus, frozenset(pos)).collect()}
 
     def excess(f: str) -> float:
         p, q = pos[f] / n_pos, (unl.get(f, 0) + 0.5) / (n_unl + 1)
@@ -164,9 +164,11 @@ def learning_sample(docs: DataFrame, labels: DataFrame, name: str, parts: int, h
     return sample, share["p"] if share["least"] == 0 else None
 
 
-def fit(sample: DataFrame, prior: float, n_models: int = 3, seed: int = 11, **options) -> Model | None:
-    """The mean of n_models classifiers, each on another bootstrap of the sample; None without both kinds of text."""
-    features = chosen_features(sample, **options)
+def fit(sample: DataFrame, corpus: DataFrame, prior: float, n_models: int = 3, seed: int = 11, **options) -> Model | None:
+    """The mean of n_models classifiers, each on another bootstrap of the sample; None without both kinds of text.
+
+    corpus: the documents that may be learned from; features are chosen by their counts in all of them."""
+    features = chosen_features(sample, corpus, **options)
     if not features:
         return None
     rows = map_rows(sample, ["text", "positive"], "positive boolean, at array<int>, rates array<double>", lambda: (lambda vec: lambda t, p: (p, *vec(t)))(Vectors(features)))
@@ -196,7 +198,8 @@ def classify(
     positives every score is 0.05; no rows give no rows; no column but the text enters a score. Whole texts are read.
     """
     sample, share = learning_sample(docs, labels, name, parts, held, positives, unlabelled)
-    model = fit(sample, min(max(prior or share or 0.1, 1e-3), 0.9), **options)
+    corpus = docs.where(F.col("doc_id").isNotNull() & (fold_of("doc_id", parts) != held))
+    model = fit(sample, corpus, min(max(prior or share or 0.1, 1e-3), 0.9), **options)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def start():

@@ -159,3 +159,18 @@ def test_rows_are_blocked():
     assert list(row_blocks([batch], 4)) == [([1, 2, 3], ["aa", None, "bb"]), ([4], ["c"])]
     assert arrow_schema("a long, b array<array<long>>").field("b").type == pa.list_(pa.list_(pa.int64()))
     assert folded_words("A-b é.Ç 1") == [b"a", b"b", "é".encode(), "Ç".encode(), b"1"]
+
+
+def test_toxic_features_are_counted_over_all_documents(spark, docs, monkeypatch):
+    """All documents outside the held-out fold, however few unlabelled ones the classifiers are trained from."""
+    seen, plain = [], toxicity.frequencies
+
+    def spy(rows, only=None):
+        if only is not None:
+            seen.append(Counter(r["text"] for r in rows.select("text").collect()))
+        return plain(rows, only)
+
+    monkeypatch.setattr(toxicity, "frequencies", spy)
+    got = toxicity.classify(docs, spark.read.parquet(f"{SF}/labels.parquet"), unlabelled=20)
+    open_ids = {r["doc_id"] for r in got.where("not held_out").collect()}
+    assert seen == [Counter(r["text"] for r in docs.collect() if r["doc_id"] in open_ids)]
