@@ -1,18 +1,25 @@
 """N-gram Jaccard join by a MinHash LSH forest with exact verification.
 
-1. Every text gets a fingerprint of its words and, for each tree of the forest, a label: a row of minima of hashes of its
-   shingles. Texts with equal words are copies, one node from here on.
-2. Labels are sorted, tree by tree. Neighbours in that order are linked as candidates if they share a whole label. Its
-   length is fixed beforehand: the longest at which, by formula, a pair at the threshold is found with the target
-   recall. So the forest equals bands of that many minima; labels are not shortened by what the data show.
-3. Candidates that hang together are verified against one another: shingle sets of texts, exact, in blocks.
-4. Verified links, joined into classes, give each document its class and its number of links.
+1. Every text gets a fingerprint of its words and a label for each tree of the forest: a row of minima of hashes of its
+   shingles, the longest prefix that the trees know. Texts with equal words are copies, one node from here on.
+2. The labels of a tree, sorted, are a trie. How much of a label must match is found by shortening it, level by level,
+   until the links of a hashed sample, found at a far shorter prefix and verified exactly, are found again to the target
+   share, as counted and as their similarities let expect (``fitting_depth``).
+3. Texts that share a prefix of that length in a tree form a bucket. Of its pairs those whose labels agree in too few
+   minima for the threshold are left out; the others are the candidates. A bucket gives edges that span them, so that
+   texts which only share a passage aren't drawn together.
+4. Candidates that hang together come into one task, block by block, with their shingle sets; there the pairs that agree
+   in enough minima and in size are verified exactly, and no others.
+5. Verified links, joined into classes, give each document its class and its number of links.
 """
 
 from __future__ import annotations
 
 import hashlib
+import logging
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 from fractions import Fraction
 
 import numpy as np
@@ -20,17 +27,25 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from docreef.llm.common import arrow_schema, folded_words, map_rows, slices, written
 
 #: Words of a shingle, and the least similarity of a link.
 WIDTH, THRESHOLD = 5, 0.8
-#: Trees of the forest, longest prefix, and recall of a pair at the threshold.
-TREES, LONGEST, RECALL = 24, 8, 0.9999
-#: Texts of a block; candidates beyond it are verified block by block.
+#: Trees of the forest, longest prefix, and target recall of the links.
+TREES, LONGEST, RECALL = 24, 10, 0.9999
+#: The sample for the depth: texts of one in so many first minima of the first tree; the prefix at which its links are
+#: found; and how many links at the threshold itself are added to them, so that few links don't promise much.
+SAMPLE, SHALLOW, PRIOR = 8, 3, 10
+#: A pair at the threshold agrees in fewer minima than asked for with the chance of so many standard deviations (5e-6).
+DEVIATIONS = 4.4
+#: Texts of a block; candidates beyond it are compared block by block.
 BLOCK = 512
-#: Rows that may be broadcast, of at most 100 bytes each.
+#: Rows that may be broadcast, of at most 100 bytes each. Counted before; beyond it Spark sorts and merges, same rows.
 BROADCAST_ROWS = 250_000
+#: Runs of a trie up to this size are known by their members, so that equal runs of several trees are one bucket.
+SMALL_RUN = 64
 
 _U64 = np.uint64
 _RNG = np.random.default_rng(20240229)
@@ -38,13 +53,17 @@ _LETTERS = _RNG.integers(0, 2**64, 256, dtype=np.uint64)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BACK = pow(_BASE, -1, 2**64)
 
+log = logging.getLogger(__name__)
 
-def prefix_length(threshold: float, trees: int, longest: int, recall: float) -> int:
-    """The longest prefix at which some tree of the forest joins a pair at the threshold with the target recall."""
-    k = longest
-    while k > 1 and 1 - (1 - threshold**k) ** trees < recall:
-        k -= 1
-    return k
+
+def found_share(similarity, depth: int, trees: int):
+    """Chance that some tree has a pair of that similarity share a prefix of ``depth`` minima."""
+    return 1 - (1 - np.asarray(similarity, float) ** depth) ** trees
+
+
+def least_agreement(threshold: float, minima: int) -> int:
+    """Minima in which two texts' labels must agree to be a candidate."""
+    return max(1, math.ceil(minima * threshold - DEVIATIONS * math.sqrt(minima * threshold * (1 - threshold))))
 
 
 class _Powers:
@@ -87,7 +106,7 @@ def shingles(words: list[bytes], width: int = WIDTH, block: int = 100_000) -> np
 
 
 class Labels:
-    """A text's labels: for each tree, ``length`` minima of 32 bits each, big-endian, so that bytes sort as a trie."""
+    """A text's labels: for each tree, ``length`` minima of 16 bits each, one after another, so that bytes sort as a trie."""
 
     def __init__(self, trees: int, length: int, seed: int = 3):
         rng = np.random.default_rng(seed)
@@ -97,9 +116,24 @@ class Labels:
 
     def __call__(self, hashes: np.ndarray) -> bytes:
         least = np.full(len(self.factor), 2**64 - 1, np.uint64)
-        for at in range(0, len(hashes), 1024):
-            least = np.minimum(least, (hashes[at : at + 1024, None] * self.factor + self.offset).min(0))
-        return (least >> _U64(32)).astype(">u4").tobytes()
+        for at in range(0, len(hashes), 512):
+            least = np.minimum(least, (hashes[at : at + 512, None] * self.factor + self.offset).min(0))
+        return ((least * _U64(_BASE)) >> _U64(48)).astype(">u2").tobytes()  # minima are small numbers: mixed, then cut
+
+
+def minima(labels: list[bytes]) -> np.ndarray:
+    """A row of minima for each text."""
+    return np.frombuffer(b"".join(labels), ">u2").reshape(len(labels), -1).astype(np.uint16)
+
+
+def agreements(a: np.ndarray, b: np.ndarray, least: int) -> np.ndarray:
+    """Which rows of a agree with which rows of b in ``least`` minima or more."""
+    if len(a) * len(b) <= 256:
+        return (a[:, None, :] == b[None, :, :]).sum(2) >= least
+    counts = np.zeros((len(a), len(b)), np.uint16)
+    for x, y in zip(np.ascontiguousarray(a.T), np.ascontiguousarray(b.T), strict=True):
+        counts += x[:, None] == y[None, :]
+    return counts >= least
 
 
 def signed(docs: DataFrame, width: int, trees: int, length: int, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -139,120 +173,243 @@ class _Sets:
         if x != y:
             self.up[max(x, y)] = min(x, y)
 
-    def edges(self) -> list[tuple[bytes, bytes]]:
-        return [(x, r) for x in self.up if (r := self.root(x)) != x]
 
-
-_EDGE = "a binary, b binary"
+def stars(linked: np.ndarray) -> list[tuple[int, int]]:
+    """(node, least node of its connected set) of all nodes but those least ones, from a symmetric matrix."""
+    out, seen = [], ~linked.any(1)
+    for first in range(len(linked)):
+        if not seen[first]:
+            seen[first], front = True, np.array([first])
+            while len(front):
+                front = np.flatnonzero(linked[front].any(0) & ~seen)
+                seen[front] = True
+                out += [(x, first) for x in front.tolist()]
+    return out
 
 
-def candidate_edges(nodes: DataFrame, trees: int, length: int) -> DataFrame:
-    """(a, b), a > b: edges that span the nodes (print, labels) which share a whole label, prefix of the trie, in a tree.
+# --- the tries -------------------------------------------------------------------------------------------------------
+def buckets(nodes: DataFrame, trees: int, longest: int, depth: int) -> DataFrame:
+    """(bucket, print): the nodes (print, labels) that share a prefix of ``depth`` minima in a tree, a bucket each.
 
-    Rows are range-partitioned in the tries' order, ties by print, so that a label which very many share is split; what
-    a partition begins and ends with joins the runs that were split.
+    Labels are range-partitioned and sorted, tree by tree, ties by print, so that a prefix which very many share is
+    split. A run of few rows is named by its members, whatever its tree, so that the trees in which the same texts meet
+    give one bucket; a longer run, and what a partition begins and ends with, by tree and prefix. Memory: a batch.
     """
-    size = 4 * length
+    size = 2 * longest
     leaves = nodes.select("print", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"), "labels")
     leaves = leaves.select("tree", F.expr(f"substring(labels, tree * {size} + 1, {size})").alias("label"), "print")
-    schema = arrow_schema("kind int, tree int, label binary, a binary, b binary")
+    ordered = leaves.repartitionByRange("tree", "label", "print").sortWithinPartitions("tree", "label", "print")
+    rows = ordered.select(F.xxhash64("tree", F.expr(f"substring(label, 1, {2 * depth})")).alias("run"), F.xxhash64("print").alias("mark"), "print")
+    schema = arrow_schema("bucket long, print binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets, last, first = _Sets(), None, None
+        held, opened, at_start = None, None, True  # rows of the run that goes on; a run that was given out in part
+
+        def given(table: pa.Table, ends_here: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal at_start
+            run, mark = table.column(0).to_numpy(), table.column(1).to_numpy().astype(np.uint64)
+            firsts = np.flatnonzero(np.concatenate(([True], run[1:] != run[:-1])))
+            n = np.diff(np.append(firsts, len(run)))
+            named = (n > SMALL_RUN) | (run[firsts] == opened if opened is not None else False)
+            named[0] |= at_start
+            named[-1] |= ends_here
+            at_start = False
+            mark = (mark ^ (mark >> _U64(31))) * _U64(0x9E3779B97F4A7C15)
+            sums = np.add.reduceat(mark, firsts).astype(np.int64)
+            keep = np.repeat(named | (n > 1), n)
+            bucket = np.repeat(np.where(named, run[firsts], sums), n)
+            prints = table.column(2).combine_chunks().filter(pa.array(keep))
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[keep]), prints], schema=schema)
+
         for batch in batches:
-            for now in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                if last is None:
-                    first = now
-                elif now[1] == last[1] and now[0] == last[0] and now[2] != last[2]:
-                    sets.join(last[2], now[2])
-                last = now
-        if last is None:
-            return
-        rows = [(1, *end, None) for end in (first, last)] + [(0, None, None, *e) for e in sets.edges()]
-        for at in range(0, len(rows), 20_000):
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[at : at + 20_000], strict=True), schema, strict=True)], schema=schema)
+            table = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch])
+            if not table.num_rows:
+                continue
+            run = table.column(0).to_numpy()
+            last = len(run) - int(np.argmax(run[::-1] != run[-1])) if (run != run[-1]).any() else 0  # where the last run begins
+            if last:
+                yield from given(table.slice(0, last), False)
+                opened = None if opened != run[-1] else opened
+            held = table.slice(last)
+            if held.num_rows > SMALL_RUN:
+                opened = run[-1]
+                yield from given(held, False)
+                held = None
+        if held is not None and held.num_rows:
+            yield from given(held, True)
+
+    return rows.mapInArrow(run, "bucket long, print binary").distinct()
+
+
+def _compared(rows: DataFrame, least: int) -> DataFrame:
+    """(a, b), a > b: edges that span, within each (bucket, low, high), the pairs that agree in ``least`` minima; if low
+    and high differ, of those the pairs of two blocks and two families."""
+    names = ["bucket", "low", "high", "block", "print", "family", "labels"]
+    schema = arrow_schema("a binary, b binary")
+
+    def edges(prints, block, family, labels, across) -> list[tuple[bytes, bytes]]:
+        m = minima(labels)
+        linked = agreements(m, m, least)
+        np.fill_diagonal(linked, False)
+        if across:
+            family = np.unique(family, return_inverse=True)[1]
+            linked &= (block[:, None] != block[None, :]) & (family[:, None] != family[None, :])
+        return [(max(prints[x], prints[y]), min(prints[x], prints[y])) for x, y in stars(linked)]
 
-    ordered = leaves.repartitionByRange("tree", "label", "print").sortWithinPartitions("tree", "label", "print")
-    found = written(ordered.mapInArrow(run, "kind int, tree int, label binary, a binary, b binary"), "jaccard-edges")
-    ends = found.where("kind = 1")
-    runs = ends.groupBy("tree", "label").agg(F.min("a").alias("b"))  # two rows a partition at most
-    across = ends.join(runs.alias("r"), ["tree", "label"]).where(F.col("a") != F.col("r.b")).select("a", F.col("r.b").alias("b"))
-    return found.where("kind = 0").select("a", "b").unionByName(across).distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, out = None, []
+        for batch in batches:
+            table = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch])
+            held = table
+            if not table.num_rows:
+                continue
+            unit = np.stack([table.column(i).to_numpy() for i in range(3)])
+            firsts = np.flatnonzero(np.concatenate(([True], (unit[:, 1:] != unit[:, :-1]).any(0))))
+            for at, end in zip(firsts.tolist(), firsts[1:].tolist()):
+                own = table.slice(at, end - at)
+                out += edges(own.column(4).to_pylist(), own.column(3).to_numpy(), own.column(5).to_pylist(), own.column(6).to_pylist(), unit[1, at] != unit[2, at])
+                if len(out) > 10_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*out, strict=True)], schema=schema)
+                    out = []
+            held = table.slice(int(firsts[-1]))
+        if held is not None and held.num_rows:
+            out += edges(held.column(4).to_pylist(), held.column(3).to_numpy(), held.column(5).to_pylist(), held.column(6).to_pylist(), held.column(1)[0] != held.column(2)[0])
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*out, strict=True)], schema=schema)
+
+    dealt = rows.select(*names).repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
+    return dealt.mapInArrow(run, "a binary, b binary").distinct()
+
+
+def families(nodes: DataFrame, trees: int, longest: int, depth: int, least: int, block: int) -> DataFrame:
+    """(node, root): the nodes that candidates connect, of pairs that share a prefix and agree in ``least`` minima.
+
+    A bucket of more than ``block`` nodes is compared block by block, blocks dealt by another hash in every bucket: first
+    each block by itself, then, where a bucket has nodes of several families, its blocks with one another, without the
+    pairs within a family. So a large group of near copies, which its blocks connect already, is not compared in all
+    its pairs.
+    """
+    members = written(buckets(nodes, trees, longest, depth), "jaccard-members")
+    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", F.ceil(F.col("n") / block).alias("blocks"))
+    sizes = written(sizes, "jaccard-buckets")
+    rows = sized_join(members, sizes, "bucket", "inner").withColumn("block", F.pmod(F.xxhash64("bucket", "print"), F.col("blocks")))
+    rows = written(rows.join(nodes.select("print", "labels"), "print"), "jaccard-rows")
+    alone = rows.select("bucket", F.col("block").alias("low"), F.col("block").alias("high"), "block", "print", F.lit(None).cast("binary").alias("family"), "labels")
+    found = connected(_compared(alone, least))
+    large = rows.where("blocks > 1")
+    if large.isEmpty():
+        return found
+    known = sized_join(large, found, large["print"] == found["node"], "left").select(*rows.columns, F.coalesce("root", "print").alias("family"))
+    mixed = known.groupBy("bucket").agg(F.min("family").alias("x"), F.max("family").alias("y")).where("x <> y").select("bucket")
+    known = sized_join(known, mixed, "bucket", "left_semi")
+    across = known.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).where("other <> block")
+    across = across.select("bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "print", "family", "labels")
+    return connected(found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(_compared(across, least)))
 
 
 def connected(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root) of all nodes of edges (a, b): the least node of each connected set, itself included.
 
-    Large-star and small-star rounds (Kiveris et al. 2014) until nothing changes; each is written, so lineage stays short.
+    Large-star and small-star rounds (Kiveris et al. 2014) until every set is a star; each is written, so lineage stays
+    short. The least neighbours, a row a node, are written before they meet the edges, so that a star with very many
+    edges is broadcast to or, beyond what is broadcast, split by Spark like any skewed key.
     """
     edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    before = None
     for _ in range(most_rounds):
+        ends = edges.select(F.col("a").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("b").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        if ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up = 1 and down = 1)").isEmpty():
+            break
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        least = written(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "links")
+        large = written(sized_join(both, least, "a", "inner").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "links")
+        least = written(large.groupBy("a").agg(F.min("b").alias("m")), "links")
+        small = sized_join(large, least, "a", "inner").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         edges = written(small, "links")
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
     else:
         raise RuntimeError("connected sets did not settle")
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    return written(edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()), "links")
 
 
+# --- exact verification ----------------------------------------------------------------------------------------------
 def common_counts(sets: list[np.ndarray]) -> np.ndarray:
     """How many members each two sorted sets have in common."""
     m = len(sets)
+    sizes = [len(s) for s in sets]
     out = np.zeros((m, m), np.int64)
-    if m <= 12:
-        for i in range(m):
-            for j in range(i):
-                out[i, j] = out[j, i] = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-    else:
-        sizes = [len(s) for s in sets]
-        _, where, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        shared = np.cumsum(times > 1) - 1
-        owner = np.repeat(np.arange(m), sizes)
-        on = times[where] > 1
-        owner, column = owner[on], shared[where[on]]
-        order = np.argsort(column, kind="stable")
-        owner, column = owner[order], column[order]
-        step = max(256, (1 << 22) // m)
-        for low in range(0, int(shared[-1]) + 1, step):
-            a, b = np.searchsorted(column, (low, low + step))
-            part = np.zeros((m, step), np.float32)  # counts up to step are exact in 32 bits
-            part[owner[a:b], column[a:b] - low] = 1
-            out += (part @ part.T).astype(np.int64)
-    np.fill_diagonal(out, [len(s) for s in sets])
+    _, where, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = np.cumsum(times > 1) - 1
+    owner = np.repeat(np.arange(m), sizes)
+    on = times[where] > 1
+    owner, column = owner[on], shared[where[on]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    step = max(256, (1 << 22) // m)
+    for low in range(0, int(shared[-1]) + 1, step):
+        a, b = np.searchsorted(column, (low, low + step))
+        part = np.zeros((m, step), np.float32)  # counts up to step are exact in 32 bits
+        part[owner[a:b], column[a:b] - low] = 1
+        out += (part @ part.T).astype(np.int64)
+    np.fill_diagonal(out, sizes)
     return out
 
 
-def _verify(threshold: float):
-    least = Fraction(str(threshold))
+@dataclass
+class Verifier:
+    """Exact verification of the candidates among the rows of one task."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("print").sort_values("print", ignore_index=True)
-        prints, copies, block = pdf["print"].tolist(), pdf["n"].to_numpy(np.int64), pdf["block"].to_numpy()
+    threshold: float
+    least: int
+    trees: int
+    longest: int
+
+    def links(self, pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(i, j, common, total, linked) of every candidate i < j: agreeing labels, sizes that allow the threshold, and,
+        if the rows are of two blocks, one of each."""
+        share = Fraction(str(self.threshold))
+        own, block = minima(pdf["labels"].tolist()), pdf["block"].to_numpy()
         sets = [np.frombuffer(x, np.uint64) for x in pdf["shingles"]]
         size = np.array([len(s) for s in sets])
-        common = common_counts(sets)
-        linked = common * (least.denominator + least.numerator) >= least.numerator * (size[:, None] + size[None, :])
-        np.fill_diagonal(linked, False)
+        may = np.triu(agreements(own, own, self.least), 1)
+        may &= size[:, None] * share.denominator >= share.numerator * size[None, :]
+        may &= size[None, :] * share.denominator >= share.numerator * size[:, None]
         if pdf["low"].iloc[0] != pdf["high"].iloc[0]:  # within a block, the block's own task counts
-            linked &= block[:, None] != block[None, :]
+            may &= block[:, None] != block[None, :]
+        i, j = np.nonzero(may)
+        if len(i) > 8 * len(sets):
+            common = common_counts(sets)[i, j]
+        else:
+            common = np.array([len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for x, y in zip(i.tolist(), j.tolist())], np.int64)
+        total = size[i] + size[j] - common
+        return i, j, common, total, common * share.denominator >= share.numerator * total
+
+    def counted(self, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.drop_duplicates("print").sort_values("print", ignore_index=True)
+        prints, copies, m = pdf["print"].tolist(), pdf["n"].to_numpy(np.int64), len(pdf)
+        i, j, _, _, linked = self.links(pdf)
+        checked = np.bincount(i, minlength=m) + np.bincount(j, minlength=m)
+        i, j = i[linked], j[linked]
+        texts = np.bincount(i, minlength=m) + np.bincount(j, minlength=m)
+        docs = (np.bincount(i, copies[j], m) + np.bincount(j, copies[i], m)).astype(np.int64)
         sets_ = _Sets()
-        for i, j in zip(*np.nonzero(np.triu(linked))):
-            sets_.join(prints[i], prints[j])
-        some = np.flatnonzero(linked.any(1))
-        return pd.DataFrame({
-            "print": [prints[i] for i in some], "texts": linked.sum(1)[some], "docs": (linked * copies).sum(1)[some],
-            "root": [sets_.root(prints[i]) for i in some],
-        })
-
-    return run
+        for x, y in zip(i.tolist(), j.tolist()):
+            sets_.join(prints[x], prints[y])
+        some = np.flatnonzero(checked)
+        return pd.DataFrame({"print": [prints[k] for k in some], "texts": texts[some], "docs": docs[some], "checked": checked[some], "root": [sets_.root(prints[k]) for k in some]})
+
+    def sampled(self, pdf: pd.DataFrame) -> pd.DataFrame:
+        """(percent, deep, links): how many links have that similarity, rounded down, and share a prefix of that length
+        in the trees but the first."""
+        pdf = pdf.drop_duplicates("print").reset_index(drop=True)
+        own = minima(pdf["labels"].tolist()).reshape(len(pdf), self.trees, self.longest)[:, 1:]
+        i, j, common, total, linked = self.links(pdf)
+        out = {}
+        for at in range(0, len(i), 4096):
+            k = slice(at, at + 4096)
+            x, y, on = i[k], j[k], linked[k]
+            deep = np.cumprod(own[x] == own[y], axis=2).sum(2).max(1, initial=0)
+            for key in zip((100 * common[k] // total[k])[on].tolist(), deep[on].tolist()):
+                out[key] = out.get(key, 0) + 1
+        return pd.DataFrame([(*k, n) for k, n in out.items()], columns=["percent", "deep", "links"]).astype("int64")
 
 
 def sized_join(left: DataFrame, right: DataFrame, on, how: str, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -261,48 +418,91 @@ def sized_join(left: DataFrame, right: DataFrame, on, how: str, rows: int = BROA
     return left.join(F.broadcast(right) if small else right.hint("merge"), on, how)
 
 
-def verified_links(docs: DataFrame, candidates: DataFrame, width: int, threshold: float, block: int, key: str, text: str) -> DataFrame:
-    """(print, texts, docs, root) of every print with a link: linked texts, linked documents, and a name of its class
-    within its task. candidates: (print, part, rep, n), rep a document with that print, n how many have it."""
+def verified(docs: DataFrame, candidates: DataFrame, width: int, verifier: Verifier, block: int, key: str, text: str, sample: bool = False) -> DataFrame:
+    """What ``Verifier.counted`` (or ``sampled``) tells of candidates (print, part, rep, n): rep is a document with that
+    print, n how many have it. Each text is read and brought to its family once, in blocks."""
     sizes = candidates.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
     rows = candidates.join(sizes, "part").withColumn("block", F.pmod(F.xxhash64("print"), F.col("blocks")))
     rows = written(rows.select("print", "part", "rep", "n", "block", "blocks"), "jaccard-candidates")
     own = docs.select(F.col(key).cast("long").alias("rep"), F.col(text).alias("text"))
     with_text = sized_join(own.alias("d"), rows.alias("c"), F.expr("d.rep <=> c.rep"), "inner").select("text", "print", "part", "n", "block", "blocks")
+    trees, longest = verifier.trees, verifier.longest
 
     def start():
+        labels = Labels(trees, longest)
+
         def row(t, mark, part, n, block, blocks):
             words = folded_words(t)
-            fits = hashlib.md5(b" ".join(words)).digest() == mark  # else another document with the same id
-            return mark, part, n, block, blocks, np.unique(shingles(words, width)).tobytes() if fits else None
+            if hashlib.md5(b" ".join(words)).digest() != mark:  # another document with the same id
+                return mark, part, n, block, blocks, None, None
+            own = shingles(words, width)
+            return mark, part, n, block, blocks, np.unique(own).tobytes(), labels(own)
 
         return row
 
-    sets = map_rows(with_text, with_text.columns, "print binary, part binary, n long, block long, blocks long, shingles binary", start)
+    sets = map_rows(with_text, with_text.columns, "print binary, part binary, n long, block long, blocks long, shingles binary, labels binary", start)
     sets = sets.where("shingles is not null")
     tasks = sets.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(
-        "part", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "print", "n", "block", "shingles"
+        "part", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "print", "n", "block", "shingles", "labels"
     )
-    return tasks.groupBy("part", "low", "high").applyInPandas(_verify(threshold), "print binary, texts long, docs long, root binary")
+    unit = tasks.groupBy("part", "low", "high")
+    if sample:
+        return unit.applyInPandas(lambda pdf: verifier.sampled(pdf), "percent long, deep long, links long")
+    return unit.applyInPandas(lambda pdf: verifier.counted(pdf), "print binary, texts long, docs long, checked long, root binary")
+
 
+def fitting_depth(links: list[tuple[int, int, int]], threshold: float, trees: int, longest: int, recall: float) -> tuple[int, float, float]:
+    """(depth, counted, expected): the longest prefix at which the sample's links (percent, deep, number) are found again
+    to the share ``recall``, shortening it level by level from the longest.
 
-def grouped(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, trees: int = TREES, longest: int = LONGEST, recall: float = RECALL, block: int = BLOCK, key: str = "doc_id", text: str = "text"):
+    counted: the share of links that share it in the trees but the first, whose minima chose the sample; expected: what
+    their similarities let expect of all trees, PRIOR links at the threshold added. A link is sampled with its
+    similarity as chance, so it weighs the inverse.
+    """
+    weight = np.array([n / max(p / 100, 0.01) for p, _, n in links], float)
+    near, deep = np.array([max(p / 100, threshold) for p, _, _ in links], float), np.array([d for _, d, _ in links], int)
+    for depth in range(longest, 0, -1):
+        counted = float(weight[deep >= depth].sum() / weight.sum()) if len(links) and trees > 1 else 1.0
+        expected = float((weight @ found_share(near, depth, trees) + PRIOR * found_share(threshold, depth, trees)) / (weight.sum() + PRIOR))
+        if min(counted, expected) >= recall:
+            break
+    return depth, counted, expected
+
+
+def grouped(
+    docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, trees: int = TREES, longest: int = LONGEST, recall: float = RECALL,
+    block: int = BLOCK, key: str = "doc_id", text: str = "text", report: dict | None = None,
+):
     """(signatures, groups): (doc_id, print) of all documents, and of each print its n (documents with it), least
     (their smallest id), root (a print that names its class), class_id (the class's smallest id, which other classes
-    may share where ids repeat), texts and docs (links to other texts, and the documents those are)."""
-    length = prefix_length(threshold, trees, longest, recall)
-    signs = written(signed(docs, width, trees, length, key, text), "jaccard-signs")
+    may share where ids repeat), texts and docs (links to other texts, and the documents those are).
+
+    report gets the depth that the forest came to, the sample's recall there, and links, a table with the pairs that
+    were verified (checked) a print."""
+    verifier = Verifier(threshold, least_agreement(threshold, trees * longest), trees, longest)
+    signs = written(signed(docs, width, trees, longest, key, text), "jaccard-signs")
     some = signs.where("print is not null")
     nodes = some.groupBy("print").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least"), F.first("labels").alias("labels"))
     nodes = written(nodes, "jaccard-nodes")
-    parts = written(connected(candidate_edges(nodes, trees, length)), "jaccard-parts")
-    candidates = nodes.select("print", "n", "least").join(parts, F.col("print") == F.col("node")).select("print", F.col("root").alias("part"), F.col("least").alias("rep"), "n")
-    links = written(verified_links(docs, candidates, width, threshold, block, key, text), "jaccard-links")
-    roots = written(connected(links.select(F.col("print").alias("a"), F.col("root").alias("b"))), "jaccard-roots")
+
+    def checked(own: DataFrame, depth: int, sample: bool) -> DataFrame:
+        parts = families(own, trees, longest, depth, verifier.least, block)
+        candidates = nodes.select("print", "n", "least").join(parts, F.col("print") == F.col("node")).select("print", F.col("root").alias("part"), F.col("least").alias("rep"), "n")
+        return verified(docs, candidates, width, verifier, block, key, text, sample)
+
+    shallow = checked(nodes.where(F.pmod(F.xxhash64(F.expr("substring(labels, 1, 2)")), F.lit(SAMPLE)) == 0), min(SHALLOW, longest), True)
+    found = shallow.groupBy("percent", "deep").agg(F.sum("links").alias("links")).collect()  # at most 101 x (longest + 1) rows
+    depth, counted, expected = fitting_depth([tuple(r) for r in found], threshold, trees, longest, recall)
+    log.info("prefixes of %d minima: recall of %d sampled links %.5f, expected %.5f", depth, sum(r["links"] for r in found), counted, expected)
+    pairs = written(checked(nodes, depth, False), "jaccard-links")
+    if report is not None:
+        report |= {"depth": depth, "sampled_links": sum(r["links"] for r in found), "recall": counted, "expected": expected, "links": pairs}
+    links = pairs.where("texts > 0")
+    roots = connected(links.select(F.col("print").alias("a"), F.col("root").alias("b")))
     counts = links.groupBy("print").agg(F.sum("texts").alias("texts"), F.sum("docs").alias("docs"))
     member = nodes.select("print", "n", "least").join(roots, F.col("print") == F.col("node")).select("print", "n", "least", "root")
-    names = member.groupBy("root").agg(F.min("least").alias("class_id"))
-    linked = written(member.join(names, "root").join(counts, "print").select("print", "root", "class_id", "texts", "docs"), "jaccard-classes")
+    names = written(member.groupBy("root").agg(F.min("least").alias("class_id")), "jaccard-names")
+    linked = written(sized_join(member, names, "root", "inner").join(counts, "print").select("print", "root", "class_id", "texts", "docs"), "jaccard-classes")
     groups = nodes.select("print", "n", "least").join(linked, "print", "left").select(
         "print", "n", "least", F.coalesce("root", "print").alias("root"), F.coalesce("class_id", "least").alias("class_id"), F.coalesce("texts", F.lit(0)).alias("texts"), F.coalesce("docs", F.lit(0)).alias("docs")
     )
@@ -329,39 +529,33 @@ def near_duplicates(docs: DataFrame, **options) -> DataFrame:
     )
 
 
-def deduplicated(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
-    """The rows of docs without those whose class has another representative, all columns unchanged.
+def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of docs without those whose class has another representative, all columns unchanged, whatever their names.
 
     A class is represented by its document of smallest id; of several texts of a class with that id, by the one of least
-    print. Rows without words all stay, as do rows without an id.
-    Rows to drop are found by id, so texts are not shuffled while those fit a broadcast. An id that several rows with
-    words share is decided by a further pass over the rows with such ids alone.
+    print, and of equal rows by one. Rows without words all stay, as do rows without an id; very long texts are read
+    whole; no rows give no rows. Rows to drop are found by id, so texts are not shuffled while those fit a broadcast. An
+    id that several rows with words share is decided by a further pass over the rows with such ids alone.
     """
-    signs, groups = grouped(docs, key=key, **options)
+    signs, groups = grouped(docs, key=key, text=text, **options)
     rows = written(signs.join(groups.select("print", "root", "class_id"), "print").where("doc_id is not null").select("doc_id", "print", "root", "class_id"), "jaccard-rows")
-    shared = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("doc_id")
+    shared = written(rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("doc_id"), "jaccard-shared")
     drop = rows.where("doc_id <> class_id").select("doc_id").distinct()
-    if not shared.isEmpty():
-        return _with_shared_ids(docs, key, rows, shared)
-    return sized_join(docs, drop.select(F.col("doc_id").alias("_drop")), F.col(key) == F.col("_drop"), "left_anti")
-
-
-def _with_shared_ids(docs: DataFrame, key: str, rows: DataFrame, shared: DataFrame) -> DataFrame:
-    """deduplicated() where ids repeat: rows with such an id carry their print along and one row a class stays."""
-    shared = written(shared, "jaccard-shared").select(F.col("doc_id").alias("_shared"))
-    drop = rows.where("doc_id <> class_id").join(shared, F.col("doc_id") == F.col("_shared"), "left_anti").select(F.col("doc_id").alias("_drop")).distinct()
-    single = sized_join(sized_join(docs, shared, F.col(key) == F.col("_shared"), "left_anti"), drop, F.col(key) == F.col("_drop"), "left_anti")
-    names = docs.columns
+    packed = docs.select(F.struct("*").alias("row"), F.col(key).cast("long").alias("own"), F.col(text).alias("body"))  # no name of docs beside ours
+    if shared.isEmpty():
+        return sized_join(packed, drop.withColumnRenamed("doc_id", "drop"), F.col("own") == F.col("drop"), "left_anti").select("row.*")
+    twice = shared.withColumnRenamed("doc_id", "twice")
+    drop = drop.join(shared, "doc_id", "left_anti").withColumnRenamed("doc_id", "drop")
+    single = sized_join(sized_join(packed, twice, F.col("own") == F.col("twice"), "left_anti"), drop, F.col("own") == F.col("drop"), "left_anti").select("row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            marks = [hashlib.md5(b" ".join(w)).digest() if (w := folded_words(t)) else None for t in batch.column(names.index("text")).to_pylist()]
-            yield batch.append_column("_print", pa.array(marks, pa.binary()))
+            marks = [hashlib.md5(b" ".join(w)).digest() if (w := folded_words(t)) else None for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(marks, pa.binary())], names=["row", "own", "mark"])
 
-    twice = sized_join(docs, shared, F.col(key) == F.col("_shared"), "left_semi")
-    marked = twice.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in twice.dtypes) + ", _print binary")
+    marked = sized_join(packed, twice, F.col("own") == F.col("twice"), "left_semi").mapInArrow(run, StructType([packed.schema["row"], packed.schema["own"], StructField("mark", BinaryType())]))
     # by root: classes whose smallest id is the same are told apart
-    stays = rows.where("doc_id = class_id").groupBy("root").agg(F.min("print").alias("_print"), F.first("doc_id").alias("_id")).drop("root")
-    one = marked.join(stays, (F.col(key) == F.col("_id")) & (marked["_print"] == stays["_print"])).select(*[F.col(f"`{n}`") for n in names], F.col("_id"), marked["_print"])
-    one = one.dropDuplicates(["_id", "_print"]).select(*names)
-    return single.unionByName(one).unionByName(marked.where("_print is null").select(*names))
+    stays = rows.where("doc_id = class_id").groupBy("root").agg(F.min("print").alias("print"), F.first("doc_id").alias("doc_id")).drop("root")
+    one = marked.join(stays, (F.col("own") == F.col("doc_id")) & (F.col("mark") == F.col("print"))).select("row", "own", "mark")
+    one = one.dropDuplicates(["own", "mark"]).select("row")
+    return single.unionByName(one).unionByName(marked.where("mark is null").select("row")).select("row.*")

@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from docreef.llm import ann, jaccard
 from docreef.llm.common import folded_words
@@ -171,10 +172,69 @@ def test_classes_that_share_their_smallest_id_all_stay(spark, odd):
 
 
 def test_prefix_is_shortened_to_the_target():
-    k = jaccard.prefix_length(0.8, 24, 8, 0.9999)
-    found = lambda k: 1 - (1 - 0.8**k) ** 24
-    assert found(k) >= 0.9999 > found(k + 1)
-    assert jaccard.prefix_length(0.8, 1, 8, 0.9999) == 1
+    """Level by level from the longest: near links stop it early, links at the threshold late, and a lost link too."""
+    depth = lambda links, recall: jaccard.fitting_depth(links, 0.8, 24, 10, recall)[0]
+    assert depth([], 0.9) == 10 and depth([], 0.9999) == 5
+    assert depth([(95, 10, 100_000)], 0.9999) == 10 > depth([(80, 10, 100_000)], 0.9999)
+    assert depth([(95, 10, 99_000), (95, 6, 1_000)], 0.9999) == 6
+    for k in range(1, 10):
+        assert jaccard.found_share(0.8, k, 24) >= jaccard.found_share(0.8, k + 1, 24)
+
+
+def test_recall_targets_stop_at_different_depths(spark):
+    """The whole forest: both depths come from the data, and both lose no link here."""
+    rows = near_copies(groups=60)
+    df, depths = spark.createDataFrame(rows, "doc_id long, text string"), []
+    for recall in (0.5, 0.9999):
+        report = {}
+        got = {tuple(r) for r in jaccard.near_duplicates(df, recall=recall, report=report).collect()}
+        depths.append(report["depth"])
+        assert report["sampled_links"] > 0 and min(report["recall"], report["expected"]) >= recall
+        linked = sum(r[2] for r in brute(rows))
+        assert sum(r[2] for r in got) >= recall * linked
+    assert depths[0] > depths[1] and got == brute(rows)
+
+
+def test_shared_passages_do_not_draw_texts_together(spark):
+    """Ten thousand texts that share two fifths to three fifths of their shingles, pair by pair: few pairs are verified."""
+    rng, shared = random.Random(6), [f"b{i}" for i in range(100)]
+    rows = [(i, " ".join(shared + [f"w{rng.randrange(10**9)}" for _ in range(rng.randint(30, 68))])) for i in range(10_000)]
+    near = [(20_000 + i, " ".join([*t.split()[:-1], "end"])) for i, t in rows[:50]]
+    report = {}
+    got = jaccard.near_duplicates(spark.createDataFrame(rows + near, "doc_id long, text string").repartition(8), report=report).collect()
+    assert report["links"].agg({"checked": "sum"}).first()[0] <= 10 * len(rows)
+    assert {(r["doc_id"], r["class_id"]) for r in got if r["n_links"]} == {(i, i) for i in range(50)} | {(20_000 + i, i) for i in range(50)}
+
+
+def test_runs_of_a_trie(spark):
+    """Whatever the batches and partitions: texts that share a prefix are in one bucket, others are not."""
+    rng = random.Random(2)
+    labels = jaccard.Labels(3, 4)
+    nodes = [(bytes([i // 256, i % 256]) * 8, labels(np.array([rng.randint(0, 6)], np.uint64) if i % 2 else np.array([i], np.uint64))) for i in range(1200)]
+    df = spark.createDataFrame(nodes, "print binary, labels binary").repartition(5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        got = defaultdict(set)
+        for r in jaccard.buckets(df, 3, 4, 2).collect():
+            got[r["bucket"]].add(bytes(r["print"]))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = defaultdict(set)
+    for p, x in nodes:
+        for t in range(3):
+            want[t, x[8 * t : 8 * t + 4]].add(p)
+    assert {frozenset(x) for x in got.values() if len(x) > 1} == {frozenset(x) for x in want.values() if len(x) > 1}
+
+
+def test_names_beside_ours(spark):
+    """Columns named like anything inside change nothing."""
+    names = ["_drop", "drop", "twice", "own", "row", "body", "mark", "print", "_shared", "_id", "_print", "root", "label", "rep", "part"]
+    rows = near_copies(groups=4)
+    df = spark.createDataFrame(rows, "doc_id long, text string").select("*", *[F.lit(i).alias(n) for i, n in enumerate(names)])
+    for own in (df, df.unionByName(df)):
+        kept = jaccard.deduplicated(own)
+        assert kept.columns == own.columns and kept.dtypes == own.dtypes
+        assert {r["doc_id"] for r in kept.collect()} == {r[1] for r in brute(rows)}
 
 
 def test_connected(spark):
