@@ -33,6 +33,7 @@ DOMAINS = {
 EXTENSIONS = (".pdf", ".docx", ".txt", ".md", ".json")
 MOST_BYTES, MOST_OCR_BYTES = 104_857_600, 10_485_760
 BATCH_DOCUMENTS, TOP_POINTS, LEAST_POINTS, SIMILAR = 50, 20, 5, 0.8
+RELATED, CLUSTERS = 0.7, 10
 CHECKS = ("files", "directories", "dependencies", "credentials", "drive", "ocr", "env", "config", "logs", "file_creation")
 
 #: The tree below a root of any name.

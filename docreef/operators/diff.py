@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,8 +11,6 @@ from docreef.catalogue import POLICIES
 from docreef.functions.scalars import described, missing
 from docreef.operators.inventory import deduplicated
 
-NOTHING = {"upload": False, "update": False, "download": False, "describe": False}
-
 
 def _allows(arm: str, policies: dict) -> Column:
     """Whether the row's container allows an arm. ``Container/sub`` follows the policy of ``Container``."""
@@ -41,17 +41,31 @@ def plan(local: DataFrame, remote: DataFrame, day: str, policies: dict = POLICIE
     return rows if noops else rows.where("action <> 'NOOP'")
 
 
-def uploads(local: DataFrame, remote: DataFrame) -> DataFrame:
-    return local.join(remote.select("container", "name"), ["container", "name"], "left_anti").select("container", "name", "path", "hash")
+def arm(local: DataFrame, remote: DataFrame, action: str, policies: dict = POLICIES) -> DataFrame:
+    """The rows of a plan with one action."""
+    return plan(local, remote, "", policies).where(F.col("action") == action)
+
+
+def uploads(local: DataFrame, remote: DataFrame, policies: dict = POLICIES) -> DataFrame:
+    return arm(local, remote, "UPLOAD", policies).select("container", "name", F.col("local_path").alias("path"), F.col("local_hash").alias("hash"))
 
 
-def downloads(local: DataFrame, remote: DataFrame) -> DataFrame:
-    return remote.join(local.select("container", "name"), ["container", "name"], "left_anti").select("container", "name", "id", "md5Checksum")
+def downloads(local: DataFrame, remote: DataFrame, policies: dict = POLICIES) -> DataFrame:
+    return arm(local, remote, "DOWNLOAD", policies).select("container", "name", F.col("remote_id").alias("id"), F.col("remote_hash").alias("md5Checksum"))
 
 
-def updates(local: DataFrame, remote: DataFrame) -> DataFrame:
-    both = local.join(remote.select("container", "name", "id", "md5Checksum"), ["container", "name"])
-    return both.where(~F.col("hash").eqNullSafe(F.col("md5Checksum"))).select("container", "name", "id", "hash", "md5Checksum")
+def updates(local: DataFrame, remote: DataFrame, policies: dict = POLICIES) -> DataFrame:
+    rows = arm(local, remote, "UPDATE", policies)
+    return rows.select("container", "name", F.col("remote_id").alias("id"), F.col("local_hash").alias("hash"), F.col("remote_hash").alias("md5Checksum"))
+
+
+def names_on(local: DataFrame, remote: DataFrame) -> DataFrame:
+    """(container, name, side): each name once, with the side or sides that have it: key sets, their differences and
+    their intersection."""
+    keys = ["container", "name"]
+    mine, theirs = local.select(*keys), remote.select(*keys)
+    sides = {"local": mine.subtract(theirs), "remote": theirs.subtract(mine), "both": mine.intersect(theirs)}
+    return reduce(DataFrame.unionByName, [rows.withColumn("side", F.lit(side)) for side, rows in sides.items()])
 
 
 def with_folder(rows: DataFrame, folders: DataFrame, key: str = "domain") -> DataFrame:

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docreef.functions.scalars import extension
+from docreef.shared import written
 
 
 def deduplicated(rows: DataFrame, keys: list[str], last: str) -> DataFrame:
@@ -18,6 +17,7 @@ def deduplicated(rows: DataFrame, keys: list[str], last: str) -> DataFrame:
 
 
 def allowed(rows: DataFrame, extensions: tuple[str, ...], most_bytes: int) -> DataFrame:
+    """Rows (name, size) whose extension, in any case, is on the list and whose size is within the limit."""
     return rows.where(extension(F.col("name")).isin(*extensions) & (F.col("size") <= most_bytes))
 
 
@@ -31,23 +31,24 @@ def missing(expected: DataFrame, actual: DataFrame, key: str = "name") -> DataFr
     return expected.join(actual, key, "left_anti").select(expected.columns)
 
 
-def numbered(rows: DataFrame, key: str, out: str = "number", bucket_rows: int = 100_000) -> DataFrame:
-    """rows with their place (from 1) in ascending order of a unique numeric key.
+def found(expected: DataFrame, actual: DataFrame, key: str = "name") -> DataFrame:
+    return expected.join(actual, key, "left_semi").select(expected.columns)
+
+
+def numbered(rows: DataFrame, key: str, out: str = "number") -> DataFrame:
+    """rows with their place (from 1) in ascending order of a key, nulls first; equal keys in any order.
 
-    Keys are cut into buckets at quantiles, which are counted once; then each bucket numbers its own rows, starting
-    from the rows of those before it. No window runs over all rows.
+    One shuffle, by ranges of the key; the sorted partitions are written with each row's place in its own. The running
+    total that the places start from is over a row a partition. No window runs over all rows. No name of rows is in
+    the way.
     """
-    n = rows.agg(F.count(F.lit(1))).first()[0]
-    parts = max(1, math.ceil(n / bucket_rows))
-    cuts = rows.approxQuantile(key, [i / parts for i in range(1, parts)], 0.1 / parts) if parts > 1 else []
-    place: Column = F.lit(0)
-    if cuts:
-        place = F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]), lambda c: c < F.col(key)))
-    placed = rows.withColumn("_bucket", place)
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = placed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("n")).select("_bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start"))
-    own = F.row_number().over(Window.partitionBy("_bucket").orderBy(key))
-    return placed.join(starts, "_bucket").withColumn(out, F.col("_start") + own).drop("_bucket", "_start")
+    packed = rows.select(F.col(key).alias("key"), F.struct("*").alias("row"))
+    ranged = packed.repartitionByRange("key").sortWithinPartitions("key")
+    placed = ranged.select("row", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(F.lit(2**33 - 1)).alias("place"))
+    placed = written(placed, "numbered")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = placed.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    return placed.join(F.broadcast(starts), "part").select("row.*", (F.col("start") + F.col("place") + 1).alias(out))  # a row a partition
 
 
 def batches(rows: DataFrame, key: str, size: int) -> DataFrame:

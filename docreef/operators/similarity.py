@@ -1,33 +1,85 @@
-"""Similar documents, exactly: word shingles, Jaccard, prefix filter."""
+"""Similar documents, exactly: word shingles, Jaccard, prefix filter by rarity. Texts, classes, clusters."""
 
 from __future__ import annotations
 
-import math
+from fractions import Fraction
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docreef.operators.graph import connected
+from docreef.shared import sized_join, written
+
 #: A word of shingles.
 SPLIT = r"[\x20\x09-\x0D]+"
 
 
-def similar_pairs(docs: DataFrame, threshold: float = 0.8, width: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(a, b, common, total): pairs of different texts of at least ``threshold`` similarity, each text by its smallest id.
-
-    Of two sets that similar, the first n - ceil(threshold * n) + 1 members in any common order share one. Shingles are
-    ordered by hash, so only about a fifth of them are joined; copies are one text before that. Exact sets decide.
-    """
+def shingle_sets(docs: DataFrame, width: int, key: str, text: str) -> DataFrame:
+    """(id, copies, n, s): each text by its smallest id, how many documents have it, and its set of shingle hashes."""
     runs = F.when(F.size("w") >= width, F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - (width - 1), F.lit(1))), lambda i: F.array_join(F.slice("w", i, width), " "))).otherwise(F.array(F.array_join("w", " ")))
-    texts = docs.where(F.length(text) > 0).groupBy(F.md5(F.encode(text, "utf-8")).alias("h")).agg(F.min(key).alias("id"), F.first(text).alias("t"))
+    texts = docs.where(F.length(text) > 0).groupBy(F.md5(F.encode(text, "utf-8")).alias("h")).agg(F.min(key).alias("id"), F.first(text).alias("t"), F.count(F.lit(1)).alias("copies"))
     sets = texts.withColumn("w", F.filter(F.split("t", SPLIT), lambda w: w != "")).where(F.size("w") > 0)
-    sets = sets.select("id", F.array_sort(F.array_distinct(F.transform(runs, lambda s: F.xxhash64(s)))).alias("s"))
-    n = F.size("s")
-    first = sets.select("id", n.alias("n"), F.explode(F.slice("s", 1, n - F.ceil(F.lit(threshold) * n - 1e-9).cast("int") + 1)).alias("x"))
-    a, b = first.alias("a"), first.alias("b")
-    sized = F.expr(f"a.n >= {threshold} * b.n and b.n >= {threshold} * a.n")
-    pairs = a.join(b, (F.col("a.x") == F.col("b.x")) & (F.col("a.id") < F.col("b.id")) & sized).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+    sets = sets.select("id", "copies", F.array_distinct(F.transform(runs, lambda s: F.xxhash64(s))).alias("s"))
+    return sets.select("id", "copies", F.size("s").alias("n"), "s")
+
+
+def pairs(sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, common, total), a < b: pairs of texts of at least ``threshold`` similarity.
+
+    Of two sets that similar, the first n - ceil(threshold * n) + 1 members in any common order share one. Members are
+    ordered by the number of texts that have them, counted once, and then by hash: so what only one text has is never
+    joined, nor what many share, but for near copies. Sizes and places of the shared member are held against the
+    threshold before sets are compared. A member with very many texts is a skewed key of a plain join, which Spark
+    splits.
+    """
+    share = Fraction(str(threshold))
+    num, den = share.numerator, share.denominator
+    members = sets.select("id", F.explode("s").alias("x"))
+    counts = members.groupBy("x").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    ranked = members.join(counts, "x").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "x"))).alias("common"))
+    least = F.expr(f"cast((n * {num} + {den - 1}) div {den} as int)")  # ceil(threshold * n)
+    alone = F.col("n") - F.size("common")  # members that no other text has come first and match nothing
+    heads = ranked.join(sets.select("id", "n"), "id").withColumn("alone", alone).withColumn("take", F.col("n") - least + 1 - F.col("alone")).where("take > 0")
+    heads = heads.select("id", "n", "alone", F.posexplode(F.slice("common", F.lit(1), F.col("take"))).alias("at", "m"))
+    heads = written(heads.select("id", "n", (F.col("alone") + F.col("at") + 1).alias("at"), F.col("m.x").alias("x")), "similar-heads")
+    a, b = heads.alias("a"), heads.alias("b")
+    sized = F.expr(f"a.n * {den} >= b.n * {num} and b.n * {den} >= a.n * {num}")
+    placed = F.expr(f"(least(a.at, b.at) + least(a.n - a.at, b.n - b.at)) * {num + den} >= {num} * (a.n + b.n)")
+    found = a.join(b, (F.col("a.x") == F.col("b.x")) & (F.col("a.id") < F.col("b.id")) & sized & placed).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+    both = found.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb")).cast("long")
     out = both.select("a", "b", common.alias("common"), (F.size("sa") + F.size("sb") - common).alias("total"))
-    num, den = math.floor(threshold * 1000 + 0.5), 1000
     return out.where(F.col("common") * den >= F.col("total") * num)
+
+
+def similar_texts(docs: DataFrame, threshold: float = 0.8, width: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, class_id, n_links): every text with a similar other one, by its smallest id: the least id of the texts
+    that links connect, and how many texts are similar to it. Null and empty texts have no links.
+
+    Copies are one text before anything is joined. Links are counted, not listed; a group of m near copies still costs
+    m^2 comparisons.
+    """
+    links = written(pairs(written(shingle_sets(docs, width, key, text), "similar-sets"), threshold).select("a", "b"), "similar-links")
+    counts = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
+    return connected(links).join(counts, "node").select(F.col("node").alias("doc_id"), F.col("root").alias("class_id"), "n_links")
+
+
+def clusters(docs: DataFrame, related: float = 0.7, merged: float = 0.8, most: int = 10, width: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(rank, cluster, n_texts, n_docs, n_related): the ``most`` largest clusters, by documents and then by name.
+
+    Texts of at least ``merged`` similarity are merged into one cluster, named by its least id; n_related is the number
+    of other clusters, single texts included, with a text at least ``related`` similar to one of it.
+    """
+    sets = written(shingle_sets(docs, width, key, text), "similar-sets")
+    near = written(pairs(sets, related), "similar-links")
+    share = Fraction(str(merged))
+    root = connected(near.where(F.col("common") * share.denominator >= F.col("total") * share.numerator))
+    named = written(sets.select(F.col("id").alias("node"), "copies").join(root, "node", "left").select("node", "copies", F.coalesce("root", "node").alias("cluster")), "similar-named")
+    ends = [sized_join(near, named.select(F.col("node").alias("a"), F.col("cluster").alias("ca")), "a", "inner"), named.select(F.col("node").alias("b"), F.col("cluster").alias("cb"))]
+    across = sized_join(*ends, "b", "inner").where("ca <> cb").select("ca", "cb")
+    across = across.unionByName(across.select(F.col("cb").alias("ca"), F.col("ca").alias("cb"))).groupBy(F.col("ca").alias("cluster")).agg(F.countDistinct("cb").alias("n_related"))
+    sizes = named.groupBy("cluster").agg(F.count(F.lit(1)).alias("n_texts"), F.sum("copies").alias("n_docs"))
+    top = sizes.orderBy(F.desc("n_docs"), "cluster").limit(most)  # a report of the largest
+    ranked = top.agg(F.sort_array(F.collect_list(F.struct((-F.col("n_docs")).alias("o"), "cluster", "n_texts", "n_docs"))).alias("t"))
+    rows = ranked.select(F.posexplode("t").alias("at", "t")).select((F.col("at") + 1).alias("rank"), "t.cluster", "t.n_texts", "t.n_docs")
+    return rows.join(across, "cluster", "left").select("rank", "cluster", "n_texts", "n_docs", F.coalesce("n_related", F.lit(0)).cast("long").alias("n_related"))

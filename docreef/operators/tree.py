@@ -18,15 +18,39 @@ def adjacency(tree: dict = TREE, parent: str | None = None) -> list[tuple[str, s
 
 
 def flatten(spark: SparkSession, folders: DataFrame, failed: list[str] | None = None) -> DataFrame:
-    """(path, name, parent_path, depth) reached from the roots; a failed folder leaves out all below it."""
-    folders.createOrReplaceTempView("docreef_folders")
-    bad = ", ".join(f"'{x.replace(chr(39), chr(39) * 2)}'" for x in failed or []) or "''"
-    return spark.sql(f"""
+    """(path, name, parent_path, depth) reached from the roots; a failed folder leaves out all below it.
+
+    A recursive query: Spark raises beyond 100 levels or 1,000,000 rows, its limits of recursion
+    (spark.sql.cteRecursionLevelLimit, spark.sql.cteRecursionRowLimit), and leaves out nothing.
+    """
+    bad = spark.createDataFrame([(x,) for x in failed or []], "path string")
+    return spark.sql(
+        """
         WITH RECURSIVE tree AS (
-          SELECT path, name, parent_path, 0 AS depth FROM docreef_folders WHERE parent_path IS NULL AND path NOT IN ({bad})
+          SELECT path, name, parent_path, 0 AS depth FROM {open} WHERE parent_path IS NULL
           UNION ALL
-          SELECT f.path, f.name, f.parent_path, t.depth + 1 FROM docreef_folders f JOIN tree t ON f.parent_path = t.path WHERE f.path NOT IN ({bad})
-        ) SELECT * FROM tree""")
+          SELECT f.path, f.name, f.parent_path, t.depth + 1 FROM {open} f JOIN tree t ON f.parent_path = t.path
+        ) SELECT * FROM tree""",
+        open=folders.join(F.broadcast(bad), "path", "left_anti").select("path", "name", "parent_path"),
+    )
+
+
+def provision(spark: SparkSession, wanted: DataFrame, existing: DataFrame, failed: list[str] | None = None) -> DataFrame:
+    """(path, name, parent_path, depth, action) of every wanted folder (path, name, parent_path): EXISTS if its path is
+    among the existing, CREATE if not, FAILED if it cannot be made, SKIPPED below one that failed. Parents come before
+    children in order of depth; ``folder_actions`` makes it a plan for the executor."""
+    bad = spark.createDataFrame([(x,) for x in failed or []], "path string")
+    reached = flatten(spark, wanted, failed).select("path", "depth")
+    known, lost = existing.select("path").distinct().withColumn("known", F.lit(True)), bad.withColumn("lost", F.lit(True))
+    rows = wanted.select("path", "name", "parent_path").join(reached, "path", "left").join(known, "path", "left").join(F.broadcast(lost), "path", "left")
+    action = F.when(F.col("lost"), "FAILED").when(F.col("depth").isNull(), "SKIPPED").when(F.col("known"), "EXISTS").otherwise("CREATE")
+    return rows.select("path", "name", "parent_path", "depth", action.alias("action"))
+
+
+def folder_actions(provisioned: DataFrame) -> DataFrame:
+    """The folders to create as a plan that ``executor.execute`` carries out; making one makes those above it."""
+    none = F.lit(None).cast("string")
+    return provisioned.where("action = 'CREATE'").select(F.lit("").alias("container"), F.col("path").alias("name"), "action", none.alias("local_path"), none.alias("remote_id"))
 
 
 def folder_map(folders: DataFrame) -> DataFrame:

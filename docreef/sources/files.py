@@ -4,18 +4,28 @@ from __future__ import annotations
 
 import hashlib
 import os
+import uuid
 from collections.abc import Iterator
-from datetime import datetime
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, InputPartition
 
 from docreef.functions.scalars import base_name
 
 _SCHEMA = "container string, name string, path string, size bigint, modified timestamp_ntz, hash string"
 
 
+def plain_path(path: str) -> str:
+    """The path of a folder that every machine has mounted; other schemes raise (read those with ``inventory``)."""
+    if "://" in path or path.startswith("file:"):
+        if not path.startswith("file:"):
+            raise ValueError(f"{path} is not a mounted folder")
+        return "/" + path.removeprefix("file:").lstrip("/")
+    return path
+
+
 def _md5(path: str) -> str | None:
     try:
         with open(path, "rb") as f:
@@ -24,24 +34,51 @@ def _md5(path: str) -> str | None:
         return None
 
 
+#: Files, and bytes of files, that a task reads at most; a larger file has a task of its own.
+TASK_FILES, TASK_BYTES = 1_000, 1 << 28
+
+
+def _walk(root: str) -> Iterator[os.DirEntry]:
+    """Regular files below a folder, in order of their paths, folder by folder."""
+    below = []
+    for e in sorted(os.scandir(root), key=lambda e: e.name):
+        if e.is_dir(follow_symlinks=False):
+            below.append(e.path)
+        elif e.is_file():
+            yield e
+    for folder in below:
+        yield from _walk(folder)
+
+
+def _when(stat: os.stat_result) -> datetime:
+    """Time of the last change, in UTC, so that all executors agree; without zone."""
+    return datetime.fromtimestamp(stat.st_mtime, UTC).replace(tzinfo=None)
+
+
 class FolderReader(DataSourceReader):
-    """Files below each sub-folder are a partition; only paths are listed up front, content is read by the tasks."""
+    """Paths are listed up front and dealt to tasks by number and bytes, however they lie in folders; content is read by
+    the tasks, a block at a time."""
 
     def __init__(self, options: dict):
-        self.root = options["path"]
+        self.root = plain_path(options["path"])
         self.container = options.get("container", os.path.basename(self.root.rstrip("/")))
         self.hashes = options.get("hash", "true") == "true"
 
     def partitions(self) -> list[InputPartition]:
-        return [InputPartition(d) for d, _, names in os.walk(self.root) if names] or [InputPartition(None)]
+        out, own, held = [], [], 0
+        for e in _walk(self.root):
+            size = e.stat().st_size
+            if own and (len(own) >= TASK_FILES or held + size > TASK_BYTES):
+                out.append(InputPartition(own))
+                own, held = [], 0
+            own.append(e.path)
+            held += size
+        return [*out, InputPartition(own)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        if partition.value is None:
-            return
-        for e in sorted(os.scandir(partition.value), key=lambda e: e.name):
-            if e.is_file():
-                stat = e.stat()
-                yield self.container, e.name, e.path, stat.st_size, datetime.fromtimestamp(stat.st_mtime), _md5(e.path) if self.hashes else None
+        for path in partition.value:
+            stat = os.stat(path)
+            yield self.container, os.path.basename(path), path, stat.st_size, _when(stat), _md5(path) if self.hashes else None
 
 
 class FolderSource(DataSource):
@@ -62,33 +99,41 @@ class FolderSource(DataSource):
 
 
 class ListingReader(DataSourceReader):
-    """One folder of a paged listing; every page is read, and an error fails the plan instead of looking empty."""
+    """Folders of a paged listing, a page a task; every page is read, and an error fails the plan instead of looking
+    empty. A filter on the container reaches the listing: other folders are not listed."""
 
     def __init__(self, options: dict):
-        self.path, self.page = options["path"], int(options.get("pagesize", "1000"))
+        self.path, self.page = plain_path(options["path"]), int(options.get("pagesize", "1000"))
         self.folder = options.get("folder")
 
-    def partitions(self) -> list[InputPartition]:
-        return [InputPartition(self.folder)] if self.folder else [InputPartition(d.name) for d in sorted(os.scandir(self.path), key=lambda d: d.name) if d.is_dir()] or [InputPartition(None)]
+    def pushFilters(self, filters):
+        for f in filters:
+            if isinstance(f, EqualTo) and f.attribute == ("container",) and self.folder in (None, f.value):
+                self.folder = f.value
+            else:
+                yield f
 
-    def _page(self, folder: str, token: int) -> tuple[list[os.DirEntry], int | None]:
-        own = sorted((e for e in os.scandir(os.path.join(self.path, folder)) if e.is_file() and not e.name.startswith(".trash")), key=lambda e: e.name)
-        after = token + self.page
-        return own[token:after], after if after < len(own) else None
+    def partitions(self) -> list[InputPartition]:
+        folders = [self.folder] if self.folder else sorted(d.name for d in os.scandir(self.path) if d.is_dir())
+        pages = []
+        for folder in folders:
+            names = sorted(e.name for e in os.scandir(os.path.join(self.path, folder)) if e.is_file() and not e.name.startswith(".trash"))
+            pages += [InputPartition((folder, names[at : at + self.page])) for at in range(0, len(names), self.page)]
+        return pages or [InputPartition((None, []))]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        token: int | None = 0 if partition.value is not None else None
-        while token is not None:
-            rows, token = self._page(partition.value, token)
-            for e in rows:
-                stat = e.stat()
-                yield partition.value, hashlib.md5(e.path.encode()).hexdigest(), e.name, datetime.fromtimestamp(stat.st_mtime).isoformat(), _md5(e.path), str(stat.st_size)
+        folder, names = partition.value
+        for name in names:
+            path = os.path.join(self.path, folder, name)
+            stat = os.stat(path)
+            yield folder, f"{folder}/{name}", name, _when(stat).isoformat(), _md5(path), str(stat.st_size)
 
 
 class ListingSource(DataSource):
     """``spark.read.format("docreef_listing").load(path)``: remote folders, here stood in for by folders below a path.
 
-    Direct children of each folder, not those trashed. Options: folder (one of them), pagesize.
+    Direct children of each folder, not those trashed; an id is the path below the root, which ``FolderBackend`` takes.
+    Options: folder (one of them), pagesize.
     """
 
     @classmethod
@@ -103,13 +148,17 @@ class ListingSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    """Makes both sources known, and lets filters reach them."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(FolderSource)
     spark.dataSource.register(ListingSource)
 
 
 def inventory(spark: SparkSession, path: str, container: str, most_bytes: int | None = None, pattern: str | None = None) -> DataFrame:
     """A folder of any file system by Spark's own reader, recursively. It skips hidden and empty files; for those too,
-    use the folder source. Filters on length reach the scan, and content is not read unless the hash is asked for."""
+    use the folder source. Filters on length reach the scan, and content is not read unless the hash is asked for; then
+    a file is held whole in memory, at most 2 GB (beyond it Spark raises). For larger files give most_bytes, or use the
+    folder source, which reads by blocks."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     files = (reader.option("pathGlobFilter", pattern) if pattern else reader).load(path)
     if most_bytes is not None:
@@ -142,3 +191,41 @@ def save_config(path: str, folder_map: dict[str, str], domains: dict, section: s
     body = {"folder_map": folder_map, section: {d: {**x, "folder_id": folder_map.get(d)} for d, x in domains.items()}}
     with open(path, "w", encoding="utf-8") as f:
         json.dump(body, f, ensure_ascii=False, indent=2)
+
+
+def config_text(domains: DataFrame, section: str = "domains") -> DataFrame:
+    """(value): one configuration, of rows (domain, keywords, aliases, folder_id, color, priority); for any file system.
+    A configuration is one row: a catalogue of themes is small by nature."""
+    entry = F.struct("domain", F.struct("keywords", "aliases", "folder_id", "color", "priority"))
+    return domains.agg(F.to_json(F.struct(F.map_from_entries(F.array_sort(F.collect_list(entry), lambda x, y: F.when(x["domain"] < y["domain"], -1).otherwise(1))).alias(section))).alias("value"))
+
+
+def sections(spark: SparkSession, path: str, wanted: tuple[str, ...]) -> DataFrame:
+    """(section, present): the wanted top-level keys of a JSON configuration; a file that is no JSON has none."""
+    text = spark.read.text(path, wholetext=True)
+    have = text.select(F.explode(F.coalesce(F.json_object_keys("value"), F.array().cast("array<string>"))).alias("section")).withColumn("present", F.lit(True))
+    return spark.createDataFrame([(x,) for x in wanted], "section string").join(F.broadcast(have), "section", "left").select("section", F.coalesce("present", F.lit(False)).alias("present"))
+
+
+def store_texts(rows: DataFrame, root: str, text: str = "text", path: str = "path", seconds: str = "seconds") -> DataFrame:
+    """Writes each row's text as a file below a mounted folder, with that time of change (seconds since 1970), and
+    returns (n_files), one row a task. Null texts are empty files. Files are renamed into place, so tasks may run again."""
+    import pandas as pd
+
+    base = plain_path(root)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n = 0
+        for pdf in frames:
+            for body, below, at in zip(pdf[text], pdf[path], pdf[seconds], strict=True):
+                target = os.path.join(base, below)
+                os.makedirs(os.path.dirname(target), exist_ok=True)
+                part = f"{target}.{uuid.uuid4().hex}.part"
+                with open(part, "w", encoding="utf-8", newline="", errors="surrogatepass") as f:
+                    f.write(body or "")
+                os.utime(part, (int(at), int(at)))
+                os.replace(part, target)
+                n += 1
+        yield pd.DataFrame({"n_files": [n]})
+
+    return rows.select(text, path, seconds).mapInPandas(run, "n_files long")

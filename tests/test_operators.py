@@ -71,19 +71,187 @@ def test_sources_and_executor(spark, corpus):
     plan = diff.plan(local, remote, "2024-01-15").cache()
     assert {r["name"]: r["action"] for r in plan.collect()} == {"é doc 1.pdf": "UPDATE", ".hidden": "UPLOAD", "empty": "UPLOAD", "old": "DOWNLOAD"}
     assert execute(plan).where("not ok").count() == 0 and not os.path.exists(corpus / "remote/Raw Documents/empty")
-    remote_old = {r["name"]: r["remote_id"] for r in plan.collect()}["old"]
-    assert remote_old
-    ids = {"old": str(corpus / "remote/Raw Documents/old")}
-    plan = plan.withColumn("remote_id", F.when(F.col("name") == "old", ids["old"]).otherwise(F.col("remote_id")))
     for _ in range(2):  # twice: actions may run again
         assert {r["ok"] for r in execute(plan, FolderBackend(str(corpus / "remote"), str(corpus / "local"))).collect()} == {True}
     assert (corpus / "remote/Raw Documents/é doc 1.pdf").read_text() == "x" and (corpus / "local/Raw Documents/old").read_text() == "o"
     assert not [p for p in corpus.rglob("*.part")]
+    again = diff.plan(spark.read.format("docreef_folder").load(f"{corpus}/local/Raw Documents"), spark.read.format("docreef_listing").load(f"{corpus}/remote"), "d")
+    assert {r["action"] for r in again.collect()} == {"NOOP"}
     gone = plan.withColumn("local_path", F.lit("/nowhere/at/all"))
     out = {r["name"]: r["ok"] for r in execute(gone, FolderBackend(str(corpus / "remote"), str(corpus / "local"))).collect()}
     assert out["old"] and not out["empty"] and (corpus / "remote/Raw Documents/é doc 1.pdf").read_text() == "x"
 
 
+def test_actions_run_once_and_any_failure_is_a_row(spark, tmp_path):
+    class Counting(FolderBackend):
+        """Fails in its own way, and notes what it is asked for."""
+
+        def upload(self, container, name, path):
+            with open(os.path.join(self.remote_root, "log"), "a") as f:
+                f.write(name + "\n")
+            if name == "bad":
+                raise KeyError("no such thing")
+
+    rows = [(C.RAW, n, "UPLOAD", "/p", None) for n in ("a", "bad", "c")] + [(C.RAW, "x", "DOWNLOAD", None, "../../etc/passwd"), (C.RAW, "n", "NOOP", None, None)]
+    plan = spark.createDataFrame(rows, "container string, name string, action string, local_path string, remote_id string")
+    report = execute(plan, Counting(str(tmp_path), str(tmp_path)))
+    for _ in range(2):
+        assert report.count() == 4 and {r["name"]: r["ok"] for r in report.collect()} == {"a": True, "bad": False, "c": True, "x": False}
+    assert sorted((tmp_path / "log").read_text().split()) == ["a", "bad", "c"]
+    backend = FolderBackend(str(tmp_path / "r"), str(tmp_path / "l"))
+    backend.create_folder("A/B")
+    backend.upload("A", "f", str(tmp_path / "log"))
+    backend.delete("A/f")
+    backend.delete("A/f")
+    assert (tmp_path / "r/A/B").is_dir() and not (tmp_path / "r/A/f").exists()
+
+
+def test_files_are_dealt_by_number_and_size(spark, tmp_path, monkeypatch):
+    for i in range(25):
+        (tmp_path / f"f{i:02}").write_text("x" * (50 if i == 7 else 1))
+    monkeypatch.setattr(files, "TASK_FILES", 10)
+    monkeypatch.setattr(files, "TASK_BYTES", 20)
+    reader = files.FolderReader({"path": f"file://{tmp_path}"})
+    parts = [p.value for p in reader.partitions()]
+    assert sum(map(len, parts)) == 25 and max(map(len, parts)) <= 10 and [str(tmp_path / "f07")] in parts
+    assert [r[1] for p in reader.partitions() for r in reader.read(p)] == [f"f{i:02}" for i in range(25)]
+    with pytest.raises(ValueError):
+        files.plain_path("s3://bucket/x")
+
+
+def test_listing_filters_reach_the_folders(spark, tmp_path):
+    for folder in ("a", "b"):
+        (tmp_path / folder).mkdir()
+        for i in range(5):
+            (tmp_path / folder / f"{i}.txt").write_text(folder)
+    files.register(spark)
+    rows = spark.read.format("docreef_listing").option("pagesize", "2").load(str(tmp_path))
+    assert rows.count() == 10 and {r["id"] for r in rows.where("container = 'b'").collect()} == {f"b/{i}.txt" for i in range(5)}
+    from pyspark.sql.datasource import EqualTo, GreaterThan
+
+    reader = files.ListingReader({"path": str(tmp_path)})
+    left = list(reader.pushFilters([EqualTo(("container",), "b"), GreaterThan(("size",), "0")]))
+    assert len(left) == 1 and {p.value[0] for p in reader.partitions()} == {"b"}
+
+
+def test_arms_are_those_of_the_plan(spark):
+    """Two local files of one name, the later equal to the remote one: nothing to do."""
+    local = spark.createDataFrame([(C.RAW, "d", "/a/d", "x"), (C.RAW, "d", "/b/d", "y"), (C.SYNTHESES, "s", "/s", "1")], LOCAL)
+    remote = spark.createDataFrame([(C.RAW, "1", "d", "y"), (C.SYNTHESES, "2", "only", "a")], REMOTE)
+    assert diff.updates(local, remote).count() == 0 and diff.downloads(local, remote).count() == 0
+    assert [r["name"] for r in diff.uploads(local, remote).collect()] == ["s"]
+    assert {(r["name"], r["side"]) for r in diff.names_on(local, remote).collect()} == {("d", "both"), ("s", "local"), ("only", "remote")}
+
+
+def test_provisioning(spark, tmp_path):
+    wanted = spark.createDataFrame(tree.adjacency(), "path string, name string, parent_path string")
+    have = spark.createDataFrame([("Corpus",), ("Corpus/Logs",)], "path string")
+    rows = tree.provision(spark, wanted, have, [f"Corpus/{C.PROCESSED}"])
+    got = {r["path"]: r["action"] for r in rows.collect()}
+    assert got["Corpus"] == got["Corpus/Logs"] == "EXISTS" and got[f"Corpus/{C.PROCESSED}"] == "FAILED" and got[f"Corpus/{C.RAW}"] == "CREATE"
+    assert {a for p, a in got.items() if p.startswith(f"Corpus/{C.PROCESSED}/")} == {"SKIPPED"}
+    report = execute(tree.folder_actions(rows), FolderBackend(str(tmp_path), str(tmp_path)))
+    assert report.where("ok").count() == 3 and (tmp_path / "Corpus" / C.RAW).is_dir() and not (tmp_path / "Corpus" / C.PROCESSED).exists()
+    two = [tree.flatten(spark, wanted), tree.flatten(spark, wanted.where("path = 'Corpus'"))]  # at once: neither takes the other's table
+    assert [x.count() for x in two] == [13, 1]
+
+
+def test_entry_points(spark, tmp_path):
+    from docreef import sync
+
+    (tmp_path / "l" / C.RAW).mkdir(parents=True)
+    (tmp_path / "l" / C.RAW / "a.txt").write_text("1")
+    config = {"local_root": str(tmp_path / "l"), "remote_root": str(tmp_path / "r"), "containers": {C.RAW: "id1"}, "history": str(tmp_path / "h")}
+    (tmp_path / "c.json").write_text(json.dumps(config))
+    assert sync.main(["--mode", "once", "--config", str(tmp_path / "c.json")], spark) == 0 and (tmp_path / "r" / C.RAW / "a.txt").read_text() == "1"
+    assert sync.main(["--mode", "status", "--config", str(tmp_path / "c.json")], spark) == 0
+    assert sync.main(["--mode", "once", "--config", str(tmp_path / "none.json")], spark) == 1
+    own = sync.Sync(spark, config)
+    assert [(r["folder"], r["n_files"]) for r in own.status().collect()] == [(C.RAW, 1)] and own.history().first()["n_actions"] == 1
+    (tmp_path / "r" / C.RAW / "b.txt").write_text("2")
+    own.watch(every=None).awaitTermination()
+    assert (tmp_path / "l" / C.RAW / "b.txt").read_text() == "2"
+    lacking = sync.Sync(spark, config | {"containers": {C.RAW: "id1", C.SYNTHESES: ""}})
+    assert lacking.once() is False and sync.Sync(spark, None).once() is False and not (tmp_path / "r" / C.SYNTHESES).exists()
+    health = sync.Health()
+    spark.streams.addListener(health)
+    (tmp_path / "l" / C.RAW / "a.txt").write_text("changed")  # no new file: only a tick sees it
+    query = own.continuous(every="1 second")
+    try:
+        (tmp_path / "l" / C.RAW / "a.txt").write_text("changed twice")
+        import time
+
+        end = time.time() + 60
+        while (tmp_path / "r" / C.RAW / "a.txt").read_text() != "changed twice" and time.time() < end:
+            time.sleep(0.3)
+    finally:
+        query.stop()
+        spark.streams.removeListener(health)
+    assert (tmp_path / "r" / C.RAW / "a.txt").read_text() == "changed twice" and health.fine()
+
+
+def test_shared_folder_is_required_off_one_machine(spark, monkeypatch):
+    from docreef import shared
+
+    class Context:
+        def __init__(self, master):
+            self.master, self._jsc = master, self
+        getConf = lambda self: {}
+        sc = lambda self: self
+        getCheckpointDir = lambda self: self
+        isDefined = lambda self: False
+        setCheckpointDir = lambda self, x: None
+
+    session = lambda master: type("S", (), {"sparkContext": Context(master)})()
+    assert shared.shared_dir(session("local[4]")).startswith("file://")
+    for master in ("local-cluster[2,1,1024]", "spark://host:7077", "yarn"):
+        with pytest.raises(RuntimeError):
+            shared.shared_dir(session(master))
+
+
+def test_probes(spark, tmp_path):
+    got = {r["module"]: r["present"] for r in checks.modules(spark, [("json", "json"), ("no_such_module_here", "x"), ("no.such", "y")]).collect()}
+    assert got == {"json": True, "no_such_module_here": False, "no.such": False}
+    (tmp_path / ".env").write_text("# c\nA=1\nexport B='two'\nnope\n")
+    assert checks.env_file(str(tmp_path / ".env")) == {"A": "1", "B": "two"} and checks.env_file(str(tmp_path / "none")) == {}
+    assert checks.free_bytes(str(tmp_path)) > 0 and checks.round_trip(str(tmp_path)) and not checks.round_trip(str(tmp_path / "none"))
+    assert not checks.answers("http://127.0.0.1:9/", 1) and not checks.answers("no url")
+    rows = spark.createDataFrame([(0, "a", "passed"), (1, "b", "failed")], "seq int, check string, status string")
+    assert "success rate 50.0%, warning" in checks.rendered(checks.summary(rows))
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self):
+            self.send_response(200 if self.path == "/ok" else 404)
+            self.end_headers()
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    at = f"http://127.0.0.1:{server.server_port}"
+    assert checks.answers(f"{at}/ok") and not checks.answers(f"{at}/no")
+    server.shutdown()
+
+
+def test_inventory_limits(spark):
+    rows = spark.createDataFrame([("a.TXT", 5), ("b.exe", 5), ("c.md", 11), ("noext", 1), (".txt", 1)], "name string, size long")
+    assert {r["name"] for r in inventory.allowed(rows, C.EXTENSIONS, 10).collect()} == {"a.TXT", ".txt"}
+    need = spark.createDataFrame([("a",), ("b",)], "name string")
+    assert [r["name"] for r in inventory.found(need, spark.createDataFrame([("b",), ("b",)], "name string")).collect()] == ["b"]
+
+
+def test_connected_sets(spark):
+    from docreef.operators.graph import connected
+
+    edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(7, 7), (200, 200)]
+    got = {(r["node"], r["root"]) for r in connected(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {(i, 0) for i in range(41)} | {(i, 100) for i in range(100, 160)}
+    assert connected(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_inventory_by_spark(spark, corpus):
     rows = files.inventory(spark, f"{corpus}/local/Raw Documents", C.RAW, most_bytes=10).collect()
     assert [(r["name"], r["size"]) for r in rows] == [("é doc 1.pdf", 1)]
@@ -154,11 +322,13 @@ def test_classification(spark):
     assert {(r["domain"], r["doc_id"], r["enough"]) for r in top} == {("Sauvetage Combat", 1, True), ("Guerre Electronique", 1, False), ("Drones", 4, False)}
 
 
-def test_numbering_in_buckets(spark):
-    rows = spark.range(0, 3000, 3).withColumnRenamed("id", "k").repartition(7)
-    got = inventory.numbered(rows, "k", bucket_rows=90).orderBy("k").collect()
-    assert [r["number"] for r in got] == list(range(1, 1001))
+def test_numbering_by_ranges(spark):
+    rows = spark.range(0, 3000, 3).selectExpr("id as k", "'x' as part", "1 as place", "2 as row", "3 as key").repartition(7)
+    got = inventory.numbered(rows, "k").orderBy("k").collect()
+    assert [r["number"] for r in got] == list(range(1, 1001)) and len(got[0]) == 6
     assert inventory.batches(rows.limit(0), "k", 50).count() == 0
+    same = spark.range(100).selectExpr("cast(null as long) as k")
+    assert sorted(r["number"] for r in inventory.numbered(same, "k").collect()) == list(range(1, 101))
 
 
 def test_similar_pairs_brute_force(spark):
@@ -180,4 +350,12 @@ def test_similar_pairs_brute_force(spark):
         sets.setdefault(t, (i, {tuple(w[k : k + 5]) for k in range(len(w) - 4)}))
     own = list(sets.values())
     want = {(i, j) for i, a in own for j, b in own if i < j and 5 * len(a & b) >= 4 * len(a | b)}
-    assert {(r["a"], r["b"]) for r in similarity.similar_pairs(docs).collect()} == want and want
+    got = similarity.pairs(similarity.shingle_sets(docs, 5, "doc_id", "text"), 0.8)
+    assert {(r["a"], r["b"]) for r in got.collect()} == want and want
+    links = {i: {b if a == i else a for a, b in want if i in (a, b)} for p in want for i in p}
+    rows = similarity.similar_texts(docs).collect()
+    assert {r["doc_id"]: r["n_links"] for r in rows} == {i: len(x) for i, x in links.items()}
+    assert all(min(x | {i}) >= next(r["class_id"] for r in rows if r["doc_id"] == i) for i, x in links.items())
+    top = similarity.clusters(docs).orderBy("rank").collect()
+    assert [r["rank"] for r in top] == list(range(1, 11)) and top[0]["n_docs"] == max(r["n_docs"] for r in top)
+    assert similarity.clusters(docs.limit(0)).count() == 0 and similarity.similar_texts(docs.limit(0)).count() == 0

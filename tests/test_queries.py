@@ -8,7 +8,7 @@ import pytest
 from docreef.plans.catalog import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
-TABLES = "region nation customer supplier part orders lineitem events documents".split()
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings".split()
 
 
 def plain(x):
