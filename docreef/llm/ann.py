@@ -7,15 +7,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docreef.llm.common import written
+from docreef.llm.common import arrow_schema, written
 
 #: Vectors of a shard, at about which a graph of plain arrays is still built in a task's time and memory.
-SHARD = 1 << 13
-#: Queries of a block, which meets every shard as one row.
-BLOCK = 2048
+SHARD = 1 << 14
+#: Queries of a block, which goes to every shard as one row, and blocks that a task takes past one shard.
+BLOCK, BLOCKS = 2048, 64
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -217,39 +218,56 @@ def build_index(vectors: DataFrame, k: int, shard_rows: int = SHARD, degree: int
     return written(placed.groupBy("dim", "shard").applyInPandas(build, _INDEX), "ann-index")
 
 
-def search(index: DataFrame, queries: DataFrame, k: int = 20, breadth: int = 160, block: int = BLOCK) -> DataFrame:
+def search(index: DataFrame, queries: DataFrame, k: int = 20, breadth: int = 160, block: int = BLOCK, blocks: int = BLOCKS) -> DataFrame:
     """(query_id, rank, vec_id, score) of rows (vec_id, vector) as queries, a query's own row left out.
 
-    Blocks of queries meet each shard of their dimension once; a shard gives its k best of a query. Queries with one id
-    and different vectors are ranked apart.
+    A task has one shard and up to ``blocks`` blocks of queries of its dimension: it loads the shard's graph, which comes
+    first, once, and takes the blocks past it one by one, so its memory is a graph and a block. Each gives a query's k
+    best of the shard. Queries with one id and different vectors are ranked apart.
     """
-    n = queries.agg(F.count(F.lit(1)).alias("n"))
+    n = queries.count()
+    groups, every = max(1, -(-n // (block * blocks))), max(1, -(-n // block))
+    shard_bits = F.lit(2**32)
+    spans = index.groupBy("dim", F.floor(F.col("shard") / shard_bits).alias("band")).agg((F.max(F.pmod("shard", shard_bits)) + 1).alias("n"), F.count(F.lit(1)).alias("shards"))
+    spans = written(spans, "ann-spans")  # a row a dimension and band
+    units = (spans.agg(F.sum("shards")).first()[0] or 0) * groups
+    spans = spans.agg(F.collect_list(F.struct("dim", "band", "n")).alias("spans"))
     which = F.row_number().over(Window.partitionBy("vec_id").orderBy("vector"))
-    asked = queries.withColumn("dim", F.size("vector")).withColumn("which", which).crossJoin(F.broadcast(n))  # one row
-    blocks = asked.groupBy("dim", F.pmod(F.xxhash64("vec_id"), F.ceil(F.col("n") / block)).alias("block")).agg(
-        F.collect_list(F.struct("vec_id", "which", "vector")).alias("queries")
-    )
-    tasks = blocks.join(index.select("dim", "shard"), "dim").select("dim", "shard", "queries").join(index, ["dim", "shard"])
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        loaded, graph = None, None
-        for pdf in frames:
-            for row in pdf.itertuples(index=False):
-                if loaded != (row.dim, row.shard):
-                    graph = Graph.load({"n": row.n, "dim": row.dim, "entry": row.entry, "vectors": row.vectors, "points": row.points, "links": row.links})
-                    loaded = (row.dim, row.shard)
+    asked = queries.withColumn("dim", F.size("vector")).withColumn("which", which)
+    packed = asked.groupBy("dim", F.pmod(F.xxhash64("vec_id"), F.lit(every)).alias("block")).agg(F.collect_list(F.struct("vec_id", "which", "vector")).alias("queries"))
+    own = F.transform(F.filter("spans", lambda x: x["dim"] == F.col("dim")), lambda x: F.sequence((x["band"] * 2**32).cast("long"), (x["band"] * 2**32 + x["n"] - 1).cast("long")))
+    sent = packed.crossJoin(F.broadcast(spans)).select("dim", F.explode(F.flatten(own)).alias("shard"), F.pmod("block", F.lit(groups)).cast("int").alias("grp"), F.lit(1).alias("kind"), "queries")
+    held = index.select("dim", "shard", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("grp"), F.lit(0).alias("kind"), "n", "entry", "vectors", "points", "links", "members")
+    both = held.unionByName(sent, allowMissingColumns=True)
+    dealt = both.repartition(int(min(max(3 * units, 1), 20_000)), "dim", "shard", "grp").sortWithinPartitions("dim", "shard", "grp", "kind")
+    schema = arrow_schema("query_id long, which int, vec_id long, score double")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        loaded, graph, members = None, None, []
+        for batch in batches:
+            for at in range(batch.num_rows):
+                row = {c: batch.column(i)[at] for i, c in enumerate(batch.schema.names)}
+                unit = tuple(row[c].as_py() for c in ("dim", "shard", "grp"))
+                if row["kind"].as_py() == 0:
+                    graph = Graph.load({c: row[c].as_py() for c in ("n", "dim", "entry", "vectors", "points", "links")})
+                    loaded, members = unit, row["members"].as_py()
+                    continue
+                if loaded != unit:  # a number within the span that no vector fell on
+                    continue
+                asked = row["queries"].values
+                ids, sorts = asked.field("vec_id").to_pylist(), asked.field("which").to_pylist()
+                vectors = asked.field("vector").flatten().to_numpy().reshape(len(ids), unit[0])
                 out = []
-                for q in row.queries:
-                    own, vector = q["vec_id"], np.array(q["vector"], np.float64)
+                for own, which, vector in zip(ids, sorts, vectors, strict=True):
                     near = graph.near(vector, max(breadth, k + 1))
                     scores = (graph.vectors[near] * vector).sum(1)  # row by row: equal vectors score alike
                     same = (graph.vectors[near] == vector).all(1)
-                    hits = sorted((-s, int(m)) for s, x, e in zip(scores.tolist(), near.tolist(), same.tolist()) for m in row.members[x] if m != own or not e)
-                    out += [(own, q["which"], m, -s) for s, m in hits[:k]]
+                    hits = sorted((-s, int(m)) for s, x, e in zip(scores.tolist(), near.tolist(), same.tolist()) for m in members[x] if m != own or not e)
+                    out += [(own, which, m, -s) for s, m in hits[:k]]
                 if out:
-                    yield pd.DataFrame(out, columns=["query_id", "which", "vec_id", "score"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
-    hits = tasks.mapInPandas(run, "query_id long, which int, vec_id long, score double")
+    hits = dealt.mapInArrow(run, "query_id long, which int, vec_id long, score double")
     best = Window.partitionBy("query_id", "which").orderBy(F.desc("score"), "vec_id")
     return hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -23,12 +23,12 @@ def exact(rows, k=20, every=20):
     return out
 
 
-@pytest.mark.parametrize("shard_rows", [8192, 100])
-def test_recall(spark, shard_rows):
+@pytest.mark.parametrize("options", [{}, {"shard_rows": 100}, {"shard_rows": 100, "block": 3, "blocks": 2}])
+def test_recall(spark, options):
     df = spark.read.parquet(f"{SF}/embeddings.parquet")
     want = exact({r["vec_id"]: r["embedding"] for r in df.collect()})
     got = defaultdict(list)
-    for r in ann.nearest(df, shard_rows=shard_rows).orderBy("query_id", "rank").collect():
+    for r in ann.nearest(df, **options).orderBy("query_id", "rank").collect():
         got[r["query_id"]].append((r["vec_id"], r["score"]))
         assert r["rank"] == len(got[r["query_id"]])
     assert set(got) == set(want)
