@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docreef.shared import BROADCAST_ROWS, new_folder, shared_dir, sized_join, written
+
+__all__ = ["BROADCAST_ROWS", "new_folder", "shared_dir", "sized_join", "written"]
+
 #: A word, where a contract says so: anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -36,30 +38,6 @@ def folded_words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_FOLD).split()
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. The session names it; only where it does not (tests), one is made."""
-    told = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if told is None:
-        made = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if made.isDefined():
-            told = made.get()
-        else:
-            told = "file://" + tempfile.mkdtemp(prefix="docreef-")
-            spark.sparkContext.setCheckpointDir(told)
-    return told.rstrip("/")
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: lineage ends here, and a lost executor costs only its own tasks."""
-    path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def arrow_schema(ddl: str) -> pa.Schema:
     """An Arrow schema for a list like ``doc_id long, tags array<string>``."""
 

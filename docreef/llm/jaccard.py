@@ -29,7 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from docreef.llm.common import arrow_schema, folded_words, map_rows, slices, written
+from docreef.llm.common import arrow_schema, folded_words, map_rows, sized_join, slices, written
+from docreef.operators.graph import connected
 
 #: Words of a shingle, and the least similarity of a link.
 WIDTH, THRESHOLD = 5, 0.8
@@ -42,8 +43,6 @@ SAMPLE, SHALLOW, PRIOR = 8, 3, 10
 DEVIATIONS = 4.4
 #: Texts of a block; candidates beyond it are compared block by block.
 BLOCK = 512
-#: Rows that may be broadcast, of at most 100 bytes each. Counted before; beyond it Spark sorts and merges, same rows.
-BROADCAST_ROWS = 250_000
 #: Runs of a trie up to this size are known by their members, so that equal runs of several trees are one bucket.
 SMALL_RUN = 64
 
@@ -307,29 +306,6 @@ def families(nodes: DataFrame, trees: int, longest: int, depth: int, least: int,
     return connected(found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(_compared(across, least)))
 
 
-def connected(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, root) of all nodes of edges (a, b): the least node of each connected set, itself included.
-
-    Large-star and small-star rounds (Kiveris et al. 2014) until every set is a star; each is written, so lineage stays
-    short. The least neighbours, a row a node, are written before they meet the edges, so that a star with very many
-    edges is broadcast to or, beyond what is broadcast, split by Spark like any skewed key.
-    """
-    edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    for _ in range(most_rounds):
-        ends = edges.select(F.col("a").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("b").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
-        if ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up = 1 and down = 1)").isEmpty():
-            break
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = written(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "links")
-        large = written(sized_join(both, least, "a", "inner").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "links")
-        least = written(large.groupBy("a").agg(F.min("b").alias("m")), "links")
-        small = sized_join(large, least, "a", "inner").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        edges = written(small, "links")
-    else:
-        raise RuntimeError("connected sets did not settle")
-    return written(edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()), "links")
-
-
 # --- exact verification ----------------------------------------------------------------------------------------------
 def common_counts(sets: list[np.ndarray]) -> np.ndarray:
     """How many members each two sorted sets have in common."""
@@ -412,12 +388,6 @@ class Verifier:
         return pd.DataFrame([(*k, n) for k, n in out.items()], columns=["percent", "deep", "links"]).astype("int64")
 
 
-def sized_join(left: DataFrame, right: DataFrame, on, how: str, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A join that broadcasts the right side if it has at most ``rows`` rows, counted; else Spark sorts and merges."""
-    small = right.limit(rows + 1).count() <= rows
-    return left.join(F.broadcast(right) if small else right.hint("merge"), on, how)
-
-
 def verified(docs: DataFrame, candidates: DataFrame, width: int, verifier: Verifier, block: int, key: str, text: str, sample: bool = False) -> DataFrame:
     """What ``Verifier.counted`` (or ``sampled``) tells of candidates (print, part, rep, n): rep is a document with that
     print, n how many have it. Each text is read and brought to its family once, in blocks."""
