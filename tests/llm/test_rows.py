@@ -8,6 +8,7 @@ import duckdb
 import numpy as np
 import pytest
 import zstandard
+from pyspark.sql import functions as F
 
 from docreef.llm import licenses, pieces, quality_rules, token_counts, token_output
 from docreef.llm import queries as Q
@@ -78,22 +79,63 @@ def test_token_counts(which, request):
     assert got == want
 
 
-def test_random_edits(monkeypatch):
+@pytest.mark.parametrize("at_end", [False, True])
+def test_random_edits(monkeypatch, at_end):
     import random
 
     monkeypatch.setattr(token_counts, "BLOCK", 4)
     monkeypatch.setattr(token_counts, "FULL", 12)
     count = token_counts.Counter(Q.tokenizer_path("byte_bpe_50k.tiktoken"), Q.pretoken_pattern())
     rng, parts = random.Random(3), [" ", "\n", "'", "s", "re", "ll", "a", "9", ".", "  ", "é", "中", "don't"]
-    for _ in range(200):
+    for turn in range(300):
         t = "".join(rng.choice(parts) for _ in range(rng.randint(0, 80)))
         tree = token_counts.CountTree(t, count)
-        for _ in range(6):
-            s, new = rng.randint(0, len(t)), "".join(rng.choice(parts) for _ in range(rng.choice([0, 1, 30])))
+        for _ in range(40 if at_end else 8):
+            s, new = len(t) if at_end else rng.randint(0, len(t)), "".join(rng.choice(parts) for _ in range(rng.choice([0, 1, 30])))
             e = min(len(t), s + rng.choice([0, 1, 5, 40]))
             t = t[:s] + new + t[e:]
             tree.edit(s, e, new)
+            if turn % 3 == 0:  # kept and loaded again
+                names = ("text", "sizes", "counts", "block_pieces", "block_chars", "block_tokens")
+                tree = token_counts.CountTree.load(dict(zip(names, tree.dump(), strict=True)), count)
             assert tree.text == t and tree.n_tokens == len(count.encode(t)) and tree.n_pieces == len(count.cut.findall(t))
+            assert at_end or max(len(x.sizes) for x in tree.leaves()) <= 12
+
+
+def test_kept_trees_save_the_count(spark, docs, texts, tmp_path):
+    """A second batch of edits works on what the first one kept: it counts a few pre-tokens, and gives a full count's sums."""
+    path, pattern = Q.tokenizer_path("byte_bpe_50k.tiktoken"), Q.pretoken_pattern()
+    edits = Q.example_edits().alias("edits")
+    first = token_counts.kept(token_counts.edited_trees(token_counts.planted(docs.select("doc_id", "text", edits), path, pattern, also=("edits",)), path, pattern), f"file://{tmp_path}/trees")
+    again = [(5, 8, "new "), (2000, 2000, "x y"), (30, 31, None)]
+    more = F.array(*[F.struct(F.lit(a).cast("long").alias("start"), F.lit(b).cast("long").alias("stop"), F.lit(c).cast("string").alias("replacement")) for a, b, c in again])
+    rows = token_counts.edited_trees(first.select("*", more.alias("edits")), path, pattern).collect()
+    once = {r["doc_id"]: edited(r["text"], r["edits"]) for r in docs.select("doc_id", "text", edits).collect()}
+    count = token_counts.Counter(path, pattern)
+    assert len(rows) == len(once) and max(len(r["block_pieces"]) for r in rows) > 10
+    for r in rows:
+        want = edited(once[r["doc_id"]], [{"start": a, "stop": b, "replacement": c} for a, b, c in again])
+        assert r["text"] == want and (r["n_tokens_before"], r["n_tokens"]) == (len(count.encode(once[r["doc_id"]])), len(count.encode(want)))
+        assert r["n_recounted"] <= 40 and sum(r["block_tokens"]) == r["n_tokens"]
+
+
+def test_edits_read_and_cut_their_surroundings_only():
+    """Of a text of a million characters an edit cuts a few thousand at most, and opens a few blocks."""
+    count = token_counts.Counter(Q.tokenizer_path("byte_bpe_50k.tiktoken"), Q.pretoken_pattern())
+    tree = token_counts.CountTree("some words of text, " * 50_000, count)
+    names = ("text", "sizes", "counts", "block_pieces", "block_chars", "block_tokens")
+    tree = token_counts.CountTree.load(dict(zip(names, tree.dump(), strict=True)), count)
+    seen = []
+
+    class Cut:
+        def finditer(self, text, cut=count.cut):
+            seen.append(len(text))
+            return cut.finditer(text)
+
+    count.cut = Cut()
+    for at in (0, 10, 500_000, 999_990):
+        tree.edit(at, at + 3, "changed words")
+    assert max(seen) < 5_000 and sum(x.source is None for x in tree.leaves()) <= 12
 
 
 def test_followed_edits(spark, docs, texts):
