@@ -62,17 +62,20 @@ def _tilts(sizes: DataFrame, targets: DataFrame, most: int, rounds: int, toleran
 
     The rate of a document of s words is min(most, exp(tilt * s / mean)): of all rates with the target's number of
     words and within the cap, those nearest to 1 in entropy. A step works on the logarithm of the words taken, stays
-    between the bounds found so far, and is a distributed sum over the distinct sizes of a source. Sums are decimals,
-    so that reruns agree whatever the order of the rows.
+    between the bounds found so far, and is a distributed sum over the distinct sizes of a source. The first tilt is the
+    one of a document of mean size. Sums are decimals, so that reruns agree whatever the order of the rows. A source
+    whose words are not within ``tolerance`` of its size after ``rounds`` steps raises.
     """
     spark = sizes.sparkSession
     counts = written(sizes.where("size > 0").groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "mix-sizes")
+    top = math.log(most) * F.greatest("mean", F.lit(1.0))  # here every word is taken as often as may be
+    full = F.col("target") >= most * F.col("source_size") * (1 - 1e-12)
     state = targets.withColumn("mean", F.greatest(F.col("source_size") / F.col("n_docs"), F.lit(1e-300))).select(
         "source", "source_size", "target", "mean",
-        F.lit(0.0).alias("tilt"),
+        F.when(full, top).otherwise(F.least(F.greatest(F.log(F.greatest(F.col("target") / F.greatest("source_size", F.lit(1)), F.lit(1e-9))), F.lit(-20.0)), F.lit(math.log(most)))).alias("tilt"),
         (F.lit(-60.0) * F.greatest("mean", F.lit(1.0))).alias("low"),
-        (math.log(most) * F.greatest("mean", F.lit(1.0))).alias("high"),
-        (F.col("source_size") <= 0).alias("done"),
+        top.alias("high"),
+        ((F.col("source_size") <= 0) | full).alias("done"),
     )
     state = written(state, "mix-tilt")
     for _ in range(rounds):
@@ -101,6 +104,9 @@ def _tilts(sizes: DataFrame, targets: DataFrame, most: int, rounds: int, toleran
         state = written(state, "mix-tilt")
         if state.where("not done").isEmpty():
             break
+    else:
+        left = [r["source"] for r in state.where("not done").limit(5).collect()]
+        raise RuntimeError(f"tilts of sources {left} did not converge in {rounds} steps")
     return state.select("source", "source_size", "target", "mean", "tilt")
 
 
@@ -119,9 +125,10 @@ def _scaled(sizes: DataFrame, tilts: DataFrame, most: int, passes: int, points:
     """tilts with a scale near 1 at which the rounded copies, too, come nearest to the target.
 
     Words taken never fall as the scale grows, one document after another, so each pass tries a row of scales in one
-    scan and goes on between the two that hold the target; integers are summed, so the outcome is exact.
+    scan and goes on between the two that hold the target; integers are summed, so the outcome is exact. Of scales that
+    come equally near, the one nearest to 1 stays.
     """
-    both = written(tilts.select("*", F.lit(0.0).alias("below"), F.lit(4.0).alias("above"), F.lit(1.0).alias("scale")), "mix-scale")
+    both = written(tilts.select("*", F.lit(0.0).alias("below"), F.lit(4.0).alias("above"), F.lit(1.0).alias("scale"), F.lit(None).cast("double").alias("gap")), "mix-scale")
     first = [0.0, 0.5, 0.75, 0.9, 0.95, 0.98, 0.99, 0.995, 1.0, 1.005, 1.01, 1.02, 1.05, 1.1, 1.25, 1.5, 2.0, 4.0]
     for k in range(passes):
         tries = (
@@ -139,15 +146,16 @@ def _scaled(sizes: DataFrame, tilts: DataFrame, most: int, passes: int, points:
             F.array_max(F.filter("tried", lambda t: t["took"] <= F.col("target")))["scale"],
             F.array_min(F.filter("tried", lambda t: t["took"] > F.col("target")))["scale"],
         ]
-        best = F.array_min(F.transform("tried", lambda t: F.struct(F.abs(t["took"] - F.col("target")), F.abs(t["scale"] - 1), t["scale"].alias("scale"))))["scale"]
+        best = F.array_min(F.transform("tried", lambda t: F.struct(F.abs(t["took"] - F.col("target")).alias("gap"), F.abs(t["scale"] - 1).alias("off"), t["scale"].alias("scale"))))
+        best = F.array_min(F.array(best, F.struct(F.coalesce("gap", F.lit(float("inf"))).alias("gap"), F.abs(F.col("scale") - 1).alias("off"), F.col("scale").alias("scale"))))
         both = written(
             on.select("source", "source_size", "target", "mean", "tilt",
                       F.coalesce(ends[0], F.col("below")).alias("below"), F.coalesce(ends[1], F.col("above")).alias("above"),
-                      F.coalesce(best, F.col("scale")).alias("scale")), "mix-scale")
-    return both.drop("below", "above")
+                      F.coalesce(best["scale"], F.col("scale")).alias("scale"), F.coalesce(best["gap"], F.col("gap")).alias("gap")), "mix-scale")
+    return both.drop("below", "above", "gap")
 
 
-def fit(sizes: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST, rounds=40, tolerance=1e-9, passes=4, points=16) -> DataFrame:
+def fit(sizes: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST, rounds=60, tolerance=1e-6, passes=4, points=16) -> DataFrame:
     """The mix's parameters, a row a source, from rows (source, size, draw)."""
     targets = written(source_targets(sizes, weights, share, most), "mix-targets")
     return _scaled(sizes, _tilts(sizes, targets, most, rounds, tolerance), most, passes, points)
@@ -158,7 +166,10 @@ def sized(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """Per document of (doc_id, text, source): size, source_size, target, rate, copies, taken.
+    """Per document of (doc_id, text, source): size, source_size, target, rate, scale, copies, taken.
+
+    A rate is the source's scale times the tilted rate; the scale, near 1 unless a source has few documents, makes up for
+    the rounding to copies.
 
     Edge cases: a null source is a source (the last in order); a null or empty text has size 0 and takes 0 words; a
     source of 0 words has target 0; rows with one doc_id share one draw; no rows give no rows; columns beside the
@@ -171,15 +182,19 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     return rows.withColumn("copies", _copies(F.col("scale"), most)).select(
         "doc_id", "source", "size", "source_size", "target",
         F.least(F.lit(float(most)), F.col("scale") * F.exp(F.least(F.col("tilt") * F.col("size") / F.col("mean"), F.lit(50.0)))).alias("rate"),
-        "copies", (F.col("size") * F.col("copies")).alias("taken"),
+        "scale", "copies", (F.col("size") * F.col("copies")).alias("taken"),
     )
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """docs with every row as often as the mix takes it, all columns kept. The texts are not shuffled."""
+    """docs with every row as often as the mix takes it, all columns kept, whatever their names. The texts are not shuffled.
+
+    Null and empty texts come at the rate of a document of no words; null sources are a source; rows of one doc_id come
+    equally often; no rows give no rows.
+    """
     most = options.get("most", MOST)
-    params = fit(written(sized(docs), "mix-docs"), **options).select(F.col("source").alias("_source"), "mean", "tilt", "scale")
-    inner = docs.select(F.struct("*").alias("row"), F.col("source").alias("_own"), word_count().alias("size"), draw("doc_id").alias("draw"))
-    rows = inner.join(params, F.expr("_own <=> _source"))
+    params = fit(written(sized(docs), "mix-docs"), **options).select(F.col("source").alias("name"), "mean", "tilt", "scale")
+    inner = docs.select(F.struct("*").alias("row"), F.col("source").alias("own"), word_count().alias("size"), draw("doc_id").alias("draw"))
+    rows = inner.join(params, F.expr("own <=> name"))
     copies = F.array_repeat(F.lit(0), _copies(F.col("scale"), most).cast("int"))
     return rows.select("row", F.explode(copies)).select("row.*")

@@ -71,7 +71,7 @@ def _sum(rows):
 def test_tilts_solve_the_dual(spark, more):
     """Rates meet each target before rounding and fall off exponentially with size, cut at two."""
     sizes = mixing.sized(more[0]).cache()
-    t = mixing._tilts(sizes, mixing.source_targets(sizes), 2, 40, 1e-9).collect()
+    t = mixing._tilts(sizes, mixing.source_targets(sizes), 2, 60, 1e-9).collect()
     by = defaultdict(list)
     for r in sizes.collect():
         by[r["source"]].append(r["size"])
@@ -80,6 +80,19 @@ def test_tilts_solve_the_dual(spark, more):
         assert (x * np.minimum(2, np.exp(np.minimum(r["tilt"] * x / r["mean"], 50)))).sum() == pytest.approx(r["target"], rel=1e-6)
 
 
+def test_scales_are_near_one(spark, more):
+    """With many documents a source the rounded copies meet the target at a scale near 1: the rates are the tilted ones."""
+    docs = more[0].withColumn("source", F.concat(F.lit("s"), F.col("doc_id") % 4))
+    for r in mixing.mix(docs).select("source", "scale").distinct().collect():
+        assert abs(r["scale"] - 1) < 0.1, r
+
+
+def test_tilts_that_do_not_converge_raise(more):
+    sizes = mixing.sized(more[0]).cache()
+    with pytest.raises(RuntimeError):
+        mixing._tilts(sizes, mixing.source_targets(sizes), 2, 1, 1e-12)
+
+
 def test_mix_of_nothing(none, spark):
     assert mixing.mix(none).count() == 0 and mixing.mixed(none).count() == 0
     empty = spark.createDataFrame([(1, None, "a"), (2, "", None)], "doc_id long, text string, source string")
