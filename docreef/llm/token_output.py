@@ -12,6 +12,7 @@ A shard is a sequence of zstandard frames, so any zstandard tool can decompress
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import uuid
@@ -151,6 +152,40 @@ class ShardReader:
         return list(range(skip + int(np.searchsorted(own, doc_id)), skip + int(np.searchsorted(own, doc_id, "right"))))
 
 
+#: Normalisers and pre-tokenizers under which no token looks across a space or a line feed (fixed values).
+_BY_WORDS = (
+    (
+        {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+        {"type": "Sequence", "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ]},
+    ),
+)
+
+
+def by_words(tokenizer) -> bool:
+    """Whether texts may be cut at spaces: the tokenizer's parts are known ones, and no added token has a space or could
+    stand beside one."""
+    d = json.loads(tokenizer.to_str())
+    plain = all(t["content"].startswith("<|") and " " not in t["content"] and not (t["lstrip"] or t["rstrip"] or t["normalized"] or t["single_word"]) for t in d["added_tokens"])
+    return plain and d["model"]["type"] == "BPE" and not d["model"].get("dropout") and (d["normalizer"], d["pre_tokenizer"]) in _BY_WORDS
+
+
+class WholeEncoder:
+    """Whole texts to ids by the library alone; for any tokenizer."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer = tokenizer
+
+    def many(self, texts: list[str | None]) -> list[bytes]:
+        got = self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)
+        return [np.array(e.ids, "<u4").tobytes() for e in got]
+
+    def __call__(self, text: str | None) -> bytes:
+        return self.many([text])[0]
+
+
 class WordEncoder:
     """Whole texts to ids by way of a memory of words.
 
@@ -164,10 +199,8 @@ class WordEncoder:
     The memory has two generations of at most ``room`` parts; the older goes when the younger is full.
     """
 
-    def __init__(self, path: str, room: int = 500_000, longest: int = 48):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+    def __init__(self, tokenizer, room: int = 500_000, longest: int = 48):
+        self.tokenizer = tokenizer
         self.room, self.longest = room, longest
         self.young: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
@@ -247,13 +280,17 @@ class WordEncoder:
 _MARK = re.compile("[\u0300-\u036f]")
 _ENDED = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([.,!?;:#*$%&]+)")
 
-_encoders: dict[str, WordEncoder] = {}
+_encoders: dict[str, WordEncoder | WholeEncoder] = {}
 
 
-def encoder_of(path: str) -> WordEncoder:
-    """The process' own encoder, so that the next task finds the words of the last."""
+def encoder_of(path: str) -> WordEncoder | WholeEncoder:
+    """The process' own encoder, so that the next task finds the words of the last. A tokenizer that is not known to keep
+    to words has its texts encoded whole: the same ids as ever, more slowly."""
     if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(path)
+        _encoders[path] = WordEncoder(tokenizer) if by_words(tokenizer) else WholeEncoder(tokenizer)
     return _encoders[path]
 
 
@@ -261,9 +298,10 @@ def write_shards(
     docs: DataFrame, folder: str, tokenizer: str, key: str = "doc_id", text: str = "text", end_id: int = 1,
     frame_bytes: int = 1 << 16, shard_bytes: int = 1 << 28, level: int = 3,
 ) -> DataFrame:
-    """Encodes whole texts and writes shards in ascending order of the key (nulls first); returns the manifest.
+    """Encodes whole texts and writes shards in ascending order of the key (nulls first), rows of one key in order of a
+    hash of their texts, so that repeated keys are dealt over tasks and reruns agree; returns the manifest.
 
-    Texts are range-partitioned by key once. A task that is run again writes under another name; the manifest, itself
+    Texts are range-partitioned once. A task that is run again writes under another name; the manifest, itself
     a committed table, names the files of the tasks that counted.
     """
     schema = arrow_schema(MANIFEST)
@@ -302,8 +340,8 @@ def write_shards(
         if writer is not None:
             yield closed()
 
-    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("mark"))
+    ordered = rows.repartitionByRange("doc_id", "mark").sortWithinPartitions("doc_id", "mark").select("doc_id", "text")
     return written(ordered.mapInArrow(run, MANIFEST), "shard-manifest")
 
 
@@ -341,7 +379,7 @@ def token_output(docs: DataFrame, tokenizer: str, folder: str | None = None, **o
     """Writes the documents' ids and reads them back.
 
     Edge cases: a null or empty text is the end id alone; a null doc_id sorts first and stays null; rows with one
-    doc_id are kept, in any order among themselves; no rows write no shard and give no rows; other columns are not
+    doc_id are kept, in an order that their texts fix; no rows write no shard and give no rows; other columns are not
     read. A shard that was damaged raises instead of giving other ids.
     """
     folder = folder or new_folder(docs.sparkSession, "token-shards")
