@@ -10,8 +10,10 @@ what the vocabulary lacks, a literal U+2581 included, is written as byte pieces.
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -102,7 +104,8 @@ class Pieces:
         #: of a character that the vocabulary lacks, written as byte pieces
         self.lacking = (sp.vocab_size() + 3.0) ** -alpha
         self.longest = max(map(len, self.number))
-        #: longest unit whose paths' weights are sure to be numbers; longer ones are filtered alone, with rescaling
+        #: longest unit whose paths' weights are sure to be numbers; longer ones are filtered alone, with rescaling, and
+        #: drawn from another stream of the same distribution
         self.short = max(8, int(280 / (alpha * np.log10(sp.vocab_size() + 3))))
         self.table = _Table(self.number)
 
@@ -184,46 +187,52 @@ class Pieces:
             ids[mask] = raw
         return ids, steps
 
+    def _edges(self, unit: str, k: int, sums, logs) -> tuple[list[tuple[int, float]], float]:
+        """(start, weight) of the pieces of a unit that end at k, each times the sum of the paths up to its start, and the
+        logarithm that all weights are short of."""
+        get, weights, own = self.number.get, self.weights, []
+        for i in range(max(0, k - self.longest), k):
+            number = get(unit[i:k])
+            if number is not None:
+                own.append((i, weights[number]))
+        if get(unit[k - 1]) is None:
+            own.append((k - 1, self.lacking))
+        top = max(logs[i] for i, _ in own)
+        return [(i, sums[i] * w * math.exp(logs[i] - top)) for i, w in own], top
+
     def _long(self, unit: str, seed: int) -> np.ndarray:
-        """A unit of any length: the same lattice in one pass, sums rescaled as they shrink."""
-        n, longest = len(unit), self.longest
-        get, weights = self.number.get, self.weights
-        sums, logs, edges = [1.0], [0.0], [[]]
+        """A unit of any length: the same lattice in one pass, sums rescaled as they shrink. Of a place two numbers are
+        kept; its edges are computed again where the sampled path comes by."""
+        n = len(unit)
+        sums, logs = array("d", [1.0]), array("d", [0.0])
         for k in range(1, n + 1):
-            own = []
-            for i in range(max(0, k - longest), k):
-                number = get(unit[i:k])
-                if number is not None:
-                    own.append((i, weights[number]))
-            if get(unit[k - 1]) is None:
-                own.append((k - 1, self.lacking))
-            top = max(logs[i] for i, _ in own)
-            terms = [sums[i] * w * float(np.exp(logs[i] - top)) for i, w in own]
-            total = sum(terms)
-            edges.append([(i, x / total) for (i, _), x in zip(own, terms)])
-            if total < 1e-100:
-                sums.append(1.0)
-                logs.append(top + float(np.log(total)))
-            else:
-                sums.append(total)
-                logs.append(top)
-        draws = _uniform(_U64(seed) + np.arange(n, dtype=np.uint64))
-        k, step, cuts = n, 0, [n]
+            own, top = self._edges(unit, k, sums, logs)
+            total = sum([x for _, x in own])
+            small = total < 1e-100
+            sums.append(1.0 if small else total)
+            logs.append(top + math.log(total) if small else top)
+        k, step, cuts, draws = n, 0, array("q", [n]), ()
         while k:
-            u = float(draws[step])
-            for place, (i, share) in enumerate(edges[k]):
-                if u < share or place == len(edges[k]) - 1:
-                    k = i
+            if step % 65_536 == 0:
+                draws = _uniform(_U64(seed) + np.arange(step, step + 65_536, dtype=np.uint64))
+            own, _ = self._edges(unit, k, sums, logs)
+            u = float(draws[step % 65_536]) * sum([x for _, x in own])
+            for i, share in own:
+                k = i
+                if u < share:
                     break
                 u -= share
             cuts.append(k)
             step += 1
-        cuts.reverse()
-        out = []
-        for i, j in zip(cuts, cuts[1:]):
-            number = get(unit[i:j])
-            out.append(self._bytes_of(unit[i:j]) if number is None else np.array([number], np.int32))
-        return np.concatenate(out)
+        out = array("i")
+        for at in range(len(cuts) - 1, 0, -1):
+            piece = unit[cuts[at] : cuts[at - 1]]
+            number = self.number.get(piece)
+            if number is None:
+                out.extend(self._bytes_of(piece).tolist())
+            else:
+                out.append(number)
+        return np.array(out, np.int32)
 
     def encode(self, texts: list[str | None], keys: list[object]) -> list[np.ndarray]:
         """Ids of each text. The same text, key and seed give the same ids, whatever stands beside them."""
@@ -280,7 +289,9 @@ def vocabulary(model: str, alpha: float = 1.0, seed: int = 0) -> Pieces:
 
 
 def encoded(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text", alpha: float = 1.0, seed: int = 0) -> DataFrame:
-    """(doc_id, pieces) of whole texts: ids as an array."""
+    """(doc_id, pieces) of whole texts: ids as an array. A null or empty text has the leading mark's piece alone; null
+    keys are keys; rows with one key and text are cut alike; very long texts are cut whole, a run without spaces too, at
+    two numbers a character; no rows give no rows; other columns are not read."""
     ddl = "doc_id long, pieces array<int>"
     schema = arrow_schema(ddl)
 

@@ -52,6 +52,40 @@ def test_token_starts_and_random_access(spark, docs, texts, tmp_path):
         token_output.ShardReader(f).document(0)
 
 
+def test_repeated_ids_start_alike_in_reruns(spark):
+    """Rows of one id, and of none, are dealt over tasks and come in an order that their texts fix."""
+    rows = [(7, f"text number {i} " * (i % 9 + 1)) for i in range(300)] + [(None, f"none {i}") for i in range(40)] + [(3, "x"), (7, None), (9, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [sorted((r["start"], r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in token_output.token_output(x, Q.tokenizer_path("word_bpe_49k.json")).collect()) for x in (df, df.repartition(5))]
+    assert got[0] == got[1] and [d for _, d, _, _ in got[0]] == [None] * 40 + [3] + [7] * 301 + [9]
+    assert [s for s, *_ in got[0]] == [0, *np.cumsum([n for _, _, n, _ in got[0]])[:-1].tolist()]
+
+
+@pytest.mark.parametrize("change", ["pre_tokenizer", "normalizer", "added"])
+def test_other_tokenizers_get_whole_texts(tmp_path, change):
+    """A tokenizer that looks across spaces must not be fed word by word."""
+    import json
+
+    from tokenizers import Tokenizer
+
+    d = json.loads(open(Q.tokenizer_path("word_bpe_49k.json"), encoding="utf-8").read())
+    assert isinstance(token_output.encoder_of(Q.tokenizer_path("word_bpe_49k.json")), token_output.WordEncoder)
+    if change == "pre_tokenizer":
+        d["pre_tokenizer"] = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+    elif change == "normalizer":
+        d["normalizer"]["normalizers"] = d["normalizer"]["normalizers"][:2]
+    else:
+        d["added_tokens"].append(d["added_tokens"][0] | {"id": 49408, "content": "a b"})
+    path = str(tmp_path / "other.json")
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(d, f)
+    encoder = token_output.encoder_of(path)
+    assert isinstance(encoder, token_output.WholeEncoder)
+    plain = Tokenizer.from_file(path)
+    for text in ("a b c", "The  Cat\nsat", "", None):
+        assert encoder(text) == np.array(plain.encode(text or "", add_special_tokens=False).ids, "<u4").tobytes()
+
+
 def test_token_output_of_nothing(none):
     assert token_output.token_output(none, Q.tokenizer_path("word_bpe_49k.json")).count() == 0
 
@@ -243,6 +277,29 @@ def test_sampling_follows_the_lattice():
     assert p.decode(p.encode(["y" * 3000 + "é▁"], [1])[0]) == "y" * 3000 + "é▁"
 
 
+def test_long_units_follow_the_lattice_in_little_memory():
+    """A run without spaces of any length: cut by the same probabilities, with a few numbers a character."""
+    import tracemalloc
+
+    p = pieces.Pieces(Q.tokenizer_path("piece_bpe_32k.model"))
+    inverse = {v: k for k, v in p.number.items()}
+
+    def paths(u):
+        return [((), 1.0)] if not u else [((u[:k], *r), p.weights[p.number[u[:k]]] * w) for k in range(1, len(u) + 1) if u[:k] in p.number for r, w in paths(u[k:])]
+
+    want, n = dict(paths("▁hello")), 4_000
+    got = Counter(tuple(inverse[i] for i in p._long("▁hello", seed)) for seed in range(0, n << 20, 1 << 20))
+    for path, w in want.items():
+        q = w / sum(want.values())
+        assert abs(got[path] / n - q) < 5 * (q * (1 - q) / n) ** 0.5 + 2e-3
+    text = "abcdefghij" * 6_000 + "😀é" * 500
+    tracemalloc.start()
+    ids = p.encode([text], [3])[0]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert p.decode(ids) == text and (p.encode([text], [3])[0] == ids).all() and peak < 100 * len(text)
+
+
 # --- 7: quality rules ------------------------------------------------------------------------------------------------
 def base_measures(text):
     text = text or ""
