@@ -2,6 +2,10 @@
 
 Linear classifiers in numpy are trained from confirmed toxic texts and unlabelled ones, with the class prior's
 correction of the risk (Kiryo et al. 2017): prior * E_pos[l(g)] + max(0, E_unl[l(-g)] - prior * E_pos[l(-g)]).
+
+All documents outside the held-out fold are the unlabelled ones: every task trains a classifier from each block of its
+own and the positives, and the model is the mean of the classifiers, weighted by their rows. The prior is the least
+bound that a feature sets on it: what share of all texts have the feature, over that of the positives.
 """
 
 from __future__ import annotations
@@ -15,10 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docreef.llm.common import fold_of, folded_words, map_rows, slices, written
+from docreef.llm.common import arrow_schema, fold_of, folded_words, map_rows, slices, written
 
-#: Most positive and unlabelled texts to learn from, features to choose from, and features of a classifier.
-POSITIVES, UNLABELLED, CANDIDATES, FEATURES = 2_000, 6_000, 20_000, 1_024
+#: Most positive texts to learn from (labelled rows, by hash), features to choose from, and features of a classifier.
+POSITIVES, CANDIDATES, FEATURES = 2_000, 20_000, 1_024
+#: Unlabelled texts that a classifier is trained from; a task with more trains more of them.
+BLOCK = 4_096
+#: Highest rate of a feature, in training and in scores: a word again and again says no more.
+HIGHEST = 10.0
 #: Prefixes of these numbers of characters are features beside whole words.
 PREFIXES = (4, 5, 6, 7)
 
@@ -49,26 +57,47 @@ def frequencies(rows: DataFrame, only: frozenset[str] | None = None) -> DataFram
     return rows.select("text").mapInArrow(run, "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
 
 
-def chosen_features(sample: DataFrame, corpus: DataFrame, least: int = 3, candidates: int = CANDIDATES, most: int = FEATURES) -> list[str]:
-    """Features more frequent in positive texts of the sample than in those of the corpus, counted over all its rows,
-    those with the clearest excess first."""
-    n_pos, n_unl = sample.where("positive").count(), corpus.count()
-    if not n_pos or not n_unl:
-        return []
-    top = frequencies(sample.where("positive")).where(F.col("n") >= least).orderBy(F.desc("n"), "feature").limit(candidates)
+@dataclass
+class Counts:
+    """How many of n_pos positive and n_all texts have each feature."""
+
+    n_pos: int
+    n_all: int
+    pos: dict[str, int]
+    all: dict[str, int]
+
+    def excess(self, f: str) -> float:
+        p, q = self.pos[f] / self.n_pos, (self.all.get(f, 0) + 0.5) / (self.n_all + 1)
+        return 0.0 if p <= q else self.n_pos * (p * np.log(p / q) + (1 - p + 1e-9) * np.log((1 - p + 1e-9) / (1 - q)))
+
+    def chosen(self, most: int) -> list[str]:
+        """Features more frequent in positive texts than in all, those with the clearest excess first."""
+        ranked = sorted(((self.excess(f), f) for f in self.pos), key=lambda x: (-x[0], x[1]))
+        return [f for e, f in ranked[:most] if e > 3.84 / 2]
+
+    def prior(self) -> float:
+        """The share of positives among all texts, from above: it times the share of positives that have a feature is at
+        most the share of all texts that have it. The least of these bounds, two standard errors up, between 0.001 and 0.5."""
+        bounds = [
+            (u + 1) / (self.n_all + 1) * self.n_pos / p * (1 + 2 * (1 / (u + 1) + 1 / p) ** 0.5)
+            for f, p in self.pos.items() for u in [self.all.get(f, 0)] if 10 * p >= self.n_pos
+        ]
+        return float(np.clip(min(bounds, default=0.1), 1e-3, 0.5))
+
+
+def counted(positive: DataFrame, corpus: DataFrame, least: int = 3, candidates: int = CANDIDATES) -> Counts:
+    """Counts of the most frequent features of the positive texts, at most ``candidates``, over all rows of both."""
+    n_pos, n_all = positive.count(), corpus.count()
+    if not n_pos or not n_all:
+        return Counts(n_pos, n_all, {}, {})
+    top = frequencies(positive).where(F.col("n") >= least).orderBy(F.desc("n"), "feature").limit(candidates)
     pos = {r["feature"]: r["n"] for r in top.collect()}
-    unl = {r["feature"]: r["n"] for r in frequencies(corpus, frozenset(pos)).collect()}
-
-    def excess(f: str) -> float:
-        p, q = pos[f] / n_pos, (unl.get(f, 0) + 0.5) / (n_unl + 1)
-        return 0.0 if p <= q else n_pos * (p * np.log(p / q) + (1 - p + 1e-9) * np.log((1 - p + 1e-9) / (1 - q)))
-
-    ranked = sorted(((excess(f), f) for f in pos), key=lambda x: (-x[0], x[1]))
-    return [f for e, f in ranked[:most] if e > 3.84 / 2]
+    return Counts(n_pos, n_all, pos, {r["feature"]: r["n"] for r in frequencies(corpus, frozenset(pos)).collect()})
 
 
 class Vectors:
-    """Texts to rates of the chosen features per hundred words; a word's features are looked up once a task."""
+    """Texts to rates of the chosen features per hundred words, HIGHEST at most; a word's features are looked up once a
+    task."""
 
     def __init__(self, features: list[str]):
         self.place = {f: i for i, f in enumerate(features)}
@@ -87,7 +116,7 @@ class Vectors:
             for i in own:
                 counts[i] += 1
         per = 100 / (len(words) + 20)
-        return list(counts), [c * per for c in counts.values()]
+        return list(counts), [min(c * per, HIGHEST) for c in counts.values()]
 
 
 @dataclass
@@ -114,7 +143,7 @@ class Rows:
         self.n, self.width = len(rows), width
         self.row = np.repeat(np.arange(len(rows)), [len(at) for at, _ in rows])
         self.at = np.array([i for at, _ in rows for i in at], np.int64)
-        self.value = np.minimum(np.array([x for _, rates in rows for x in rates], float), 10.0)
+        self.value = np.array([x for _, rates in rows for x in rates], float)
 
     def times(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, self.value * w[self.at], self.n)
@@ -123,7 +152,7 @@ class Rows:
         return np.bincount(self.at, self.value * d[self.row], self.width)
 
 
-def nn_pu(pos: Rows, unl: Rows, share_p: np.ndarray, share_u: np.ndarray, prior: float, rounds: int = 400, rate: float = 0.08, penalty: float = 2e-4) -> tuple[np.ndarray, float]:
+def nn_pu(pos: Rows, unl: Rows, share_p: np.ndarray, share_u: np.ndarray, prior: float, rounds: int = 250, rate: float = 0.1, penalty: float = 2e-4) -> tuple[np.ndarray, float]:
     """A linear classifier of least non-negative PU risk (logistic loss), by Adam over all rows.
 
     share_p, share_u: the rows' weights, summing to 1.
@@ -146,60 +175,69 @@ def nn_pu(pos: Rows, unl: Rows, share_p: np.ndarray, share_u: np.ndarray, prior:
     return w[:-1], float(w[-1])
 
 
-def learning_sample(docs: DataFrame, labels: DataFrame, name: str, parts: int, held: int, positives: int, unlabelled: int) -> tuple[DataFrame, float | None]:
-    """(text, positive) of bounded samples outside the held-out fold, and the share of positives among labelled rows.
+def confirmed(docs: DataFrame, labels: DataFrame, name: str, parts: int, held: int, most: int = POSITIVES) -> DataFrame:
+    """(text) of rows labelled 1 outside the held-out fold: at most ``most``, those with the smallest hashes."""
+    known = labels.where(F.col("doc_id").isNotNull() & (F.col(name) == 1) & (fold_of("doc_id", parts) != held))
+    ids = known.select(F.col("doc_id").cast("long").alias("positive_id")).distinct().orderBy(F.xxhash64(F.lit("sample"), "positive_id"), "positive_id").limit(most)
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return written(own.join(F.broadcast(ids), F.col("doc_id") == F.col("positive_id")).select("text"), "toxic-positives")  # at most ``most`` numbers
+
+
+def fit(positive: DataFrame, corpus: DataFrame, prior: float | None = None, block: int = BLOCK, features: int = FEATURES, **options) -> Model | None:
+    """The mean of the classifiers of all blocks of the corpus; None without positives.
 
-    Positives: rows labelled 1; unlabelled: any rows, whatever their label. Both are those with the smallest hashes.
+    corpus: the documents that may be learned from, all of them unlabelled. Memory of a task: the positives and a block.
     """
-    open_fold = fold_of("doc_id", parts) != held
-    known = labels.where(F.col("doc_id").isNotNull() & F.col(name).isin(0, 1) & open_fold)
-    one = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(name).alias("label"))
-    share = one.agg(F.avg("label").alias("p"), F.min("label").alias("least")).first()
-    chance = F.xxhash64(F.lit("sample"), "doc_id")
-    pos = one.where("label = 1").orderBy(chance, "doc_id").limit(positives).select("doc_id", F.lit(True).alias("positive"))
-    unl = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where(F.col("doc_id").isNotNull() & open_fold).distinct()
-    unl = unl.orderBy(chance, "doc_id").limit(unlabelled).select("doc_id", F.lit(False).alias("positive"))
-    ids = F.broadcast(pos.unionByName(unl))  # at most positives + unlabelled rows of nine bytes
-    sample = written(docs.select("doc_id", "text").join(ids, "doc_id").select("text", "positive"), "toxic-sample")
-    return sample, share["p"] if share["least"] == 0 else None
-
-
-def fit(sample: DataFrame, corpus: DataFrame, prior: float, n_models: int = 3, seed: int = 11, **options) -> Model | None:
-    """The mean of n_models classifiers, each on another bootstrap of the sample; None without both kinds of text.
-
-    corpus: the documents that may be learned from; features are chosen by their counts in all of them."""
-    features = chosen_features(sample, corpus, **options)
-    if not features:
+    counts = counted(positive, corpus, **options)
+    chosen = counts.chosen(features)
+    if not chosen:
         return None
-    rows = map_rows(sample, ["text", "positive"], "positive boolean, at array<int>, rates array<double>", lambda: (lambda vec: lambda t, p: (p, *vec(t)))(Vectors(features)))
-    pos, unl = [], []
-    for r in rows.collect():  # bounded: at most FEATURES numbers of each row of the sample
-        (pos if r["positive"] else unl).append((r["at"], r["rates"]))
+    prior = counts.prior() if prior is None else prior
+    rows = map_rows(positive, ["text"], "at array<int>, rates array<double>", lambda: Vectors(chosen))
+    pos = [(r["at"], r["rates"]) for r in rows.collect()]  # bounded: at most FEATURES numbers of each of POSITIVES rows
+    width = len(chosen)
 
-    pos, unl = Rows(pos, len(features)), Rows(unl, len(features))
-    rng = np.random.default_rng(seed)
-    weights, bias = np.zeros(len(features)), 0.0
-    for _ in range(n_models):
-        p, u = (rng.multinomial(x.n, np.full(x.n, 1 / x.n)) / x.n for x in (pos, unl))
-        w, b = nn_pu(pos, unl, p, u, prior)
-        weights, bias = weights + w / n_models, bias + b / n_models
-    return Model(features, weights, bias)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vectors, own, total, n = Vectors(chosen), [], np.zeros(width + 1), 0
+        positives = Rows(pos, width)
+
+        def trained() -> np.ndarray:
+            w, b = nn_pu(positives, Rows(own, width), np.full(len(pos), 1 / len(pos)), np.full(len(own), 1 / len(own)), prior)
+            return np.append(w, b) * len(own)
+
+        for batch in slices(batches):
+            for text in batch.column(0).to_pylist():
+                own.append(vectors(text))
+                if len(own) == block:
+                    total, n, own = total + trained(), n + len(own), []
+        if own:
+            total, n = total + trained(), n + len(own)
+        if n:
+            yield pa.RecordBatch.from_pydict({"n": [n], "sums": [total]}, schema=arrow_schema("n long, sums array<double>"))
+
+    parts = corpus.select("text").mapInArrow(run, "n long, sums array<double>")
+    parts = parts.select("n", F.posexplode("sums").alias("at", "x"))  # summed as decimals: alike in any order
+    mean = parts.groupBy("at").agg((F.sum(F.col("x").cast("decimal(38,12)")).cast("double") / F.sum("n")).alias("w")).collect()
+    weights = np.zeros(width + 1)
+    for r in mean:
+        weights[r["at"]] = r["w"]
+    return Model(chosen, weights[:-1], float(weights[-1]))
 
 
 def classify(
     docs: DataFrame, labels: DataFrame, parts: int = 3, held: int = 1, threshold: float = 0.7, name: str = "toxic",
-    prior: float | None = None, positives: int = POSITIVES, unlabelled: int = UNLABELLED, **options,
+    prior: float | None = None, positives: int = POSITIVES, **options,
 ) -> DataFrame:
     """Per document: doc_id, held_out, score, predicted.
 
-    The prior, unless given, is the share of toxic rows among the labelled ones that may be learned from (0.1 if only
-    positives are labelled). Edge cases: a null or empty text has no words and is scored like any other; a null doc_id
-    is scored and never learned from; repeated rows are scored each; labels but 0 and 1 are not learned from; without
-    positives every score is 0.05; no rows give no rows; no column but the text enters a score. Whole texts are read.
+    prior: the share of toxic documents among all; unless given, ``Counts.prior`` bounds it from all documents outside
+    the held-out fold, so it doesn't matter how many of the labelled rows are toxic. Edge cases: a null or empty text
+    has no words and is scored like any other; a null doc_id is scored and never learned from; repeated rows are scored
+    each; labels but 1 are not learned from; without positives every score is 0.05; no rows give no rows; no column
+    but the text enters a score. Whole texts are read.
     """
-    sample, share = learning_sample(docs, labels, name, parts, held, positives, unlabelled)
     corpus = docs.where(F.col("doc_id").isNotNull() & (fold_of("doc_id", parts) != held))
-    model = fit(sample, corpus, min(max(prior or share or 0.1, 1e-3), 0.9), **options)
+    model = fit(confirmed(docs, labels, name, parts, held, positives), corpus, prior, **options)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def start():
