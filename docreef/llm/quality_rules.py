@@ -1,6 +1,8 @@
 """Quality rules as a short-circuit cascade, ordered by rejections per cost.
 
-Rules are tests on integers of a text, so the verdict is the same in any order; the order decides what a text costs.
+Rules are tests on integers of a text, so the verdict is the same in any order; the order decides what a text costs. It is
+made from a sample of texts that the base test lets through, for those alone meet rules: what a rule costs once the
+measures that are there anyway are there, and what it rejects of the texts that the rules before it left.
 """
 
 from __future__ import annotations
@@ -9,11 +11,11 @@ import re
 import time
 from collections import Counter
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -127,45 +129,109 @@ SQL_RULES = {
 }
 
 
-def estimate(docs: DataFrame, rules: list[Rule] = RULES, tasks: int = 16, rows: int = 25, text: str = "text") -> dict[str, tuple[float, float]]:
-    """Per rule: seconds a text, and the share of texts that it rejects, on a sample: the first ``rows`` texts of each
-    of the first ``tasks`` partitions; other tasks read nothing.
+#: Measures that the base test takes, and those that ``judged`` returns: no rule pays for them.
+BASE_MEASURES = ("words", "n_words", "n_repeat_words")
+JUDGED_MEASURES = (*BASE_MEASURES, "word_chars", "n_symbols", "lines", "n_dup_lines")
+#: Texts of the sample, about; more are not needed to order a handful of rules.
+SAMPLE_TEXTS = 4_000
 
-    A rule's cost includes the measures it needs. The sample orders the rules and decides nothing else, so any rows
-    do; they are timed on executors and only sums come back.
-    """
-    tests = dict(rules)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if TaskContext.get().partitionId() >= tasks:
-            return
-        for batch in batches:
-            bodies = batch.column(0).slice(0, rows).to_pylist()
-            seconds, hits = [0.0] * len(tests), [0.0] * len(tests)
-            for body in bodies:
-                for i, test in enumerate(tests.values()):
-                    m, began = Measures(body), time.perf_counter()
-                    hits[i] += test(m)
-                    seconds[i] += time.perf_counter() - began
-            if bodies:
-                yield pa.RecordBatch.from_pydict({"n": [len(bodies)], "seconds": [seconds], "hits": [hits]}, schema=arrow_schema(ddl))
-                return
+@dataclass
+class Estimates:
+    """Of n sampled texts: seconds a rule takes with the free measures there (cold) and with all of its own there (warm),
+    the measures it adds, and how many texts each combination of rules rejects."""
+
+    n: int
+    cold: dict[str, float]
+    warm: dict[str, float]
+    adds: dict[str, frozenset[str]]
+    patterns: dict[frozenset[str], int]
+
+    def share(self, name: str) -> float:
+        return sum(n for rules, n in self.patterns.items() if name in rules) / max(self.n, 1)
 
-    ddl = "n long, seconds array<double>, hits array<double>"
-    got = docs.select(text).mapInArrow(run, ddl)
-    sums = got.agg(F.sum("n").alias("n"), *[F.sum(F.col(c)[i]).alias(f"{c}{i}") for i in range(len(tests)) for c in ("seconds", "hits")]).first()
-    n = sums["n"] or 1
-    return {name: ((sums[f"seconds{i}"] or 0.0) / n, (sums[f"hits{i}"] or 0.0) / n) for i, name in enumerate(tests)}
 
+def _measured(body: str, free: tuple[str, ...]) -> Measures:
+    m = Measures(body)
+    for name in free:
+        getattr(m, name)
+    return m
 
-def ordered(rules: list[Rule], estimates: dict[str, tuple[float, float]]) -> list[Rule]:
-    """Most rejections per cost first; among rules that rejected nothing, the cheapest first."""
 
-    def worth(rule: Rule) -> tuple[float, float]:
-        cost, share = estimates[rule[0]]
-        return (-share / max(cost, 1e-9), cost)
+def added(rule: Rule, free: tuple[str, ...]) -> frozenset[str]:
+    """The measures that a rule takes beyond the free ones."""
+    m = _measured("two words\n" * 40, free)
+    there = set(m.__dict__)
+    rule[1](m)
+    return frozenset(set(m.__dict__) - there)
 
-    return sorted(rules, key=worth)
+
+def estimate(docs: DataFrame, rules: list[Rule] = RULES, free: tuple[str, ...] = BASE_MEASURES, texts: int = SAMPLE_TEXTS, text: str = "text", seed: int = 7) -> Estimates:
+    """Costs and rejections of rules on a random sample of about ``texts`` texts from the whole table, of which those that
+    pass the base test count.
+
+    The texts are drawn by Spark before any come to Python. The sample orders the rules and decides nothing else. Rules
+    are timed on executors, after a few texts that warm up; only sums come back, a row a combination of rules.
+    """
+    n = docs.count()
+    share = min(1.0, texts / max(n, 1))
+    sample = docs.select(text) if share == 1.0 else docs.select(text).sample(share, seed)
+    names = [name for name, _ in rules]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[tuple[str, ...], list] = {}
+        warmed = 0
+        for batch in slices(batches):
+            for body in batch.column(0).to_pylist():
+                m = Measures(body)
+                if m.base_failed:
+                    continue
+                m = _measured(body, free)
+                for _ in range(2 if warmed < 3 else 1):
+                    hits, cold, warm = [], [], []
+                    for name, test in rules:
+                        own = Measures(body)
+                        own.__dict__.update(m.__dict__)
+                        began = time.perf_counter()
+                        hit = test(own)
+                        middle = time.perf_counter()
+                        test(own)
+                        cold.append(middle - began)
+                        warm.append(time.perf_counter() - middle)
+                        if hit:
+                            hits.append(name)
+                warmed += 1
+                row = found.setdefault(tuple(hits), [0, np.zeros(len(names)), np.zeros(len(names))])
+                row[0] += 1
+                row[1] += cold
+                row[2] += warm
+        if found:
+            yield pa.RecordBatch.from_pydict({"hits": [list(k) for k in found], "n": [r[0] for r in found.values()], "cold": [r[1] for r in found.values()], "warm": [r[2] for r in found.values()]}, schema=arrow_schema(ddl))
+
+    ddl = "hits array<string>, n long, cold array<double>, warm array<double>"
+    sums = lambda c: F.array(*[F.sum(F.col(c)[i]) for i in range(len(names))]).alias(c)
+    rows = sample.mapInArrow(run, ddl).groupBy("hits").agg(F.sum("n").alias("n"), sums("cold"), sums("warm")).collect()  # at most a row a sampled text
+    n = sum(r["n"] for r in rows)
+    mean = lambda c: {name: sum(r[c][i] for r in rows) / max(n, 1) for i, name in enumerate(names)}
+    return Estimates(n, mean("cold"), mean("warm"), {r[0]: added(r, free) for r in rules}, {frozenset(r["hits"]): r["n"] for r in rows})
+
+
+def ordered(rules: list[Rule], est: Estimates) -> list[Rule]:
+    """The cascade: next comes always the rule that rejects most of the texts left per cost, where measures that rules
+    before it took cost nothing more; among rules that reject nothing, the cheapest."""
+    left, todo, out, have = dict(est.patterns), list(rules), [], frozenset()
+    while todo:
+        def worth(rule: Rule) -> tuple[float, float]:
+            name = rule[0]
+            cost = max(est.warm[name] if est.adds[name] <= have else est.cold[name], 1e-9)
+            return (-sum(n for hit, n in left.items() if name in hit) / cost, cost)
+
+        best = min(todo, key=worth)
+        todo.remove(best)
+        out.append(best)
+        have |= est.adds[best[0]]
+        left = {hit: n for hit, n in left.items() if best[0] not in hit}
+    return out
 
 
 def judged(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: list[Rule] = RULES) -> DataFrame:
@@ -175,7 +241,7 @@ def judged(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: list
     a null text has no words and fails the base test; a null key stays; repeated rows are judged each; no rows give no
     rows; other columns are not read. Whole texts are read, in one narrow pass.
     """
-    cascade = ordered(rules, estimate(docs, rules, text=text))
+    cascade = ordered(rules, estimate(docs, rules, JUDGED_MEASURES, text=text))
 
     def start():
         def row(doc_id, body):
@@ -191,8 +257,12 @@ def judged(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: list
 
 
 def kept_rows(docs: DataFrame, text: str = "text", rules: list[Rule] = RULES) -> DataFrame:
-    """The rows of docs whose text is kept, all columns unchanged; narrow, and measured only as far as the cascade goes."""
-    cascade = ordered(rules, estimate(docs, rules, text=text))
+    """The rows of docs whose text is kept, all columns unchanged; narrow, and measured only as far as the cascade goes.
+
+    Null and empty texts have no words and go; very long ones are measured whole; repeated rows are judged each; null
+    keys do not matter; no rows give no rows; other columns, whatever their names, are handed on.
+    """
+    cascade = ordered(rules, estimate(docs, rules, BASE_MEASURES, text=text))
     place = docs.columns.index(text)
 
     def run(batches):

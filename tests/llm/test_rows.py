@@ -328,14 +328,37 @@ def test_quality_measures(which, request):
 
 
 def test_quality_order_changes_nothing(docs, texts):
-    costs = {name: (1.0 + i, 0.1 * i) for i, (name, _) in enumerate(quality_rules.RULES)}
-    order = [n for n, _ in quality_rules.ordered(quality_rules.RULES, costs)]
-    worth = [costs[n][1] / costs[n][0] for n in order]
-    assert worth == sorted(worth, reverse=True)
     want = {k for k, t in texts.items() for m in [quality_rules.Measures(t)] if not m.base_failed and not any(f(m) for _, f in quality_rules.RULES)}
     assert {r["doc_id"] for r in quality_rules.judged(docs).where("kept").collect()} == want
 
 
+def test_cascade_is_ordered_by_what_is_left():
+    """A rule that rejects what another rejects already comes late; one whose measures are there already is cheap."""
+    rules = [(n, None) for n in "abcd"]
+    adds = {"a": frozenset("x"), "b": frozenset("x"), "c": frozenset("y"), "d": frozenset("z")}
+    patterns = {frozenset("ab"): 40, frozenset("c"): 10, frozenset("b"): 5, frozenset(): 45}
+    est = quality_rules.Estimates(100, {"a": 1.0, "b": 1.2, "c": 1.0, "d": 9.0}, dict.fromkeys("abcd", 0.01), adds, patterns)
+    assert [n for n, _ in quality_rules.ordered(rules, est)] == ["a", "b", "c", "d"]
+    dear = quality_rules.Estimates(100, {"a": 1.0, "b": 1.2, "c": 1.0, "d": 9.0}, dict.fromkeys("abcd", 2.0), adds, patterns)
+    assert [n for n, _ in quality_rules.ordered(rules, dear)] == ["a", "c", "b", "d"]
+    assert est.share("b") == 0.45
+
+
+def test_sample_for_the_cascade(spark, docs):
+    """Drawn from the whole table, among texts that the base test lets through, with the measures that are there anyway."""
+    bodies = [" ".join(f"w{(i * k) % 997}" for k in range(60)) for i in range(1, 3000)]
+    odd = [x + " #" * 40 for x in bodies[::3]]
+    df = spark.createDataFrame([(t,) for t in ["short"] * 3000 + bodies + odd], "text string").repartition(7)
+    est = quality_rules.estimate(df, texts=2000)
+    passed = len(bodies) + len(odd)
+    assert 0.7 < est.n / (2000 * passed / (3000 + passed)) < 1.3
+    assert abs(est.share("symbols") - len(odd) / passed) < 0.05
+    assert sum(est.patterns.values()) == est.n and est.adds["short_words"] == est.adds["long_words"] == {"word_chars"}
+    free = quality_rules.estimate(df, free=quality_rules.JUDGED_MEASURES, texts=2000)
+    assert not free.adds["short_words"] and free.cold["short_words"] < est.cold["short_words"] and est.adds["few_letters"]
+    assert quality_rules.estimate(df.limit(0)).n == 0
+
+
 @pytest.mark.parametrize("name", list(Q.ORACLE_SQL))
 def test_sql(spark, name):
     c = duckdb.connect()
