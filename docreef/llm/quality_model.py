@@ -180,9 +180,15 @@ def classify(docs: DataFrame, labels: DataFrame, parts: int = 4, held: int = 2,
 
 
 def accepted(docs: DataFrame, labels: DataFrame, parts: int = 4, held: int = 2, threshold: float = 0.7, name: str = "quality", **options) -> DataFrame:
-    """The rows of docs that the classifier accepts, all columns unchanged; the texts are not shuffled. Without labels
-    of both kinds nothing is known against a row, and all stay."""
-    model = fit(written(with_statistics(docs), "quality-stats"), labelled(labels, name, parts, held), **options)
+    """The rows of docs that the classifier accepts, all columns unchanged, whatever their names; the texts are not shuffled.
+
+    It learns from the statistics of the labelled rows alone, at most FIT_ROWS; then one pass measures and judges each text.
+    Edge cases: as of ``classify``; without labels of both kinds nothing is known against a row, and all stay; a null or
+    empty text is judged by statistics of 0.
+    """
+    learn = written(labelled(labels, name, parts, held), "quality-labels").select(F.col("doc_id").alias("known"), "label")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(learn.select("known")), F.col("doc_id") == F.col("known"), "left_semi")
+    model = fit(with_statistics(own), learn.withColumnRenamed("known", "doc_id"), **options)  # a bounded number of ids
     if model is None:
         return docs
     place = docs.columns.index("text")
