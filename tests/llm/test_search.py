@@ -281,3 +281,24 @@ def test_pipeline(spark):
     assert ids(frames["mixing"]) == +taken
     last = P.run(spark, SF).collect()
     assert Counter(r["doc_id"] for r in last) == +taken and all(r["lossless"] for r in last)
+
+
+@pytest.mark.parametrize("which", ["odd", "none", "repeated"])
+def test_stages_on_odd_tables(spark, odd, none, which):
+    """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing names, one stage after another."""
+    import corpus_pipeline as P
+    from docreef.llm.common import written
+
+    at = {"odd": odd, "none": none, "repeated": odd.unionByName(odd)}[which]
+    before = at.count()
+    kept = {}
+    for name, stage in P.STAGES[:-1]:
+        at = written(stage(spark, at, SF), f"odd-{name}")
+        assert at.columns == odd.columns and at.dtypes == odd.dtypes
+        kept[name] = at.count()
+    assert list(kept.values())[:3] == sorted(list(kept.values())[:3], reverse=True) and kept["quality_classifier"] <= before
+    last = P.STAGES[-1][1](spark, at, SF).collect()
+    assert len(last) == kept["mixing"] and all(r["lossless"] for r in last)
+    every = P.STAGES[-1][1](spark, odd, SF).collect()  # each stage by itself, too
+    assert len(every) == odd.count() and all(r["lossless"] for r in every)
+    assert P.STAGES[3][1](spark, odd, SF).columns == odd.columns and P.STAGES[2][1](spark, odd, SF).where("text is null").count() == odd.where("text is null").count()
