@@ -166,6 +166,62 @@ _TEXTS = (
     ("wtfpl", r"everyone is permitted to copy and distribute verbatim or modified copies of this license"),
     ("cc0-1.0", r"has dedicated the work to the public domain"),
     ("public-domain", r"(?:released|placed|dedicated) (?:in|into|to) the public domain"),
+    ("mit", r"to deal in the software without restriction including without limitation the rights to use copy modify merge publish"),
+    ("mit", r"the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability"),
+    ("x11", r"except as contained in this notice the names? of (?:\S+ ){1,12}shall not be used in advertising"),
+    ("hpnd", r"permission to use copy modify and distribute this software and its documentation for any purpose"),
+    ("bsd", r"redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd", r"this software is provided by (?:\S+ ){1,10}as is and any express or implied warranties including but not limited to"),
+    ("bsd-3-clause", r"may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("apache-1.1", r"this product includes software developed by the apache software foundation"),
+    ("apache-1.1", r"products derived from this software may not be called apache"),
+    ("apache-2.0", r"each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable"),
+    ("apache-2.0", r"you must give any other recipients of the work or derivative works a copy of this license"),
+    ("apache-2.0", r"you must cause any modified files to carry prominent notices stating that you changed the files"),
+    ("apache-2.0", r"licensed to the apache software foundation asf under one or more contributor license agreements"),
+    ("gpl-2.0", r"the licenses for most software are designed to take away your freedom to share and change it"),
+    ("gpl-2.0", r"you may copy and distribute verbatim copies of the program s source code as you receive it"),
+    ("gpl-2.0", r"activities other than copying distribution and modification are not covered by this license"),
+    ("gpl-3.0", r"the gnu general public license is a free copyleft license for software and other kinds of works"),
+    ("gpl-3.0", r"you may convey verbatim copies of the program s source code as you receive it"),
+    ("gpl-3.0", r"no covered work shall be deemed part of an effective technological measure"),
+    ("gpl", r"you should have received a copy of the gnu general public license along with this program"),
+    ("lgpl", r"this library is free software you can redistribute it and or modify it"),
+    ("lgpl", r"you should have received a copy of the gnu (?:lesser|library) general public license along with this library"),
+    ("lgpl-2.1", r"this license the lesser general public license applies to some specially designated software packages"),
+    ("lgpl-2.1", r"a program that contains no derivative of any portion of the library but is designed to work with the library"),
+    ("lgpl-3.0", r"this version of the gnu lesser general public license incorporates the terms and conditions of version 3"),
+    ("agpl-3.0", r"the gnu affero general public license is a free copyleft license for software and other kinds of works"),
+    ("agpl-3.0", r"your modified version must prominently offer all users interacting with it remotely through a computer network"),
+    ("gfdl", r"the purpose of this license is to make a manual textbook or other functional and useful document free"),
+    ("gfdl", r"with no invariant sections no front cover texts and no back cover texts"),
+    ("mpl-1.1", r"the contents of this file are subject to the mozilla public license version 1 1"),
+    ("mpl-1.1", r"the initial developer hereby grants you a world wide royalty free non exclusive license"),
+    ("mpl-2.0", r"if a copy of the mpl was not distributed with this file you can obtain one at"),
+    ("mpl-2.0", r"covered software is provided under this license on an as is basis"),
+    ("epl", r"made available under the terms of the eclipse public license"),
+    ("epl", r"the accompanying program is provided under the terms of this eclipse public license"),
+    ("epl-2.0", r"this source code may also be made available under the following secondary licenses"),
+    ("cpl-1.0", r"the accompanying program is provided under the terms of this common public license"),
+    ("cddl", r"the contents of this file are subject to the terms of the common development and distribution license"),
+    ("eupl", r"licensed under the eupl"),
+    ("artistic-1.0", r"the intent of this document is to state the conditions under which a package may be copied"),
+    ("artistic-2.0", r"you are permitted to use the standard version and create and use modified versions for any purpose without restriction"),
+    ("zlib", r"the origin of this software must not be misrepresented you must not claim that you wrote the original software"),
+    ("zlib", r"altered source versions must be plainly marked as such and must not be misrepresented as being the original software"),
+    ("unlicense", r"anyone is free to copy modify publish use compile sell or distribute this software"),
+    ("bsl-1.0", r"the copyright notices in the software and this entire statement including the above license grant"),
+    ("psf-2.0", r"psf hereby grants licensee a nonexclusive royalty free world wide license"),
+    ("openssl", r"this product includes software developed by the openssl project for use in the openssl toolkit"),
+    ("php", r"this product includes php software freely available from"),
+    ("ruby", r"you may make and give away verbatim copies of the source form of the software without restriction"),
+    ("ofl-1.1", r"this font software is licensed under the sil open font license"),
+    ("ofl-1.1", r"the ofl allows the licensed fonts to be used studied modified and redistributed freely"),
+    ("cc0-1.0", r"has waived all copyright and related or neighbou?ring rights"),
+    ("cc", r"you accept and agree to be bound by the terms and conditions of this creative commons"),
+    ("busl-1.1", r"the licensor hereby grants you the right to copy modify create derivative works redistribute and make non production use"),
+    ("elastic-2.0", r"you may not provide the software to third parties as a hosted or managed service"),
+    ("sspl-1.0", r"if you make the functionality of the program or a modified version available to third parties as a service"),
 )
 
 #: Weaker signs: label, priority, pattern.

@@ -240,6 +240,21 @@ def test_license_versions_and_identifiers(text, label):
     assert all(need <= set(joined.split()) for need, p in zip(scanner.needs, scanner.patterns, strict=True) if p.search(joined))
 
 
+@pytest.mark.parametrize("text, label", [
+    ("Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation", "bsd"),
+    ("2. You must cause any modified files to carry prominent notices stating that You changed the files; and", "apache-2.0"),
+    ("If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.", "mpl-2.0"),
+    ("This library is free software; you can redistribute it and/or modify it under the terms", "lgpl"),
+    ("made available under the terms of the Eclipse Public License v1.0 which accompanies", "epl"),
+    ("The GNU General Public License is a free, copyleft license for software and other kinds of works.", "gpl-3.0"),
+    ("Except as contained in this notice, the name of the X Consortium shall not be used in advertising", "x11"),
+    ("2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.", "zlib"),
+])
+def test_license_bodies(text, label):
+    got = licenses.Scanner().scan(text)
+    assert label in got["labels"].split(",") and got["score"] >= 0.9
+
+
 # --- 6: pieces -------------------------------------------------------------------------------------------------------
 @pytest.mark.parametrize("which", ["docs", "odd", "none"])
 def test_round_trips(which, request):
