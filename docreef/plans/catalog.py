@@ -95,8 +95,9 @@ def sync_executed(spark, sf_dir):
 
 
 def _colliding(rows):
-    """Three documents a name, so that both sides must be deduplicated."""
-    return rows.withColumn("name", F.concat(F.lit("file_"), F.expr("cast(regexp_extract(name, '([0-9]+)', 1) as bigint) div 3")))
+    """Up to three documents a name, so that both sides must be deduplicated."""
+    n = F.regexp_extract("name", "([0-9]+)", 1).cast("long")
+    return rows.withColumn("name", F.concat(F.lit("file_"), F.when(n % 2 == 1, n).otherwise(F.floor(n / 4))))
 
 
 def _both(spark, sf_dir):
@@ -286,6 +287,15 @@ def watch_snapshots(spark, sf_dir):
     return watch.changes(before, local_files(spark, sf_dir).select(F.col("name").alias("path"), "hash"))
 
 
+def watch_created(spark, sf_dir):
+    """All documents as files of a watched folder, seen as new by a stream that ends with what there is."""
+    root = _stored(spark, sf_dir, F.concat("source", F.lit("/"), _file()))
+    out = new_folder(spark, "seen")
+    stream = watch.created(spark, f"file://{root}", per_batch=20_000).withColumn("src_path", F.expr(f"substring(src_path, {len(root) + 7})"))
+    stream.writeStream.format("parquet").option("checkpointLocation", f"{out}/_state").trigger(availableNow=True).start(f"{out}/rows").awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{out}/rows").withColumn("src_path", F.regexp_replace("src_path", "^/+", ""))
+
+
 def stream_documents(spark, sf_dir):
     one = f"{sf_dir}/[d]ocuments.parquet"  # a pattern: the stream's reader takes a single file only so
     return watch.documents_seen(spark, one, table(spark, sf_dir, "documents").schema, new_folder(spark, "stream"))
@@ -341,6 +351,7 @@ QUERIES = {
     "semantic_search": semantic_search,
     "theme_relations": _docs(lambda docs: semantic.relations(classify.hits(docs, LEXICON))),
     "watch_snapshots": watch_snapshots,
+    "watch_created": watch_created,
     "stream_documents": stream_documents,
     "event_counts": lambda s, d: watch.event_counts(table(s, d, "events")),
 }
@@ -370,7 +381,8 @@ a AS (SELECT 'Corpus' AS path, 'Corpus' AS name, CAST(NULL AS VARCHAR) AS parent
 _NAMED = "named AS (SELECT name, md5(max(path)) AS id FROM a GROUP BY name)"
 _WALK = "t AS (SELECT path, name, parent_path, 0 AS depth FROM a WHERE parent_path IS NULL{0} UNION ALL SELECT a.path, a.name, a.parent_path, t.depth + 1 FROM a JOIN t ON a.parent_path = t.path{1})"
 _TERMS = "d AS (SELECT source AS domain, list_sort(list_distinct(list(lang))) AS k, CASE WHEN count(*) % 2 = 0 THEN '' END AS folder_id, CAST(count(*) % 5 AS INTEGER) AS priority FROM documents GROUP BY source)"
-_C = "concat('file_', CAST(regexp_extract(name, '[0-9]+') AS BIGINT) // 3)"
+_N = "CAST(regexp_extract(name, '[0-9]+') AS BIGINT)"
+_C = f"concat('file_', CASE WHEN {_N} % 2 = 1 THEN {_N} ELSE {_N} // 4 END)"
 _LC = f"WITH l0 AS ({_L.format(c=C.RAW)}), r0 AS ({_R.format(c=C.RAW)}), l AS (SELECT container, {_C} AS name, max(path) AS path, arg_max(hash, path) AS hash FROM l0 GROUP BY 1, 2), r AS (SELECT container, {_C} AS name, max(id) AS id, max_by(struct_pack(h := md5Checksum), id).h AS md5Checksum FROM r0 GROUP BY 1, 2)"
 _HAVE = "v AS (SELECT p_partkey, p_brand, concat(p_size, '.', p_partkey % 20) AS have, concat('25.', p_partkey % 7, '.1') AS need FROM part)"
 _INTS = "list_transform(string_split({0}, '.'), lambda x: CAST(x AS INTEGER))"
@@ -414,6 +426,7 @@ ORACLE_SQL = {
     "batch_assign": "SELECT doc_id, CAST(ceil(row_number() OVER (ORDER BY doc_id) / 50.0) AS BIGINT) AS batch FROM documents",
     "corpus_metrics": f"SELECT source, count(*) AS n_docs, CAST(sum(strlen(text)) AS BIGINT) AS n_bytes, avg(strlen(text)) AS mean_bytes, count(*) FILTER (WHERE strlen(text) <= {C.MOST_OCR_BYTES}) AS n_ocr FROM documents GROUP BY source",
     "watch_snapshots": f"{_RAW} SELECT CASE WHEN r.name IS NULL THEN 'created' ELSE 'modified' END AS event_type, l.name AS src_path FROM l LEFT JOIN r USING (name) WHERE r.name IS NULL OR l.hash IS DISTINCT FROM r.md5Checksum",
+    "watch_created": "SELECT 'created' AS event_type, concat(source, '/doc_', doc_id, '.txt') AS src_path, CAST(strlen(text) AS BIGINT) AS length FROM documents WHERE strlen(text) > 0",
     "stream_documents": "SELECT concat('doc_', doc_id, '.txt') AS name, CAST(strlen(text) AS BIGINT) AS size FROM documents",
     "event_counts": "SELECT time_bucket(INTERVAL '10 minutes', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL",
     "similar_pairs": f"WITH RECURSIVE {_SETS} SELECT a AS doc_id, class_id, count(*) AS n_links FROM links JOIN classes ON id = a GROUP BY ALL",

@@ -67,6 +67,14 @@ class Sync:
             os.makedirs(os.path.join(self.config["remote_root"], c), exist_ok=True)
         return self.spark.read.format("docreef_listing").load(self.config["remote_root"]).where(F.col("container").isin(self._ready()))
 
+    def connected(self) -> bool:
+        """Whether the remote side can be listed; one entry is asked for."""
+        try:
+            self.spark.read.format("docreef_listing").option("pagesize", "1").load(self.config["remote_root"]).limit(1).count()
+        except Exception:
+            return False
+        return True
+
     def plan(self) -> DataFrame:
         return diff.plan(self._local(), self._remote(), datetime.now(UTC).strftime("%Y-%m-%d"))
 

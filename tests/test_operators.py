@@ -171,6 +171,7 @@ def test_entry_points(spark, tmp_path):
     (tmp_path / "r" / C.RAW / "b.txt").write_text("2")
     own.watch(every=None).awaitTermination()
     assert (tmp_path / "l" / C.RAW / "b.txt").read_text() == "2"
+    assert own.connected() and not sync.Sync(spark, config | {"remote_root": str(tmp_path / "nowhere")}).connected()
     lacking = sync.Sync(spark, config | {"containers": {C.RAW: "id1", C.SYNTHESES: ""}})
     assert lacking.once() is False and sync.Sync(spark, None).once() is False and not (tmp_path / "r" / C.SYNTHESES).exists()
     health = sync.Health()
