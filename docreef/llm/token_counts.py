@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -52,6 +53,22 @@ class Counter:
         return n
 
 
+@lru_cache(2)
+def counter_of(path: str, pattern: str) -> Counter:
+    """The process' own counter, so that the next task finds the vocabulary read and the pre-tokens of the last counted."""
+    return Counter(path, pattern)
+
+
+def packed(numbers: list) -> bytes:
+    """Numbers as bytes, of one byte each if all are small enough, else of four (little-endian)."""
+    x = np.concatenate(numbers) if numbers else np.zeros(0, np.uint32)
+    return x.astype(np.uint8 if x.max(initial=0) < 256 else "<u4").tobytes()
+
+
+def unpacked(raw: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(raw, np.uint8 if len(raw) == n else "<u4").astype(np.uint32)
+
+
 class Leaf:
     """A block: its text and its pre-tokens' sizes and counts, cut out of the document's only when it is opened."""
 
@@ -81,7 +98,8 @@ class CountTree:
     def load(cls, row: dict, counter: Counter) -> CountTree:
         """A kept tree (see TREE); nothing is cut or counted."""
         tree = cls.__new__(cls)
-        tree._load(row["text"], np.frombuffer(row["sizes"], "<u4"), np.frombuffer(row["counts"], "<u4"), row["block_pieces"], counter, row["block_chars"], row["block_tokens"])
+        n = sum(row["block_pieces"])
+        tree._load(row["text"], unpacked(row["sizes"], n), unpacked(row["counts"], n), row["block_pieces"], counter, row["block_chars"], row["block_tokens"])
         return tree
 
     def _load(self, text, sizes, counts, block_pieces, counter, block_chars=None, block_tokens=None) -> None:
@@ -151,7 +169,7 @@ class CountTree:
         """The columns of TREE behind the key."""
         own = [x for x in self.leaves() if len(x.sizes)]
         sums = [self.sums[x.node] for x in own]
-        flat = [np.concatenate([np.asarray(getattr(x, c), "<u4") for x in own]).tobytes() if own else b"" for c in ("sizes", "counts")]
+        flat = [packed([np.asarray(getattr(x, c), np.uint32) for x in own]) for c in ("sizes", "counts")]
         return self.text, *flat, *([x[i] for x in sums] for i in (2, 0, 1))
 
     def _renew(self, leaf: Leaf) -> int:
@@ -264,7 +282,7 @@ def token_counts(docs: DataFrame, path: str, pattern: str, key: str = "doc_id",
     each, very long texts whole; no rows give no rows; other columns are not read."""
 
     def start():
-        counter = Counter(path, pattern)
+        counter = counter_of(path, pattern)
 
         def row(k, t):
             tree = CountTree(t, counter)
@@ -282,8 +300,8 @@ def _apply(tree: CountTree, edits) -> None:
             tree.edit(e["start"], e["start"] if e["stop"] is None else e["stop"], e["replacement"] or "")
 
 
-#: A kept tree. The text in its blocks' order, every pre-token's size in characters and its tokens (little-endian unsigned
-#: 32-bit), and the blocks' sums, over which the inner nodes stand.
+#: A kept tree. The text in its blocks' order, every pre-token's size in characters and its tokens (``packed``), and the
+#: blocks' sums, over which the inner nodes stand.
 TREE = "doc_id long, text string, sizes binary, counts binary, block_pieces array<long>, block_chars array<long>, block_tokens array<long>"
 
 
@@ -302,7 +320,7 @@ def planted(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
     ddl = ", ".join([TREE, *[f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in also]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(path, pattern)
+        counter = counter_of(path, pattern)
         for batch in slices(batches, 128):
             trees = [CountTree(t, counter).dump() for t in batch.column(1).to_pylist()]
             columns = [pa.array(c, f.type) for c, f in zip(zip(*trees, strict=True), list(schema)[1:], strict=True)]
@@ -325,7 +343,7 @@ def edited_trees(trees: DataFrame, path: str, pattern: str, edits: str = "edits"
     names = arrow_schema(TREE).names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(path, pattern)
+        counter = counter_of(path, pattern)
         for batch in slices(batches, 128):
             out = []
             for row in batch.to_pylist():
@@ -367,7 +385,7 @@ def followed_counts(docs: DataFrame, edits: DataFrame, path: str, pattern: str)
     more = edits.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("seq").cast("long").alias("seq"), F.lit(None).cast("string").alias("text"), *[F.col(c).cast(k).alias(c) for c, k in kinds.items()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter, tree, own = Counter(path, pattern), None, object()
+        counter, tree, own = counter_of(path, pattern), None, object()
         for batch in batches:
             out = []
             for r in batch.to_pylist():
