@@ -26,12 +26,12 @@ def statistics(text: str | None) -> list[float]:
     n, chars, length = m.n_words, m.word_chars, len(m.text)
     if n == 0:
         return [0.0] * N_STATISTICS
-    words, lines = m.words, m.lines
-    sizes = np.fromiter(map(len, words), np.int64, n)
-    kinds = len(set(words))
-    same = sum(1 for a, b in zip(words, words[1:]) if a == b)
+    lines, ids = m.lines, m.ids
+    sizes = np.fromiter(map(len, m.words), np.int64, n)
+    kinds = len(m.kinds)
+    same = int(np.count_nonzero(ids[1:] == ids[:-1]))
     marks = [m.text.count(c) for c in _BREAKS]
-    ascii_words = sum(map(bytes.isalpha, words))
+    ascii_words = m.n_with(bytes.isalpha)
     line_words = n / len(lines)
     return [
         np.log1p(n), np.log1p(length), chars / n / 10, float(sizes.std()) / 10, float(sizes.max()) ** 0.5 / 10,
@@ -39,7 +39,7 @@ def statistics(text: str | None) -> list[float]:
         m.n_stop_words / n, m.n_symbols / n, m.n_digits / chars, m.n_lettered / n, ascii_words / n,
         (marks[0] + marks[2] + marks[3]) / n, marks[1] / n, (marks[4] + marks[5]) / n,
         len(lines) / n, np.log1p(line_words), m.n_dup_lines / len(lines),
-        float((sizes == 1).mean()), float((sizes > 14).mean()), sum(map(bytes.istitle, words)) / n,
+        float((sizes == 1).mean()), float((sizes > 14).mean()), m.n_with(bytes.istitle) / n,
     ]
 
 

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import re
 import time
-from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
@@ -36,6 +35,10 @@ STOP_WORDS = (
 _STOP = frozenset(w.encode() for w in STOP_WORDS)
 
 
+#: Distinct words of a text below which three of their places fit one number.
+MANY_WORDS = 1 << 20
+
+
 class Measures:
     """Numbers of one text, each computed when a rule first asks for it."""
 
@@ -50,6 +53,25 @@ class Measures:
     def n_words(self) -> int:
         return len(self.words)
 
+    @cached_property
+    def distinct(self) -> list[bytes]:
+        return list(dict.fromkeys(self.words))
+
+    @cached_property
+    def ids(self) -> np.ndarray:
+        """Of every word its place among the distinct ones."""
+        place = dict(zip(self.distinct, range(len(self.distinct))))
+        return np.array(list(map(place.__getitem__, self.words)), np.int64)
+
+    @cached_property
+    def kinds(self) -> np.ndarray:
+        """How often each distinct word comes."""
+        return np.bincount(self.ids, minlength=len(self.distinct))
+
+    def n_with(self, test: Callable[[bytes], object]) -> int:
+        """Words for which a test holds; each distinct one is asked once."""
+        return int(self.kinds[np.fromiter(map(test, self.distinct), bool, len(self.distinct))].sum())
+
     @cached_property
     def word_chars(self) -> int:
         return len(self.text) - sum(map(self.text.count, _SPACE))
@@ -72,12 +94,18 @@ class Measures:
         n = self.n_words
         if n < 4:
             return 0
-        numbers: dict[bytes, int] = {}
-        ids = np.fromiter((numbers.setdefault(w, len(numbers)) for w in self.words), np.int64, n)
-        pairs = np.unique(ids[:-1] * len(numbers) + ids[1:], return_inverse=True)[1]  # so the product stays small
-        windows = pairs[:-1] * len(numbers) + ids[2:]
-        _, where, times = np.unique(windows, return_inverse=True, return_counts=True)
-        again = times[where] > 1
+        ids, k = self.ids, len(self.distinct)
+        if k < MANY_WORDS:
+            windows = ids[:-2] << 40 | ids[1:-1] << 20 | ids[2:]
+        else:
+            pairs = np.unique(ids[:-1] * k + ids[1:], return_inverse=True)[1]  # so the product stays small
+            windows = pairs[:-1] * k + ids[2:]
+        ranked = np.sort(windows)
+        twice = ranked[1:][ranked[1:] == ranked[:-1]]
+        if not len(twice):
+            return 0
+        place = np.minimum(np.searchsorted(twice, windows), len(twice) - 1)
+        again = twice[place] == windows
         covered = np.zeros(n, bool)
         for shift in range(3):
             covered[shift : n - 2 + shift] |= again
@@ -85,11 +113,11 @@ class Measures:
 
     @cached_property
     def n_lettered(self) -> int:
-        return sum(1 for w in self.words if _LETTER.search(w))
+        return self.n_with(lambda w: w.isalpha() or _LETTER.search(w) is not None)
 
     @cached_property
     def n_stop_words(self) -> int:
-        return sum(map(_STOP.__contains__, self.text.encode("utf-8", "surrogatepass").lower().split()))
+        return self.n_with(lambda w: w.lower() in _STOP)
 
     @cached_property
     def n_digits(self) -> int:
@@ -97,7 +125,7 @@ class Measures:
 
     @cached_property
     def top_word(self) -> int:
-        return max(Counter(self.words).values(), default=0)
+        return int(self.kinds.max(initial=0))
 
     @property
     def base_failed(self) -> bool:
@@ -130,7 +158,7 @@ SQL_RULES = {
 
 
 #: Measures that the base test takes, and those that ``judged`` returns: no rule pays for them.
-BASE_MEASURES = ("words", "n_words", "n_repeat_words")
+BASE_MEASURES = ("words", "n_words", "distinct", "ids", "n_repeat_words")
 JUDGED_MEASURES = (*BASE_MEASURES, "word_chars", "n_symbols", "lines", "n_dup_lines")
 #: Texts of the sample, about; more are not needed to order a handful of rules.
 SAMPLE_TEXTS = 4_000

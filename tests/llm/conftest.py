@@ -7,6 +7,15 @@ SF = "/root/testdata/sf0.001"
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, size long, draw double, labels string, print binary, score double, class_id long, rows int, n long, kept boolean"
 
 
+@pytest.fixture(scope="package", autouse=True)
+def few_partitions(spark):
+    """The tables here are small: fewer tasks a shuffle, and tests take half the time."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def document(doc_id, text, source="s"):
     return (doc_id, text, "en", source, len(text or ""), 7, 0.5, "x", b"x", 0.1, 3, 4, 5, True)
 
