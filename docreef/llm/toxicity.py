@@ -11,7 +11,7 @@ bound that a feature sets on it: what share of all texts have the feature, over
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,6 +27,8 @@ POSITIVES, CANDIDATES, FEATURES = 2_000, 20_000, 1_024
 BLOCK = 4_096
 #: Highest rate of a feature, in training and in scores: a word again and again says no more.
 HIGHEST = 10.0
+#: Bytes of a word by which most words are told to have no feature.
+HEAD = 4
 #: Prefixes of these numbers of characters are features beside whole words.
 PREFIXES = (4, 5, 6, 7)
 
@@ -36,6 +38,11 @@ def word_features(word: bytes) -> list[str]:
     return ["=" + w, *[w[:k] for k in PREFIXES if len(w) >= k]]
 
 
+def heads(features: Iterable[str]) -> frozenset[bytes]:
+    """First bytes of the words that can have a feature: a word with another beginning has none of them."""
+    return frozenset(f.removeprefix("=").encode()[:HEAD] for f in features)
+
+
 def text_words(text: str | None) -> list[bytes]:
     return folded_words((text or "").lower())
 
@@ -43,11 +50,16 @@ def text_words(text: str | None) -> list[bytes]:
 def frequencies(rows: DataFrame, only: frozenset[str] | None = None) -> DataFrame:
     """(feature, n): how many of the texts have each feature. Every task counts its own before the shuffle."""
 
+    begin = None if only is None else heads(only)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[str] = Counter()
         for batch in slices(batches):
             for text in batch.column(0).to_pylist():
-                own = {f for w in set(text_words(text)) for f in word_features(w)}
+                words = set(text_words(text))
+                if begin is not None:
+                    words = [w for w in words if w[:HEAD] in begin]
+                own = {f for w in words for f in word_features(w)}
                 counts.update(own if only is None else own & only)
         names = list(counts)
         for at in range(0, len(names), 20_000):
@@ -101,13 +113,14 @@ class Vectors:
 
     def __init__(self, features: list[str]):
         self.place = {f: i for i, f in enumerate(features)}
+        self.heads = heads(features)
         self.memory: dict[bytes, tuple[int, ...]] = {}
 
     def __call__(self, text: str | None) -> tuple[list[int], list[float]]:
         words = text_words(text)
         counts: Counter[int] = Counter()
-        memory = self.memory
-        for w in words:
+        memory, begin = self.memory, self.heads
+        for w in [w for w in words if w[:HEAD] in begin]:
             own = memory.get(w)
             if own is None:
                 if len(memory) > 500_000:
