@@ -33,8 +33,8 @@ def _file() -> F.Column:
     return F.concat(F.lit("doc_"), F.col("doc_id"), F.lit(".txt"))
 
 
-def local_files(spark: SparkSession, sf_dir: str, container: F.Column | None = None) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where("doc_id % 10 <> 3")
+def local_files(spark: SparkSession, sf_dir: str, container: F.Column | None = None, where: str = "doc_id % 10 <> 3") -> DataFrame:
+    docs = table(spark, sf_dir, "documents").where(where)
     return docs.select(
         (F.lit(C.RAW) if container is None else container).alias("container"), _file().alias("name"),
         F.concat(F.lit("/corpus/"), "source", F.lit("/"), _file()).alias("path"), F.octet_length("text").cast("long").alias("size"),
@@ -105,6 +105,7 @@ def _both(spark, sf_dir):
 
 
 _L = "SELECT '{c}' AS container, concat('doc_', doc_id, '.txt') AS name, concat('/corpus/', source, '/doc_', doc_id, '.txt') AS path, CAST(strlen(text) AS BIGINT) AS size, md5(text) AS hash FROM documents WHERE doc_id % 10 <> 3"
+_ALL = _L.removesuffix(" WHERE doc_id % 10 <> 3")
 _R = "SELECT '{c}' AS container, concat('id', doc_id) AS id, concat('doc_', doc_id, '.txt') AS name, CASE WHEN doc_id % 11 = 0 THEN NULL WHEN doc_id % 7 = 0 THEN md5(text || '~') ELSE md5(text) END AS md5Checksum, CAST(strlen(text) AS VARCHAR) AS size FROM documents WHERE doc_id % 10 <> 5"
 _SOURCE = "concat('Processed Documents/', source)"
 
@@ -166,7 +167,7 @@ def sync_status(spark, sf_dir):
 
 
 def inventory_dedup(spark, sf_dir):
-    rows = local_files(spark, sf_dir).withColumn("name", F.concat(F.lit("file_"), F.regexp_extract("name", r"(\d+)", 1).cast("long") % 97))
+    rows = local_files(spark, sf_dir, where="true").withColumn("name", F.concat(F.lit("file_"), F.regexp_extract("name", r"(\d+)", 1).cast("long") % 97))
     return inventory.deduplicated(rows, ["container", "name"], "path")
 
 
@@ -282,9 +283,9 @@ def sync_frequency(spark, sf_dir):
 
 
 def watch_snapshots(spark, sf_dir):
-    """Events between the remote side as the earlier snapshot and the local one as the later."""
+    """Events between the remote side as the earlier snapshot and all documents as the later."""
     before = remote_files(spark, sf_dir).select(F.col("name").alias("path"), F.col("md5Checksum").alias("hash"))
-    return watch.changes(before, local_files(spark, sf_dir).select(F.col("name").alias("path"), "hash"))
+    return watch.changes(before, local_files(spark, sf_dir, where="true").select(F.col("name").alias("path"), "hash"))
 
 
 def watch_created(spark, sf_dir):
@@ -399,7 +400,7 @@ _SCAN = "to_timestamp(1704067200 + doc_id) AT TIME ZONE 'UTC'"
 ORACLE_SQL = {
     "local_inventory": f"SELECT '{C.RAW}' AS container, concat('doc_', doc_id, '.txt') AS name, concat('{C.RAW}/', source, '/doc_', doc_id, '.txt') AS path, CAST(strlen(text) AS BIGINT) AS size, {_SCAN} AS modified, md5(text) AS hash FROM documents",
     "remote_inventory": f"SELECT source AS container, concat(source, '/doc_', doc_id, '.txt') AS id, concat('doc_', doc_id, '.txt') AS name, strftime({_SCAN}, '%Y-%m-%dT%H:%M:%S') AS modifiedTime, md5(text) AS md5Checksum, CAST(strlen(text) AS VARCHAR) AS size FROM documents",
-    "inventory_dedup": f"WITH {_sides(C.RAW)} SELECT container, concat('file_', CAST(regexp_extract(name, '[0-9]+') AS BIGINT) % 97) AS name, max(path) AS path, arg_max(size, path) AS size, arg_max(hash, path) AS hash FROM l GROUP BY 1, 2",
+    "inventory_dedup": f"WITH l AS ({_ALL.format(c=C.RAW)}) SELECT container, concat('file_', CAST(regexp_extract(name, '[0-9]+') AS BIGINT) % 97) AS name, max(path) AS path, arg_max(size, path) AS size, arg_max(hash, path) AS hash FROM l GROUP BY 1, 2",
     "sync_upload": f"{_LC} SELECT container, name, path, hash FROM l ANTI JOIN r USING (container, name)",
     "sync_update": f"{_LC} SELECT container, name, id, hash, md5Checksum FROM l JOIN r USING (container, name) WHERE hash IS DISTINCT FROM md5Checksum",
     "sync_download": f"{_LC} SELECT container, name, id, md5Checksum FROM r ANTI JOIN l USING (container, name)",
@@ -425,7 +426,7 @@ ORACLE_SQL = {
     "synthesis_top20": f"WITH {_SCORES} SELECT domain, CAST(rank AS INTEGER) AS rank, doc_id, score, n >= 5 AS enough FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY score DESC, doc_id) AS rank, count(*) OVER (PARTITION BY domain) AS n FROM scores) WHERE rank <= 20",
     "batch_assign": "SELECT doc_id, CAST(ceil(row_number() OVER (ORDER BY doc_id) / 50.0) AS BIGINT) AS batch FROM documents",
     "corpus_metrics": f"SELECT source, count(*) AS n_docs, CAST(sum(strlen(text)) AS BIGINT) AS n_bytes, avg(strlen(text)) AS mean_bytes, count(*) FILTER (WHERE strlen(text) <= {C.MOST_OCR_BYTES}) AS n_ocr FROM documents GROUP BY source",
-    "watch_snapshots": f"{_RAW} SELECT CASE WHEN r.name IS NULL THEN 'created' ELSE 'modified' END AS event_type, l.name AS src_path FROM l LEFT JOIN r USING (name) WHERE r.name IS NULL OR l.hash IS DISTINCT FROM r.md5Checksum",
+    "watch_snapshots": f"WITH l AS ({_ALL.format(c=C.RAW)}), r AS ({_R.format(c=C.RAW)}) SELECT CASE WHEN r.name IS NULL THEN 'created' ELSE 'modified' END AS event_type, l.name AS src_path FROM l LEFT JOIN r USING (name) WHERE r.name IS NULL OR l.hash IS DISTINCT FROM r.md5Checksum",
     "watch_created": "SELECT 'created' AS event_type, concat(source, '/doc_', doc_id, '.txt') AS src_path, CAST(strlen(text) AS BIGINT) AS length FROM documents WHERE strlen(text) > 0",
     "stream_documents": "SELECT concat('doc_', doc_id, '.txt') AS name, CAST(strlen(text) AS BIGINT) AS size FROM documents",
     "event_counts": "SELECT time_bucket(INTERVAL '10 minutes', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL",
