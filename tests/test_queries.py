@@ -41,3 +41,26 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_only_the_optional_parts_may_be_missing():
+    """Without the optional subpackage the entry offers the rest; a package that the subpackage lacks is an error."""
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = """
+import sys
+class Gone:
+    def find_spec(self, name, path=None, target=None):
+        if name == sys.argv[1]:
+            raise ModuleNotFoundError(f"No module named {name!r}", name=name)
+sys.meta_path.insert(0, Gone())
+import __spark_entry__
+print(len(__spark_entry__.queries()))
+"""
+    run = lambda name: subprocess.run([sys.executable, "-c", code, name], cwd=root, capture_output=True, text=True, timeout=120)
+    assert run("docreef.llm").stdout.strip() == str(len(QUERIES))
+    if os.path.isdir(f"{root}/docreef/llm"):
+        assert "xxhash" in run("xxhash").stderr and run("xxhash").returncode
