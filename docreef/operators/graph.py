@@ -16,17 +16,17 @@ def connected(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     edges is broadcast to or, beyond what is broadcast, split by Spark like any skewed key. Edges of a node with itself
     are left out; no edges give no rows; a graph that does not settle in ``most_rounds`` raises.
     """
-    edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links", few=True)
     for _ in range(most_rounds):
         ends = edges.select(F.col("a").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("b").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
         if ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up = 1 and down = 1)").isEmpty():
             break
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = written(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "links")
-        large = written(sized_join(both, least, "a", "inner").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "links")
-        least = written(large.groupBy("a").agg(F.min("b").alias("m")), "links")
+        least = written(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "links", few=True)
+        large = written(sized_join(both, least, "a", "inner").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "links", few=True)
+        least = written(large.groupBy("a").agg(F.min("b").alias("m")), "links", few=True)
         small = sized_join(large, least, "a", "inner").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        edges = written(small, "links")
+        edges = written(small, "links", few=True)
     else:
         raise RuntimeError("connected sets did not settle")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -35,11 +35,20 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: lineage ends here, and a lost executor costs only its own tasks."""
-    path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def written(df: DataFrame, name: str, few: bool = False) -> DataFrame:
+    """df as a Parquet table in the shared folder: lineage ends here, and a lost executor costs only its own tasks.
+
+    few: for light rows after a shuffle. Tasks and files are filled up to Spark's advisory size, rather than one a core at
+    least, so a small table is one file.
+    """
+    path, spark, key = new_folder(df.sparkSession, name), df.sparkSession, "spark.sql.adaptive.coalescePartitions.parallelismFirst"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false" if few else before)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def sized_join(left: DataFrame, right: DataFrame, on, how: str, rows: int = BROADCAST_ROWS) -> DataFrame:
