@@ -290,7 +290,7 @@ def families(nodes: DataFrame, trees: int, longest: int, depth: int, least: int,
     """
     members = written(buckets(nodes, trees, longest, depth), "jaccard-members")
     sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", F.ceil(F.col("n") / block).alias("blocks"))
-    sizes = written(sizes, "jaccard-buckets")
+    sizes = written(sizes, "jaccard-buckets", few=True)
     rows = sized_join(members, sizes, "bucket", "inner").withColumn("block", F.pmod(F.xxhash64("bucket", "print"), F.col("blocks")))
     rows = written(rows.join(nodes.select("print", "labels"), "print"), "jaccard-rows")
     alone = rows.select("bucket", F.col("block").alias("low"), F.col("block").alias("high"), "block", "print", F.lit(None).cast("binary").alias("family"), "labels")
@@ -471,13 +471,13 @@ def grouped(
     roots = connected(links.select(F.col("print").alias("a"), F.col("root").alias("b")))
     counts = links.groupBy("print").agg(F.sum("texts").alias("texts"), F.sum("docs").alias("docs"))
     member = nodes.select("print", "n", "least").join(roots, F.col("print") == F.col("node")).select("print", "n", "least", "root")
-    names = written(member.groupBy("root").agg(F.min("least").alias("class_id")), "jaccard-names")
-    linked = written(sized_join(member, names, "root", "inner").join(counts, "print").select("print", "root", "class_id", "texts", "docs"), "jaccard-classes")
+    names = written(member.groupBy("root").agg(F.min("least").alias("class_id")), "jaccard-names", few=True)
+    linked = written(sized_join(member, names, "root", "inner").join(counts, "print").select("print", "root", "class_id", "texts", "docs"), "jaccard-classes", few=True)
     groups = nodes.select("print", "n", "least").join(linked, "print", "left").select(
         "print", "n", "least", F.coalesce("root", "print").alias("root"), F.coalesce("class_id", "least").alias("class_id"), F.coalesce("texts", F.lit(0)).alias("texts"), F.coalesce("docs", F.lit(0)).alias("docs")
     )
     # written, so that joins with documents are of two plain shuffles, of which Spark can split a print with many copies
-    return signs.select("doc_id", "print"), written(groups, "jaccard-groups")
+    return signs.select("doc_id", "print"), written(groups, "jaccard-groups", few=True)
 
 
 def near_duplicates(docs: DataFrame, **options) -> DataFrame:
@@ -508,8 +508,8 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", **opt
     id that several rows with words share is decided by a further pass over the rows with such ids alone.
     """
     signs, groups = grouped(docs, key=key, text=text, **options)
-    rows = written(signs.join(groups.select("print", "root", "class_id"), "print").where("doc_id is not null").select("doc_id", "print", "root", "class_id"), "jaccard-rows")
-    shared = written(rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("doc_id"), "jaccard-shared")
+    rows = written(signs.join(groups.select("print", "root", "class_id"), "print").where("doc_id is not null").select("doc_id", "print", "root", "class_id"), "jaccard-rows", few=True)
+    shared = written(rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("doc_id"), "jaccard-shared", few=True)
     drop = rows.where("doc_id <> class_id").select("doc_id").distinct()
     packed = docs.select(F.struct("*").alias("row"), F.col(key).cast("long").alias("own"), F.col(text).alias("body"))  # no name of docs beside ours
     if shared.isEmpty():
