@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from docreef.llm.common import arrow_schema, map_rows, row_blocks
 
 MARK = "▁"
+#: Characters of the texts that are cut together; a longer text is a block of its own.
+BLOCK_CHARS = 400_000
 #: No piece goes on after a mark's left side or across a line feed, so a path is a path of each unit.
 _UNITS = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
 
@@ -297,7 +299,7 @@ def encoded(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = vocabulary(model, alpha, seed)
-        for keys, texts in row_blocks(batches):
+        for keys, texts in row_blocks(batches, BLOCK_CHARS):
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(own.encode(texts, keys), pa.list_(pa.int32()))], schema=schema)
 
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, ddl)
@@ -325,7 +327,7 @@ def round_trips(docs: DataFrame, model: str, key: str = "doc_id", text: str = "t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = vocabulary(model, alpha, seed)
-        for keys, texts in row_blocks(batches):
+        for keys, texts in row_blocks(batches, BLOCK_CHARS):
             ids = own.encode(texts, keys)
             yield pa.RecordBatch.from_arrays([
                 pa.array(keys, pa.int64()), pa.array([len(t or "") for t in texts], pa.int64()), pa.array(list(map(len, ids)), pa.int64()),
