@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import xxhash
 import zstandard
@@ -193,8 +194,9 @@ class WordEncoder:
     (NFC does not compose across a space), its pre-tokens hold no white space, and a run of letters and a
     run of other marks are one each. So a text's ids are those of its parts between spaces, and those of letters with
     marks behind them are the letters' and the marks'. A-Z are lowered first, as the normaliser would do, unless that could make a
-    special token or change how a mark composes. Parts come again and again; each is encoded once while the memory holds
-    it, words of letters many at once and told apart by the pre-token of each id.
+    special token or change how a mark composes. Parts come again and again; Arrow numbers those of a block, each different
+    one is looked up once a block, and encoded once while the memory holds it. Words of letters are encoded many at once and
+    told apart by the ids that end a pre-token.
 
     The memory has two generations of at most ``room`` parts; the older goes when the younger is full.
     """
@@ -202,83 +204,110 @@ class WordEncoder:
     def __init__(self, tokenizer, room: int = 500_000, longest: int = 48):
         self.tokenizer = tokenizer
         self.room, self.longest = room, longest
-        self.young: dict[str, bytes] = {"": b""}
-        self.old: dict[str, bytes] = {}
+        self.young: dict[bytes, bytes] = {b"": b""}
+        self.old: dict[bytes, bytes] = {}
+        self.last = last_pieces(tokenizer)
 
     def _alone(self, words: list[str]) -> list[bytes]:
         got = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in got]
 
     def _together(self, words: list[str]) -> list[bytes]:
-        """Words of letters only."""
-        got = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
-        owner = np.array(got.word_ids, dtype=float)  # None: nan
-        ends = np.searchsorted(owner, np.arange(len(words)), "right")
-        if not len(owner) or np.isnan(owner).any() or owner[-1] != len(words) - 1 or (np.diff(ends, prepend=0) == 0).any():
+        """Words of letters only: at least one pre-token each."""
+        if self.last is None:
+            return self._alone(words)
+        got = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(self.last[got]) + 1
+        if len(ends) != len(words):
             return self._alone(words)  # some letter was normalised to more than letters
-        raw, at = np.array(got.ids, "<u4").tobytes(), [0, *(4 * ends).tolist()]
+        raw, at = got.tobytes(), [0, *(4 * ends).tolist()]
         return [raw[x:y] for x, y in zip(at, at[1:])]
 
-    def _learned(self, fresh: list[str]) -> dict[str, bytes]:
-        out: dict[str, bytes] = {}
-        letters, others, ended = set(), set(), []
-        for p in fresh:
-            if p.isalpha():
-                letters.add(p)
-            elif m := _ENDED.fullmatch(p):
-                ended.append((p, *m.groups()))
+    def _learned(self, fresh: list[bytes]) -> dict[bytes, bytes]:
+        out: dict[bytes, bytes] = {}
+        letters, others, ended = {}, {}, []
+        for p, word in zip(fresh, b"\n".join(fresh).decode().split("\n")):
+            if word.isalpha():
+                letters[p] = word
+            elif len(stem := word.rstrip(_ENDS)) < len(word) and _STEM(stem):
+                ended.append((p, word, stem))
             else:
-                others.add(p)
-        known = {}
-        for _, stem, marks in ended:
-            for x, among in ((stem, letters), (marks, others)):
-                ids = self.young.get(x) or self.old.get(x)
-                if ids is None:
-                    among.add(x)
-                else:
-                    known[x] = ids
-        for words, encode in ((list(letters), self._together), (list(others), self._alone)):
-            for at in range(0, len(words), 2048):
-                block = words[at : at + 2048]
-                out.update(zip(block, encode(block), strict=True))
-        known |= out
-        out.update((p, known[stem] + known[marks]) for p, stem, marks in ended)
+                others[p] = word
+        young, old, halves = self.young, self.old, []
+        for p, word, stem in ended:
+            x = stem.encode()
+            y = p[len(x) :]
+            halves.append((p, x, y))
+            if x not in young and x not in old:
+                letters[x] = stem
+            if y not in young and y not in old:
+                others[y] = word[len(stem) :]
+        for group, encode in ((letters, self._together), (others, self._alone)):
+            keys, words = list(group), list(group.values())
+            for at in range(0, len(words), 512):
+                out.update(zip(keys[at : at + 512], encode(words[at : at + 512]), strict=True))
+        known = lambda x: out.get(x) or young.get(x) or old[x]
+        out.update([(p, known(x) + known(y)) for p, x, y in halves])
         return out
 
     @staticmethod
-    def parts(text: str | None) -> list[str]:
-        text = text or ""
-        if "<|" not in text and not _MARK.search(text):
-            text = text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
-        return text.replace("\n", " ").split(" ")
+    def parts(texts: list[str | None]) -> pa.ListArray:
+        """The parts of each text between spaces and line feeds, as UTF-8."""
+        rows = [
+            (text or "").encode() if "<|" in (text or "") or _MARK.search(text or "") else (text or "").encode().lower()
+            for text in texts
+        ]
+        return pc.split_pattern(pc.replace_substring(pa.array(rows, pa.large_binary()), b"\n", b" "), b" ")
 
     def many(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text, as little-endian unsigned 32-bit numbers."""
-        flat, ends = [], []
-        for text in texts:
-            flat += self.parts(text)
-            ends.append(len(flat))
+        parts = self.parts(texts)
+        numbered = parts.flatten().dictionary_encode()
+        words = sliced(numbered.dictionary)
         young, old = self.young, self.old
-        ids = list(map(young.get, flat))
+        ids = list(map(young.get, words))
         gaps = [i for i, x in enumerate(ids) if x is None]
-        lacking = {flat[i] for i in gaps}
-        own = {p: x for p in lacking if (x := old.get(p)) is not None}
-        own |= self._learned([p for p in lacking if p not in own])
+        own = {p: x for p in (words[i] for i in gaps) if (x := old.get(p)) is not None}
+        own |= self._learned([p for p in (words[i] for i in gaps) if p not in own])
         for i in gaps:
-            ids[i] = own[flat[i]]
-        out = [b"".join(ids[a:b]) for a, b in zip([0, *ends], ends)]
+            ids[i] = own[words[i]]
+        out = sliced(pa.array(ids, pa.large_binary()).take(numbered.indices), parts.offsets.to_numpy())
         if len(young) + len(own) > self.room:
-            self.old, self.young = young, {"": b""}
-        self.young.update((p, x) for p, x in own.items() if len(p) <= self.longest)
+            self.old, self.young = young, {b"": b""}
+        if max(map(len, own), default=0) > self.longest:
+            own = {p: x for p, x in own.items() if len(p) <= self.longest}
+        self.young.update(own)
         return out
 
     def __call__(self, text: str | None) -> bytes:
         return self.many([text])[0]
 
 
+def sliced(values: pa.LargeBinaryArray, at: np.ndarray | slice = slice(None)) -> list[bytes]:
+    """The values, or what lies between the places ``at``. An Arrow scalar a value would cost more than its lookup."""
+    _, offsets, data = values.buffers()
+    ends = np.frombuffer(offsets, "<i8", len(values) + 1, 8 * values.offset)[at].tolist() if len(values) else [0]
+    raw = memoryview(data)[: ends[-1]].tobytes() if data else b""
+    return [raw[x:y] for x, y in zip(ends, ends[1:])]
+
+
+def last_pieces(tokenizer) -> np.ndarray | None:
+    """By id, whether it ends a pre-token; None if the tokenizer does not mark every end."""
+    from tokenizers import pre_tokenizers
+
+    model = json.loads(tokenizer.to_str())["model"]
+    suffix, ids = model.get("end_of_word_suffix"), tokenizer.get_vocab()
+    if not suffix or any(c + suffix not in model["vocab"] for c in pre_tokenizers.ByteLevel.alphabet()):
+        return None
+    out = np.zeros(max(ids.values()) + 1, bool)
+    out[[i for piece, i in model["vocab"].items() if piece.endswith(suffix)]] = True
+    return out
+
+
 #: Marks that compose with ASCII letters, and letters that stay letters when normalised, with marks behind them.
 _MARK = re.compile("[\u0300-\u036f]")
-_ENDED = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([.,!?;:#*$%&]+)")
+_STEM = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+").fullmatch
+_ENDS = ".,!?;:#*$%&"
 
 _encoders: dict[str, WordEncoder | WholeEncoder] = {}
 
@@ -325,7 +354,7 @@ def write_shards(
                 schema=schema,
             )
 
-        for doc_ids, texts in row_blocks(batches):
+        for doc_ids, texts in row_blocks(batches, 2_000_000):
             for doc_id, ids in zip(doc_ids, encoder.many(texts), strict=True):
                 if writer is None:
                     path = f"{folder}/tokens-{task:06d}-{part:04d}-{uuid.uuid4().hex[:12]}.zst"

@@ -1,5 +1,6 @@
 """Operators that judge or rewrite one row at a time, against plain Python."""
 
+import random
 import re
 import zlib
 from collections import Counter
@@ -86,6 +87,49 @@ def test_other_tokenizers_get_whole_texts(tmp_path, change):
         assert encoder(text) == np.array(plain.encode(text or "", add_special_tokens=False).ids, "<u4").tobytes()
 
 
+def test_parts_are_looked_up_once_a_block():
+    """Work a part of a text is Arrow's; the memory of words is asked for each different part, not for each place."""
+
+    class Counting(dict):
+        asked = 0
+
+        def get(self, *a):
+            self.asked += 1
+            return super().get(*a)
+
+    path = Q.tokenizer_path("word_bpe_49k.json")
+    encoder = token_output.WordEncoder(token_output.encoder_of(path).tokenizer)
+    encoder.young = Counting(encoder.young)
+    texts = ["The cat, the hat. " * 3000, None, "", "cat\nHat " * 1000]
+    assert encoder.many(texts) == [want_ids(t)[:-4] for t in texts]
+    assert encoder.young.asked < 50
+    assert encoder.many(texts) == [want_ids(t)[:-4] for t in texts]  # from the memory
+
+
+@pytest.mark.parametrize("suffix", ["</w>", None])
+def test_words_encoded_together(tmp_path, suffix):
+    """Words of letters are told apart by the ids that end a pre-token, where a tokenizer marks them; letters that
+    are normalised to more than letters, and generations that go, change no ids."""
+    import json
+
+    from tokenizers import Tokenizer
+
+    d = json.loads(open(Q.tokenizer_path("word_bpe_49k.json"), encoding="utf-8").read())
+    d["model"]["end_of_word_suffix"] = suffix
+    path = str(tmp_path / "words.json")
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(d, f)
+    plain = Tokenizer.from_file(path)
+    encoder = token_output.WordEncoder(plain, room=40)
+    assert (encoder.last is None) == (suffix is None)
+    rng = random.Random(5)
+    bits = ["the", "gr\u00f6\u00df", "xq", "\u0130", "\u0149", "\uac00", "\u6f22", "zu", "e\u0301", ".", "!?", "7", "'s", "</w>", "<|endoftext|>", "\t", "\u2003", "\U0001f600"]
+    texts = ["".join(rng.choice(bits) + rng.choice(["", " ", "\n"]) for _ in range(60)) for _ in range(40)]
+    for at in range(0, 40, 4):
+        block = texts[at : at + 4]
+        assert encoder.many(block) == [np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in block]
+
+
 def test_token_output_of_nothing(none):
     assert token_output.token_output(none, Q.tokenizer_path("word_bpe_49k.json")).count() == 0
 
