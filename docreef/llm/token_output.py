@@ -371,13 +371,14 @@ def write_shards(
 
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("mark"))
     ordered = rows.repartitionByRange("doc_id", "mark").sortWithinPartitions("doc_id", "mark").select("doc_id", "text")
-    return written(ordered.mapInArrow(run, MANIFEST), "shard-manifest")
+    return written(ordered.mapInArrow(run, MANIFEST).repartition(1), "shard-manifest")  # one file, a row a shard
 
 
-def read_shards(manifest: DataFrame) -> DataFrame:
+def read_shards(manifest: DataFrame, task_tokens: int = 1 << 21) -> DataFrame:
     """Per document (doc_id, start, n_tokens, ids_crc32, shard), every frame read and verified.
 
-    The running total is over the manifest, a row a shard, not over documents.
+    The running total is over the manifest, a row a shard, not over documents. Small shards share tasks of some
+    ``task_tokens`` ids, as long as every core has one.
     """
     before = Window.orderBy("task", "part").rowsBetween(Window.unboundedPreceding, -1)
     placed = manifest.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
@@ -400,7 +401,9 @@ def read_shards(manifest: DataFrame) -> DataFrame:
                             pa.array([inner.rpartition("/")[2]] * len(own), pa.string()),
                         ], schema=schema)
 
-    n = max(1, min(manifest.count(), 4096))
+    had = manifest.agg(F.count("*").alias("shards"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("tokens")).first()
+    cores = manifest.sparkSession.sparkContext.defaultParallelism
+    n = max(1, min(had["shards"], 4096, max(cores, -(-had["tokens"] // task_tokens))))
     return placed.select("path", "base").repartition(n).mapInArrow(run, ddl)
 
 

@@ -130,6 +130,17 @@ def test_words_encoded_together(tmp_path, suffix):
         assert encoder.many(block) == [np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in block]
 
 
+def test_small_shards_share_tasks_and_files(spark, docs, tmp_path):
+    """A file a task is thousands of small ones: the manifest is one, and many small shards are read by few tasks."""
+    manifest = token_output.write_shards(docs, f"file://{tmp_path}", Q.tokenizer_path("word_bpe_49k.json"), shard_bytes=4000, frame_bytes=2048)
+    cores, n = spark.sparkContext.defaultParallelism, manifest.count()
+    assert n > 2 * cores and len(manifest.inputFiles()) == 1
+    got = token_output.read_shards(manifest)
+    assert got.rdd.getNumPartitions() == cores and token_output.read_shards(manifest, task_tokens=1).rdd.getNumPartitions() == n
+    rows = sorted((r["doc_id"], r["start"], r["n_tokens"]) for r in got.collect())
+    assert len(rows) == docs.count() and [s for _, s, _ in rows] == [0, *np.cumsum([x for *_, x in rows])[:-1].tolist()]
+
+
 def test_token_output_of_nothing(none):
     assert token_output.token_output(none, Q.tokenizer_path("word_bpe_49k.json")).count() == 0
 
