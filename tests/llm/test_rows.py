@@ -132,7 +132,14 @@ def test_words_encoded_together(tmp_path, suffix):
 
 def test_small_shards_share_tasks_and_files(spark, docs, tmp_path):
     """A file a task is thousands of small ones: the manifest is one, and many small shards are read by few tasks."""
-    manifest = token_output.write_shards(docs, f"file://{tmp_path}", Q.tokenizer_path("word_bpe_49k.json"), shard_bytes=4000, frame_bytes=2048)
+    merge = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(merge)
+    spark.conf.set(merge, "false")  # else so small a table is written by one task
+    try:
+        manifest = token_output.write_shards(docs, f"file://{tmp_path}", Q.tokenizer_path("word_bpe_49k.json"), shard_bytes=4000, frame_bytes=2048)
+    finally:
+        spark.conf.set(merge, before)
+    assert manifest.select("task").distinct().count() > 1
     cores, n = spark.sparkContext.defaultParallelism, manifest.count()
     assert n > 2 * cores and len(manifest.inputFiles()) == 1
     got = token_output.read_shards(manifest)
