@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import hashlib
 import os
+import time
 import uuid
+import zlib
 from collections.abc import Iterator
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, InputPartition
 
 from docreef.functions.scalars import base_name
 
@@ -147,11 +149,92 @@ class ListingSource(DataSource):
         return ListingReader(self.options)
 
 
+#: Names that a task of a watched folder looks at, and tasks that one folder is dealt to at most: each scans its names.
+TASK_NAMES, FOLDER_TASKS = 20_000, 64
+
+
+def _hidden(name: str) -> bool:
+    """Names that Spark's readers skip."""
+    out = name.startswith(".") or (name.startswith("_") and "=" not in name) or name.endswith("._COPYING_")
+    return out and not name.startswith(("_common_metadata", "_metadata"))
+
+
+def _counted(root: str) -> Iterator[tuple[str, int]]:
+    """Folders below a folder, itself included, and how many files each has; names are counted, not kept."""
+    below = [root]
+    while below:
+        folder, n = below.pop(), 0
+        with os.scandir(folder) as entries:
+            for e in entries:
+                if _hidden(e.name):
+                    continue
+                if e.is_dir():
+                    below.append(e.path)
+                else:
+                    n += 1
+        yield folder, n
+
+
+class WatchReader(DataSourceStreamReader):
+    """Looks at a whole folder, again and again: an offset is the time of a look. The driver counts the names in the
+    folders; tasks look at the files, shares of a large folder by a hash of the name, so no list passes the driver."""
+
+    def __init__(self, options: dict):
+        self.root = os.path.abspath(plain_path(options["path"]))
+
+    def initialOffset(self) -> dict:
+        return {"look": 0}
+
+    def latestOffset(self) -> dict:
+        return {"look": time.time_ns()}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        out, own, held = [], [], 0
+        for folder, n in _counted(self.root):
+            shares = min(-(-n // TASK_NAMES), FOLDER_TASKS)
+            if shares > 1:
+                out += [InputPartition([(folder, i, shares)]) for i in range(shares)]
+            elif n:
+                if own and held + n > TASK_NAMES:
+                    out.append(InputPartition(own))
+                    own, held = [], 0
+                own.append((folder, 0, 1))
+                held += n
+        return [*out, InputPartition(own)]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        for folder, share, shares in partition.value:
+            with os.scandir(folder) as entries:
+                for e in entries:
+                    if _hidden(e.name) or (shares > 1 and zlib.crc32(os.fsencode(e.name)) % shares != share):
+                        continue
+                    try:
+                        if e.is_file():
+                            yield "file:" + e.path, e.stat().st_size
+                    except FileNotFoundError:  # gone since its name was read
+                        continue
+
+
+class WatchSource(DataSource):
+    """``spark.readStream.format("docreef_watch").load(path)``: (path, length) of every file in every batch, hidden ones
+    left out; which are new is for the stream's state to say."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "docreef_watch"
+
+    def schema(self) -> str:
+        return "path string, length bigint"
+
+    def streamReader(self, schema) -> DataSourceStreamReader:
+        return WatchReader(self.options)
+
+
 def register(spark: SparkSession) -> None:
-    """Makes both sources known, and lets filters reach them."""
+    """Makes the sources known, and lets filters reach them."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    spark.dataSource.register(FolderSource)
-    spark.dataSource.register(ListingSource)
+    for source in (FolderSource, ListingSource, WatchSource):
+        spark.dataSource.register(source)
 
 
 def inventory(spark: SparkSession, path: str, container: str, most_bytes: int | None = None, pattern: str | None = None) -> DataFrame:

@@ -2,21 +2,40 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from docreef.sources import files as sources
+
 _FILES = "path string, modificationTime timestamp, length bigint, content binary"
 
 #: Trigger of the periodic synchronisation.
 EVERY = "30 minutes"
 
 
+def _mounted(path: str) -> bool:
+    try:
+        return os.path.isdir(sources.plain_path(path))
+    except ValueError:
+        return False
+
+
 def created(spark: SparkSession, path: str, per_batch: int = 50) -> DataFrame:
-    """A stream of (event_type, src_path, length): every file once, when it is first seen. It is not told of changes."""
-    files = spark.readStream.format("binaryFile").schema(_FILES).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", per_batch).load(path)
+    """A stream of (event_type, src_path, length): every file once, when it is first seen. It is not told of changes.
+
+    A batch looks at a whole mounted folder, in tasks, and the stream's state (a path a file, dealt by its hash) tells
+    what is new, so no list of files passes the driver. As with any state, a batch must be looked at whole. Other
+    schemes and patterns are left to Spark's own reader, which lists in the driver, ``per_batch`` files a batch.
+    """
+    if _mounted(path):
+        sources.register(spark)
+        files = spark.readStream.format("docreef_watch").load(path).dropDuplicates(["path"]).where("length > 0")
+    else:
+        files = spark.readStream.format("binaryFile").schema(_FILES).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", per_batch).load(path)
     return files.select(F.lit("created").alias("event_type"), F.col("path").alias("src_path"), "length")
 
 
@@ -35,7 +54,7 @@ def reconcile(stream: DataFrame, plan: Callable[[], DataFrame], act: Callable[[D
     """
 
     def batch(events: DataFrame, number: int) -> None:
-        if not events.isEmpty():
+        if events.count():  # all of it: a stream's state is kept only of what is looked at
             act(plan(), number)
 
     writer = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
