@@ -1,5 +1,6 @@
 """What must not grow with the number of files or pairs."""
 
+from docreef.operators import similarity
 from docreef.sources import files
 from docreef.streaming import watch
 
@@ -35,3 +36,41 @@ def test_watched_files_are_not_listed_through_the_driver(spark, tmp_path, monkey
     assert len(parts) > 8 and sorted(r[0] for p in parts for r in reader.read(p)) == sorted({w[0] for w in want} | {f"file:{src}/later", f"file:{src}/empty"})
     monkeypatch.setattr(files, "FOLDER_TASKS", 2)
     assert len(reader.partitions({}, {})) == 5  # two shares of both folders, and one for small ones
+
+
+def _near_copies(spark, m, groups=1):
+    import random
+
+    rng = random.Random(7)
+    texts = []
+    for g in range(groups):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+        for i in range(m):
+            w = list(base)
+            w[rng.randrange(300)] = f"n{g}x{i}"
+            texts.append(" ".join(w))
+    return spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").repartition(4)
+
+
+def test_sets_are_moved_once_a_text_not_once_a_pair(spark, monkeypatch):
+    """240 near copies of 2.4 kB have 28,680 pairs: less is shuffled than 100 bytes a pair. Blocks give what one task gives."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    moved = lambda: store.executorList(True).apply(0).totalShuffleWrite()
+
+    def cost(m):
+        sets = similarity.written(similarity.shingle_sets(_near_copies(spark, m), 5, "doc_id", "text"), "sets")
+        at = moved()
+        assert similarity.pairs(sets, 0.8).count() == m * (m - 1) // 2
+        return moved() - at
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert cost(240) < 100 * 28_680
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    docs = _near_copies(spark, 40, 2)
+    want = {tuple(r) for r in similarity.pairs(similarity.shingle_sets(docs, 5, "doc_id", "text"), 0.8).collect()}
+    for name, n in (("BLOCK", 7), ("WIDTH", 50), ("SORTED", 1_000), ("ASKED", 2)):
+        monkeypatch.setattr(similarity, name, n)
+    assert len(want) == 2 * 780 and {tuple(r) for r in similarity.pairs(similarity.shingle_sets(docs, 5, "doc_id", "text"), 0.8).collect()} == want
