@@ -30,14 +30,16 @@ class FolderBackend:
 
     def _put(self, source: str, target: str) -> None:
         """Whole or not at all: readers see the old file or the new one."""
-        os.makedirs(os.path.dirname(target), exist_ok=True)
         part = f"{target}.{uuid.uuid4().hex}.part"
         try:
+            if not os.path.isdir(os.path.dirname(target)):
+                os.makedirs(os.path.dirname(target), exist_ok=True)
             shutil.copyfile(source, part)
             os.replace(part, target)
-        finally:
+        except BaseException:
             if os.path.exists(part):
                 os.remove(part)
+            raise
 
     def upload(self, container: str, name: str, path: str) -> None:
         self._put(path, self._below(self.remote_root, container, name))

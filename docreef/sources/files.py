@@ -36,8 +36,9 @@ def _md5(path: str) -> str | None:
         return None
 
 
-#: Files, and bytes of files, that a task reads at most; a larger file has a task of its own.
-TASK_FILES, TASK_BYTES = 1_000, 1 << 28
+#: Files, and bytes of files, that a task reads at most; a larger file has a task of its own. A task costs as much as
+#: some thousands of small files.
+TASK_FILES, TASK_BYTES = 8_000, 1 << 28
 
 
 def _walk(root: str) -> Iterator[os.DirEntry]:
@@ -101,7 +102,7 @@ class FolderSource(DataSource):
 
 
 class ListingReader(DataSourceReader):
-    """Folders of a paged listing, a page a task; every page is read, and an error fails the plan instead of looking
+    """Folders of a paged listing, a task some pages; every page is read, and an error fails the plan instead of looking
     empty. A filter on the container reaches the listing: other folders are not listed."""
 
     def __init__(self, options: dict):
@@ -120,7 +121,8 @@ class ListingReader(DataSourceReader):
         pages = []
         for folder in folders:
             names = sorted(e.name for e in os.scandir(os.path.join(self.path, folder)) if e.is_file() and not e.name.startswith(".trash"))
-            pages += [InputPartition((folder, names[at : at + self.page])) for at in range(0, len(names), self.page)]
+            step = self.page * max(1, TASK_FILES // self.page)
+            pages += [InputPartition((folder, names[at : at + step])) for at in range(0, len(names), step)]
         return pages or [InputPartition((None, []))]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
@@ -292,23 +294,30 @@ def sections(spark: SparkSession, path: str, wanted: tuple[str, ...]) -> DataFra
 
 def store_texts(rows: DataFrame, root: str, text: str = "text", path: str = "path", seconds: str = "seconds") -> DataFrame:
     """Writes each row's text as a file below a mounted folder, with that time of change (seconds since 1970), and
-    returns (n_files), one row a task. Null texts are empty files. Files are renamed into place, so tasks may run again."""
+    returns (n_files), one row a task. Null texts are empty files. Files are renamed into place from a
+    folder beside it, so tasks may run again."""
     import pandas as pd
 
     base = plain_path(root)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n = 0
+        n, known = 0, set()
+        own = f"{base.rstrip('/')}.parts/{uuid.uuid4().hex}"  # a task's own: others do not wait for the folder's lock
+        os.makedirs(own)
+        part = f"{own}/part"
         for pdf in frames:
             for body, below, at in zip(pdf[text], pdf[path], pdf[seconds], strict=True):
                 target = os.path.join(base, below)
-                os.makedirs(os.path.dirname(target), exist_ok=True)
-                part = f"{target}.{uuid.uuid4().hex}.part"
+                folder = os.path.dirname(target)
+                if folder not in known:
+                    os.makedirs(folder, exist_ok=True)
+                    known.add(folder)
                 with open(part, "w", encoding="utf-8", newline="", errors="surrogatepass") as f:
                     f.write(body or "")
                 os.utime(part, (int(at), int(at)))
                 os.replace(part, target)
                 n += 1
+        os.rmdir(own)
         yield pd.DataFrame({"n_files": [n]})
 
     return rows.select(text, path, seconds).mapInPandas(run, "n_files long")

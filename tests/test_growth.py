@@ -74,3 +74,17 @@ def test_sets_are_moved_once_a_text_not_once_a_pair(spark, monkeypatch):
     for name, n in (("BLOCK", 7), ("WIDTH", 50), ("SORTED", 1_000), ("ASKED", 2)):
         monkeypatch.setattr(similarity, name, n)
     assert len(want) == 2 * 780 and {tuple(r) for r in similarity.pairs(similarity.shingle_sets(docs, 5, "doc_id", "text"), 0.8).collect()} == want
+
+
+def test_small_files_share_tasks_and_are_stored_from_beside(spark, tmp_path):
+    """Thousands of small files are one task of each source; files are stored whole, again and again, with nothing left."""
+    root = tmp_path / "files"
+    rows = spark.range(3_000).selectExpr("if(id = 5, null, concat('é', id)) as text", "concat('a/', id) as path", "id as seconds").repartition(3)
+    for _ in range(2):
+        assert files.store_texts(rows, f"file://{root}").agg({"n_files": "sum"}).first()[0] == 3_000
+    assert len(list(root.rglob("*"))) == 3_001 and not [p for p in tmp_path.rglob("*") if p.is_file() and root not in p.parents]
+    assert (root / "a/7").read_text() == "é7" and (root / "a/7").stat().st_mtime == 7 and (root / "a/5").read_text() == ""
+    assert len(files.FolderReader({"path": str(root)}).partitions()) == 1
+    reader = files.ListingReader({"path": str(root), "pagesize": "1000"})
+    assert len(reader.partitions()) == 1 and sum(1 for p in reader.partitions() for _ in reader.read(p)) == 3_000
+    assert len(files.ListingReader({"path": str(root), "pagesize": "10000"}).partitions()) == 1
